@@ -46,3 +46,23 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def reaches(out: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
+
+
+def edited(docs: DataFrame, edit, text: str = "text") -> DataFrame:
+    """`docs` with texts as `edit` returns them; edit takes a list of texts (None where null) and returns as many, and a list of bools, the rows that stay.
+
+    All other columns pass through as they are, of whatever type and name.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            new, keep = edit(batch.column(at).to_pylist())
+            columns = [pa.array(new, pa.string()) if i == at else x for i, x in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(np.array(keep, bool)))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op3_byte_bpe
+from .decontaminate import op2_decontaminate
 from .token_ids import op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_byte_bpe": op3_byte_bpe,
     "op10_token_ids": op10_token_ids,
 }
 
