@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontaminate
+from .quality_gam import op1_quality
 from .secrets import op4_secrets
 from .simhash import op6_simhash
 from .token_ids import op10_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secrets": op4_secrets,
