@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontaminate
+from .fertility import op5_fertility
 from .quality_gam import op1_quality
 from .secrets import op4_secrets
 from .simhash import op6_simhash
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secrets": op4_secrets,
+    "op5_fertility": op5_fertility,
     "op6_simhash": op6_simhash,
     "op10_token_ids": op10_token_ids,
 }
