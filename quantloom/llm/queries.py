@@ -13,6 +13,7 @@ from .quality_gam import op1_quality
 from .secrets import op4_secrets
 from .simhash import op6_simhash
 from .token_ids import op10_token_ids
+from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_fertility": op5_fertility,
     "op6_simhash": op6_simhash,
+    "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
 }
 
