@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontaminate
 from .fertility import op5_fertility
+from .html_text import op8_html_text
 from .quality_gam import op1_quality
 from .secrets import op4_secrets
 from .simhash import op6_simhash
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_fertility": op5_fertility,
     "op6_simhash": op6_simhash,
+    "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
 }
