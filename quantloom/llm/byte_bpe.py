@@ -259,6 +259,33 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
+def tokenized(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """`docs` without their texts, with n_tokens, ids (array of int) and round_trip: whether the ids decode to the text.
+
+    A null text is empty. A column of `docs` with one of these names gives way.
+    """
+    kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
+    kinds = {f.name: f.dataType for f in docs.schema}
+    at = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoded = Encoder(path, pattern), decoder(path)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            ids = encoder(texts)
+            same = [decoded(i) == t.encode("utf-8", "replace") for i, t in zip(ids, texts)]
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype("i4")
+            flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype("i4"))
+            columns = [pa.array(np.diff(ends).astype("i8")), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=[*kept, "n_tokens", "ids", "round_trip"])
+
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+    schema = StructType([StructField(c, kinds[c]) for c in kept] + [StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
+    small_batches(docs.sparkSession, size="4m")
+    return docs.select(*kept, "text").mapInArrow(run, schema)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """documents encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256. Null and empty texts have no ids."""
     import public_tokenizers

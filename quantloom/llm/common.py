@@ -23,9 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of `df`, written once to the shared folder and read back: lineage ends there and no lost executor takes them along."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, cleanup = df.sparkSession, shared_dir(df.sparkSession), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # the shuffle files of a written table serve nobody any more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:

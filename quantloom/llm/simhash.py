@@ -103,9 +103,13 @@ class BKTree:
         return found
 
 
-def tree_links(index: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that join separate parts: among `index` (queries None), or of `queries` to `index` with index's own left to another task."""
-    tree, parent = BKTree(radius), list(range(len(index) + len(queries or ())))
+def tree_links(index: list[tuple], queries: list[tuple] | None, radius: int, alike=None) -> list[tuple[int, int]]:
+    """Links that join separate parts: among `index` (queries None), or of `queries` to `index`, whose own are another task's.
+
+    Rows are (node, code, signature); `alike` has the last word on a pair, given both signatures.
+    """
+    tree, rows = BKTree(radius), [*index, *(queries or ())]
+    parent = list(range(len(rows)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -113,18 +117,14 @@ def tree_links(index: list[int], queries: list[int] | None, radius: int) -> list
         return i
 
     out = []
-    for i, x in enumerate(index):
-        if queries is None:
-            for j in tree.near(x):
-                if (a := root(i)) != (b := root(j)):
+    for i, (node, code, signature) in enumerate(rows):
+        if queries is None or i >= len(index):
+            for j in tree.near(code):
+                if (a := root(i)) != (b := root(j)) and (alike is None or alike(signature, rows[j][2])):
                     parent[a] = b
-                    out.append((x, index[j]))
-        tree.add(x)
-    for i, x in enumerate(queries or (), len(index)):
-        for j in tree.near(x):
-            if (a := root(i)) != (b := root(j)):
-                parent[a] = b
-                out.append((x, index[j]))
+                    out.append((node, rows[j][0]))
+        if i < len(index):
+            tree.add(code)
     return out
 
 
@@ -142,39 +142,50 @@ def _signed(x: int) -> int:
 def links(nodes: DataFrame, radius: int = 3, shard_rows: int = 512) -> DataFrame:
     """(a, b): links that connect all fingerprints of `nodes` (distinct, column fp) within the radius, as a forest of each shard."""
     masks = [a | b for a, b in itertools.combinations(_blocks(radius), 2)]
-    dealt = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])).alias("shard")).select("fp", "shard.*")
+    shards = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])
+    dealt = nodes.select("fp", F.explode(shards).alias("shard")).select("shard.*", F.col("fp").alias("node"), F.col("fp").alias("code"))
+    return shard_links(dealt, radius, shard_rows)
+
+
+def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None) -> DataFrame:
+    """(a, b): links between nodes that share a shard, from rows (k, bits, node, code) with shard (k, bits); and signature, if `alike` is given."""
     sizes = dealt.groupBy("k", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    # Most shards hold one fingerprint and end here.
+    # Most shards hold one row and end here.
     dealt = stored(dealt.join(sizes, ["k", "bits"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, queries = None, [], []
 
         def done() -> list[tuple[int, int]]:
-            return tree_links(index, queries if held[2] else None, radius) if held else []
+            return tree_links(index, queries if held[2] else None, radius, alike) if held else []
+
+        def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for k, bits, pair, cross, asked, fp in zip(*(c.to_pylist() for c in batch.columns)):
+            columns = [c.to_pylist() for c in batch.columns]
+            for k, bits, pair, cross, asked, node, code, *signature in zip(*columns):
                 if held != (k, bits, cross, pair):
                     out += done()
                     held, index, queries = (k, bits, cross, pair), [], []
-                (queries if asked else index).append(fp & 0xFFFFFFFFFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array([_signed(x[i]) for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = done()
-        yield pa.RecordBatch.from_arrays([pa.array([_signed(x[i]) for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                (queries if asked else index).append((node, code & 0xFFFFFFFFFFFFFFFF, signature[0] if signature else None))
+            yield told(out)
+        yield told(done())
 
     # A shard of n rows has s = ceil(n / shard_rows) slices; slice i meets slice j >= i in task (i, j).
     s = F.ceil(F.col("n") / shard_rows).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), s).cast("int")
+    mine = F.pmod(F.xxhash64("node"), s).cast("int")
     meet = F.transform(
         F.sequence(F.lit(0), s - 1),
         lambda o: F.struct((F.least(mine, o) * s + F.greatest(mine, o)).cast("long").alias("pair"), (o != mine).alias("cross"), (o < mine).alias("asked")),
     )
-    tasks = dealt.select("k", "bits", F.explode(meet).alias("m"), "fp").select("k", "bits", "m.pair", "m.cross", "m.asked", "fp")
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = tasks.repartition(parts, "k", "bits", "pair").sortWithinPartitions("k", "bits", "pair", "asked", "fp")
-    small_batches(nodes.sparkSession, rows=10_000)
+    rest = ["node", "code", *(c for c in dealt.columns if c == "signature")]
+    tasks = dealt.select("k", "bits", F.explode(meet).alias("m"), *rest).select("k", "bits", "m.pair", "m.cross", "m.asked", *rest)
+    spark = dealt.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks.repartition(parts, "k", "bits", "pair").sortWithinPartitions("k", "bits", "pair", "asked", "node")
+    small_batches(spark, rows=10_000)
     return tasks.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -228,6 +239,114 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     return salted.join(spread, ["fp", "salt"]).select(key, "fp", "component_id")
 
 
+#: For near copies by similarity: bands of two minima that name shards, bins of the signature, and the radius of a BK-tree search.
+BANDS, BINS, RADIUS = 8, 256, 22
+
+
+def _minima(h: np.ndarray) -> list[int]:
+    """Shard names: the least values of a text's shingle hashes under 2 x BANDS orders, two and two."""
+    out = []
+    for k in range(2 * BANDS):
+        mixed = (h ^ np.uint64(0xD1B54A32D192ED03 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(int((mixed ^ (mixed >> np.uint64(31))).min()))
+    return [_signed((a * 3 + (b >> 1) * 5) & 0xFFFFFFFFFFFFFFFF) for a, b in zip(out[::2], out[1::2])]
+
+
+def _signature(h: np.ndarray) -> bytes:
+    """The least shingle hash of each of BINS bins, 16 bits of it; 0 where a bin is empty."""
+    h = np.unique(h * np.uint64(0x9E3779B97F4A7C15))
+    bins = (h >> np.uint64(56)).astype("i8")
+    first = np.concatenate(([True], bins[1:] != bins[:-1]))
+    out = np.zeros(BINS, "<u2")
+    out[bins[first]] = (h[first] >> np.uint64(20)) % np.uint64(65535) + np.uint64(1)
+    return out.tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of the shingle sets behind two signatures, estimated over the bins that either fills."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+    filled = (x | y) != 0
+    return float((x[filled] == y[filled]).mean()) if filled.any() else 1.0
+
+
+def shingle_set(h: np.ndarray) -> bytes:
+    """The distinct shingle hashes in order, 32 bits of each."""
+    return np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def jaccard(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two shingle sets are similar."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = RADIUS, doubt: float = 0.12) -> DataFrame:
+    """(_row, _class): the classes of documents whose shingle sets are similar.
+
+    `docs` has a column `_row`, unique longs. Texts of equal words (A-Z in lower case) are one node. Nodes are dealt to shards by
+    minima of their shingle hashes, two to a name: of two texts of similarity 0.8 one of the BANDS shards is common but for 1 in
+    3,500. A BK-tree of a shard finds the fingerprints within `radius` bits, and a pair is a candidate if its signatures agree on
+    `least` of their bins, less `doubt`. Connected candidates make shards of their own, in which BK-trees over the same
+    fingerprints find pairs again, and the shingle sets themselves decide. Texts without words are one class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                h = shingle_hashes(t or "", shingle)
+                same = xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").translate(_LOWER).split()))
+                out.append((same, fingerprint(h), _minima(h), _signature(h)) if len(h) else (same, 0, [0] * BANDS, bytes(2 * BINS)))
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "same", "code", "bands", "signature"])
+
+    small_batches(docs.sparkSession)
+    signed = stored(docs.select("_row", "text").mapInArrow(run, "_row long, same binary, code long, bands array<long>, signature binary"))
+    copies = stored(signed.groupBy("same").agg(F.min("_row").alias("node")))
+    # The row that stands for a group of copies brings what describes them all.
+    nodes = signed.join(copies.select(F.col("node").alias("_row")), "_row", "left_semi")
+    dealt = nodes.select(F.posexplode("bands").alias("k", "bits"), F.col("_row").alias("node"), "code", "signature")
+    candidates = shard_links(dealt, radius, alike=lambda a, b: similarity(a, b) >= least - doubt)
+    rough = components(copies.select(F.col("node").alias("fp")), candidates)
+    several = rough.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
+    members = stored(rough.join(several, "label").select(F.col("fp").alias("_row"), "label"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([0] * len(h), pa.int32()), batch.column(1), batch.column(0), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "bits", "node", "code", "signature"])
+
+    exact = docs.select("_row", "text").join(members, "_row").select("_row", "label", "text").mapInArrow(sets, "k int, bits long, node long, code long, signature binary")
+    edges = shard_links(stored(exact), radius, alike=lambda a, b: jaccard(a, b, least))
+    classes = components(copies.select(F.col("node").alias("fp")), edges)
+    by_copy = stored(copies.join(classes.withColumnRenamed("fp", "node"), "node").select("same", F.col("label").alias("_class")))
+    salts = 16  # one text may be a third of all rows'
+    spread = by_copy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return signed.select("_row", "same", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("salt")).join(spread, ["same", "salt"]).select("_row", "_class")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """`docs` with one row left of each class of near copies: that of the least doc_id, nulls last, then any one of these.
+
+    Other columns pass through. The rows are written once with a number of their own, and the losers' numbers taken out.
+    """
+    names, renamed = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = lambda name: renamed[names.index(name)]
+    rows = stored(docs.toDF(*renamed).withColumn("_row", F.monotonically_increasing_id()))
+    classes = near_copies(rows.select("_row", F.col(at("text")).alias("text")), shingle, least)
+    ranked = stored(classes.join(rows.select("_row", F.col(at(key)).alias("id")), "_row"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("_row").alias("_row"))
+    best = ranked.groupBy("_class").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    stays = best.select(F.col("best._row").alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*renamed).toDF(*names)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents' fingerprints of 3-word shingles, linked at 3 or fewer bits: doc_id, fingerprint (hex), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
