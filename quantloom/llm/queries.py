@@ -13,6 +13,7 @@ from .html_text import op8_html_text
 from .quality_gam import op1_quality
 from .secrets import op4_secrets
 from .simhash import op6_simhash
+from .substrings import op7_substrings
 from .token_ids import op10_token_ids
 from .warc import op9_warc
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_fertility": op5_fertility,
     "op6_simhash": op6_simhash,
+    "op7_substrings": op7_substrings,
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
