@@ -26,7 +26,7 @@ from .common import WHITE, small_batches, stored
 SYMBOLS = "#*$%&|<>"
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 #: Interquartile ranges beyond the quartiles, and the least half width of a band, of each measure.
-WIDTH, FLOORS, LEAST = 3.5, {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}, 50
+WIDTH, FLOORS, LEAST = 3.5, {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}, 400
 #: The first code point of Unicode blocks that tell scripts apart.
 SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
