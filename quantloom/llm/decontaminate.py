@@ -94,18 +94,14 @@ class WindowSet:
         return len(w), np.cumsum(hit[:-1]) > 0, items
 
 
-def _slices(benchmark: DataFrame, max_windows: int, size: int) -> list[list[tuple]]:
-    """The benchmark's items in slices of at most max_windows windows each (an item's text is whole in one slice)."""
+def _slices(benchmark: DataFrame, max_windows: int) -> Iterator[tuple[int, list[tuple]]]:
+    """The benchmark's (item, text) rows in slices of about max_windows windows at most, by a hash of the row; one is fetched at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    out, n = [[]], 0
-    for row in items.toLocalIterator():
-        k = max(1, len(row.text) // 2 - size)
-        if n and n + k > max_windows:
-            out.append([])
-            n = 0
-        out[-1].append((row.item, row.text))
-        n += k
-    return out
+    most = items.agg(F.sum(F.char_length("text") / 2)).first()[0] or 0  # a word and what parts it from the next are two characters
+    n = max(1, -(-int(most) // max_windows))
+    for k in range(n):
+        rows = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+        yield n, [(r.item, r.text) for r in rows.collect()]
 
 
 def scan(docs: DataFrame, windows: WindowSet, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,14 +133,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_w
     Null and empty texts have no words. Items of null text have no windows; an item of null id makes hits but isn't listed;
     items of equal id count as one. Rows of equal doc_id and text keep a row each and have equal results. An empty benchmark hits nothing.
     """
-    slices = _slices(benchmark, max_windows, size)
-    if len(slices) == 1:
-        return scan(docs, WindowSet(slices[0], size))
-    # One pass a slice over rows with a key of their own, then the union of what the slices found.
-    keyed = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    found = None
-    for part in slices:
-        one = scan(keyed, WindowSet(part, size), key="row")
+    keyed = found = None
+    for n, part in _slices(benchmark, max_windows):
+        if n == 1:
+            return scan(docs, WindowSet(part, size))
+        # One pass a slice over rows with a key of their own, then the union of what the slices found.
+        keyed = keyed or stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+        one = stored(scan(keyed, WindowSet(part, size), key="row"))
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
@@ -168,19 +163,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     A span runs from its first word's first character to its last word's end. Other columns stay as they are; null texts stay null.
     A benchmark beyond one broadcast is taken slice by slice, each slice cutting what the ones before it left.
     """
-    for part in _slices(benchmark, 2_000_000, size):
+    for n, part in _slices(benchmark, 2_000_000):
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet(part, size))
 
         def edit(texts: list[str | None], shared=shared) -> tuple[list, list]:
             out, keep = [], []
             for t in texts:
-                n, hit, _ = shared.value.scan(t or "")
-                share = hit.mean() if n else 0.0
+                _, hit, _ = shared.value.scan(t or "")
+                share = hit.mean() if len(hit) else 0.0
                 keep.append(share < drop_share)
                 out.append(cut(t, hit) if share else t)
             return out, keep
 
         docs = edited(docs, edit)
+        docs = docs if n == 1 else stored(docs)
     return docs
 
 

@@ -114,13 +114,13 @@ def find(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
     """`docs` with every base and linked span of their texts replaced by `mark`; all rows and other columns stay, null texts too.
 
-    Spans come back to their texts by a hash of the text: rows of equal text have equal spans.
+    Spans come back to their texts by a digest of the text: rows of equal text have equal spans.
     """
-    found = find(docs.select(F.xxhash64("text", F.reverse("text")).alias("hash"), "text"), scope, "hash")
+    found = find(docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash"), "text"), scope, "hash")
     found = found.select(F.col("hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_hash"])
     names, renamed = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     text = renamed[names.index("text")]
-    joined = docs.toDF(*renamed).withColumn("_hash", F.xxhash64(text, F.reverse(text))).join(found, "_hash", "left")
+    joined = docs.toDF(*renamed).withColumn("_hash", F.unhex(F.md5(F.col(text).cast("binary")))).join(found, "_hash", "left")
     at, out = renamed.index(text), docs.toDF(*renamed).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
