@@ -176,14 +176,14 @@ def _consensus(t):
     return P.consensus_per_day(t.snapshots, ["key", "date"], "periodicity", "fpi", "n", [F.col("id")])
 
 
-@query("j4_consensus_by_ticker_date", "permno date ~close #id ~n", f"SELECT permno, b.date AS date, close, id, n FROM bars b LEFT JOIN ({_D1}) s ON s.key = b.permno AND s.date = b.date")
+@query("j4_consensus_by_ticker_date", "permno date ~close #id ~n", f"SELECT permno, b.date AS date, close, coalesce(id, -1) AS id, n FROM bars b LEFT JOIN ({_D1}) s ON s.key = b.permno AND s.date = b.date")
 def _(t):
-    return P.by_key(t.bars, _consensus(t), {"permno": "key", "date": "date"})
+    return P.by_key(t.bars, _consensus(t), {"permno": "key", "date": "date"}).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
-@query("j5_actuals_by_ticker_date", "permno date ~close #id", f"SELECT permno, b.date AS date, close, id FROM bars b LEFT JOIN ({_D2.format('ASC')}) s ON s.key = b.permno AND s.date = b.date")
+@query("j5_actuals_by_ticker_date", "permno date ~close #id", f"SELECT permno, b.date AS date, close, coalesce(id, -1) AS id FROM bars b LEFT JOIN ({_D2.format('ASC')}) s ON s.key = b.permno AND s.date = b.date")
 def _(t):
-    return P.by_key(t.bars, P.actuals_per_day(t.snapshots, ["key", "date"], "periodicity", "n", [F.col("id")]), {"permno": "key", "date": "date"})
+    return P.by_key(t.bars, P.actuals_per_day(t.snapshots, ["key", "date"], "periodicity", "n", [F.col("id")]), {"permno": "key", "date": "date"}).withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 @query("j6_macro_by_date", "permno date ~p1_avg ~p5_max", "SELECT permno, date, p1_avg, p5_max FROM bars LEFT JOIN macro USING (date)")
@@ -542,9 +542,9 @@ def _(t):
     return M.fold_dates(t.bars, M.fold_geometry(M.calendar(t.bars).count()))
 
 
-@query("m4_target", "permno date #up", "SELECT permno, date, CAST(target > 0 AS INT) AS up FROM signals")
+@query("m4_target", "permno date #up", "SELECT permno, date, CAST(target > 0 AS INT) AS up FROM signals WHERE target IS NOT NULL")
 def _(t):
-    return t.signals.withColumn("up", (F.col("target") > 0).cast("int"))
+    return t.signals.filter("target IS NOT NULL").withColumn("up", (F.col("target") > 0).cast("int"))
 
 
 @query("m5_scaling", "permno date ~prob_up ~volatility", "SELECT permno, date, (prob_up - avg(prob_up) OVER ()) / stddev_pop(prob_up) OVER () AS prob_up, (volatility - avg(volatility) OVER ()) / stddev_pop(volatility) OVER () AS volatility FROM signals")
