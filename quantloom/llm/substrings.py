@@ -131,16 +131,36 @@ class WaveletTree:
             self.bits.append(Bits(ones))
             self.zeros.append(int(len(symbols) - ones.sum()))
             symbols = np.concatenate((symbols[~ones], symbols[ones]))
+        self.first = np.searchsorted(self._order(symbols), self._order(np.arange(1 << levels)))
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before lo, and before hi; both less the place of the symbol's run in the last level."""
-        first = np.zeros_like(lo)
+    def _order(self, symbols: np.ndarray) -> np.ndarray:
+        """Where symbols stand after the last level: by their bits read backwards."""
+        out = np.zeros_like(symbols)
+        for k in range(self.levels):
+            out |= (symbols >> k & 1) << (self.levels - 1 - k)
+        return out
+
+    def rank(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """How often each symbol stands before each of the places."""
+        at = list(places)
         for k in range(self.levels):
             one = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
             bits, zeros = self.bits[k], self.zeros[k]
-            r = [bits.rank(x) for x in (first, lo, hi)]
-            first, lo, hi = (np.where(one, zeros + y, x - y) for x, y in zip((first, lo, hi), r))
-        return lo - first, hi - first
+            for i, x in enumerate(at):
+                r = bits.rank(x)
+                at[i] = np.where(one, zeros + r, x - r)
+        return [x - self.first[symbol] for x in at]
+
+
+def _ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes by their first `depth` symbols, by prefix doubling. Ends compare equal: no search crosses them."""
+    rank, span, n = text, 1, len(text)
+    while span < depth:
+        key = rank * (rank.max() + 1)
+        key[: n - span] += rank[span:]
+        rank = np.unique(key, return_inverse=True)[1]
+        span *= 2
+    return rank
 
 
 class FMIndex:
@@ -158,12 +178,9 @@ class FMIndex:
         inside = np.ones(n, bool)
         inside[starts + sizes] = False
         text[inside] = ids + 1
-        rank, span = text, 1
-        while span < depth:  # prefix doubling; ends compare equal, as no search crosses them
-            key = rank * (rank.max() + 1) + np.concatenate((rank[span:], np.zeros(min(span, n), "i8")))[:n]
-            _, rank = np.unique(key, return_inverse=True)
-            span *= 2
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(_ranks(text, depth), kind="stable")
+        #: Ranks of the text read backwards: windows in this order share their last words with their neighbours.
+        self.backwards = _ranks(text[::-1], depth)[::-1]
         self.levels = max(1, int(len(self.alphabet)).bit_length())
         self.tree = WaveletTree(text[order - 1], self.levels)
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(self.alphabet) + 1))))
@@ -179,26 +196,28 @@ class FMIndex:
     def repeated(self, window: int) -> np.ndarray:
         """Streams the segments against the index: for each place of the text whether the window that starts there weighs two or more.
 
-        A search steps back from a window's last word and ends as soon as its interval weighs less than two: its matching
-        statistic is then known to be short. The middle words are asked for first, for all windows at a time that share them.
+        A search steps back from a window's last word. It ends as soon as its interval weighs less than two (the matching
+        statistic is short), or holds one suffix alone that weighs two or more: that is the window's own segment, which stands
+        for copies, and stays the only one. Windows are searched in the order of their last words, so that those in the same
+        interval that ask for the same symbol are neighbours and step once.
         """
         ends = np.concatenate([np.arange(s + window - 1, s + z) for s, z in zip(self.starts, self.sizes)])
-        lo, hi = np.zeros(len(ends), "i8"), np.full(len(ends), self.n, "i8")
-        live = np.arange(len(ends))
-        for step in range(window):
-            symbol = self.text[ends[live] - step]
-            # windows in the same interval that ask for the same symbol step once
-            key = (lo[live] * (self.n + 1) + hi[live]) if step else np.zeros(len(live), "i8")
-            _, state = np.unique(key, return_inverse=True)
-            _, first, which = np.unique(state * (len(self.alphabet) + 2) + symbol, return_index=True, return_inverse=True)
-            a, b = self.extend(symbol[first], lo[live][first], hi[live][first])
-            heavy = self.weight[b] - self.weight[a] >= 2
-            lo[live], hi[live] = a[which], b[which]
-            live = live[heavy[which]]
-            if not len(live):
-                break
+        ends = ends[np.argsort(self.backwards[ends], kind="stable")]
+        state, lo, hi = np.zeros(len(ends), "i8"), np.zeros(1, "i8"), np.full(1, self.n, "i8")
         out = np.zeros(self.n, bool)
-        out[ends[live] - window + 1] = True
+        for step in range(window):
+            symbol = self.text[ends - step]
+            new = np.concatenate(([True], (state[1:] != state[:-1]) | (symbol[1:] != symbol[:-1])))
+            first = np.flatnonzero(new)
+            lo, hi = self.extend(symbol[first], lo[state[first]], hi[state[first]])
+            which = np.cumsum(new) - 1
+            heavy, lone = self.weight[hi] - self.weight[lo] >= 2, hi - lo == 1
+            out[ends[(heavy & lone)[which]] - window + 1] = True
+            live = (heavy & ~lone)[which]
+            ends, state = ends[live], which[live]
+            if not len(ends):
+                return out
+        out[ends - window + 1] = True
         return out
 
 
@@ -229,7 +248,7 @@ def _digest():
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = 1_000_000) -> DataFrame:
     """(same, ranges): for each different text with repeated windows, the words they cover, as ranges of word numbers in order.
 
-    `docs` has `text`, without nulls, and `pick`, longs that tell copies of a text apart: of a group of copies one brings its words.
+    `window` is `gram` plus 61 words at most. `docs` has `text`, without nulls, and `pick`, longs that tell copies of a text apart: of a group of copies one brings its words.
     """
     spark = docs.sparkSession
     plain = docs.select(_digest().alias("same"), "text", "pick")
@@ -265,6 +284,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total, last, alone = 0, None, True
+        bits = 1 << np.arange(window - gram + 1)  # a segment's windows at most: fewer than 63
 
         def done() -> pa.RecordBatch:
             out = []
@@ -273,8 +293,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                 marks = index.repeated(window)
                 for (_, gram, content, part, _, _), s, z in zip(held, index.starts.tolist(), index.sizes.tolist()):
                     if (own := marks[s : s + z - window + 1]).any():
-                        out.append((gram, content, part, len(own), np.packbits(own, bitorder="little").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["gram", "content", "part", "n_marks", "marks"])
+                        out.append((gram, content, part, int(own @ bits[: len(own)])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["gram", "content", "part", "marks"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -298,24 +318,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Rows of equal text and key bring their words as often as they stand there; a search takes the first.
     brought = brought.repartition(parts, "shard").sortWithinPartitions("shard", "gram", "content", "part")
-    marked = brought.mapInArrow(search, "gram long, content long, part int, n_marks int, marks binary")
-    marked = stored(marked.groupBy("gram", "content").agg(F.array_sort(F.collect_list(F.struct("part", "n_marks", "marks"))).alias("parts")))  # of one segment
-    back = hits.join(marked, ["gram", "content"]).select("same", "start", "parts")
+    marked = stored(brought.mapInArrow(search, "gram long, content long, part int, marks long"))
+    back = hits.join(marked, ["gram", "content"]).select("same", (F.col("start") + F.col("part")).alias("start"), "marks")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.arange(window - gram + 1)
         for batch in batches:
             out = []
-            for rows in batch.column(1).to_pylist():
-                at = np.concatenate([r["start"] + p["part"] + np.flatnonzero(np.unpackbits(np.frombuffer(p["marks"], "u1"), bitorder="little", count=p["n_marks"])) for r in rows for p in r["parts"]])
+            for starts, marks in zip(batch.column(1), batch.column(2)):
+                start, mark = starts.values.to_numpy(), marks.values.to_numpy()
+                at = (start[:, None] + shift)[(mark[:, None] >> shift & 1).astype(bool)]
                 at.sort()
                 cut = np.flatnonzero(np.diff(at) > window)
                 lo, hi = at[np.concatenate(([0], cut + 1))], at[np.append(cut, len(at) - 1)] + window
-                out.append([{"start": int(a), "end": int(b)} for a, b in zip(lo, hi)])
+                out.append([{"start": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist())])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["same", "ranges"])
 
     small_batches(spark, size="4m")
-    return stored(back.groupBy("same").agg(F.collect_list(F.struct("start", "parts")).alias("rows")).mapInArrow(ranges, "same binary, ranges array<struct<start:int,end:int>>"))
+    gathered = back.groupBy("same").agg(F.collect_list(F.struct("start", "marks")).alias("rows"))  # of one text
+    return stored(gathered.select("same", F.col("rows.start").alias("starts"), F.col("rows.marks").alias("marks")).mapInArrow(ranges, "same binary, ranges array<struct<start:int,end:int>>"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, key: str = "doc_id") -> DataFrame:
