@@ -703,6 +703,14 @@ for _freq, _body in (("daily", _REPORT), ("monthly", _MONTHLY)):
         return B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")), freq)
 
 
+@query("src11_src12_report_sink", "scoring allocation date freq ~strategy ~excess", f"SELECT *, strategy - rf AS excess, 'daily' AS freq FROM ({_REPORT})")
+def _(t):
+    """Written by scoring, allocation and frequency, and read back."""
+    rows = B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")))
+    T.write_report(rows, path := T.scratch(t.spark))
+    return t.spark.read.parquet(path)
+
+
 _TRADES = "SELECT permno, prob_up, expected_return, w AS weight, abs(score) AS conviction, CASE WHEN w > 0 THEN 'BUY' ELSE 'SELL-SHORT' END AS action FROM weights WHERE scoring = 'S1' AND allocation = 'A1' AND date = (SELECT max(date) FROM bars) AND w <> 0"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +62,11 @@ def extract_all(spark: SparkSession, url: str, queries: Mapping[str, str], folde
     return assert_present(spark, folder, list(queries))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in storage that all executors share: below spark.checkpoint.dir, or a temporary folder where that is unset."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def half_open(df: DataFrame, start: str | None, end: str | None, column: str = "date") -> DataFrame:
     """Rows of [start, end); a bound of None is open. Reaches the scan as a pushed filter."""
     if start is not None:
