@@ -82,6 +82,22 @@ def test_guards_raise(spark):
         A.allocate(df, ["A99"])
 
 
+def test_jdbc_extraction(spark, tmp_path):
+    url = "jdbc:derby:memory:panel;create=true"
+    rows = spark.createDataFrame([(i, float(i) / 2) for i in range(100)], "id long, x double")
+    rows.coalesce(1).write.jdbc(url, "prices", mode="overwrite")
+    folder = str(tmp_path)
+    for force, factor in ((False, 1), (False, 1), (True, 3)):
+        paths = T.extract_all(spark, url, {"prices": f'SELECT "id", "x" * {factor} AS "x" FROM prices'}, folder, "id", (0, 100), force=force, partitions=3)
+        got = T.read(spark, paths, "prices").agg(F.count("*"), F.sum("x")).first()
+        assert tuple(got) == (100, 2475.0 * factor)
+    with pytest.raises(KeyError):
+        T.read(spark, paths, "absent")
+    assert T.load(spark, folder, ["prices"])["prices"].count() == 100
+    paths = T.extract_all(spark, url, {"prices": 'SELECT "id", "x" * 9 AS "x" FROM prices'}, folder, "id", (0, 100))
+    assert T.read(spark, paths, "prices").agg(F.sum("x")).first()[0] == 2475.0 * 3  # what is there stays
+
+
 def day(spark, rows):
     df = spark.createDataFrame(rows, "date date, permno long, prob_up double, expected_return double, volatility double")
     return signals(df).withColumn("score", F.col("prob_up") * F.col("expected_return"))
