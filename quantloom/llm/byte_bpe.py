@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, texts
 
 NONE = 1 << 40
-KEPT_CHARS, KEPT_CHUNKS = 48, 400_000
+KEPT_CHARS, KEPT_CHUNKS = 48, 250_000
 #: White space other than the blank and the line end, after Unicode's White_Space and Python's str.isspace.
 _RARE = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Dat
             ids = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size="4m")
     return texts(docs, key).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
@@ -255,7 +255,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [None if x is None else decoded(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    small_batches(encoded.sparkSession)
+    small_batches(encoded.sparkSession, size="4m")
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
