@@ -8,7 +8,7 @@ keyboard noise fall apart into many short tokens, and boiler-plate loops into fe
 Bands are per language (the lang column; per script where it is null) and per octave of the word count, as entropy depends on
 length: the quartiles of the documents that pass the base rules, widened by `width` interquartile ranges, and by a floor. They
 are computed over all documents in one aggregation with bounded sketches per group (percentile_approx); a group of fewer than
-`least` documents takes the band of its language's all lengths, and if that is small too, of all documents.
+`least` documents has no band, and none of its documents is rejected for one.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import WHITE, small_batches, stored
 SYMBOLS = "#*$%&|<>"
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 #: Interquartile ranges beyond the quartiles, and the least half width of a band, of each measure.
-WIDTH, FLOORS, LEAST = 3.5, {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}, 400
+WIDTH, FLOORS, LEAST = 3.5, {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}, 100
 #: The first code point of Unicode blocks that tell scripts apart.
 SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
@@ -153,10 +153,10 @@ def failed():
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST, lang: str = "lang") -> DataFrame:
-    """(tongue, octave, and per measure _lo and _hi): a row for each group that has documents enough, octave null for all lengths, tongue null for all."""
+    """(tongue, octave, and per measure _lo and _hi): a row for each group that has documents enough."""
     good = measured.filter(~failed() & F.col("chars_per_token").isNotNull()).select(F.coalesce(lang, "script").alias("tongue"), F.floor(F.log2("n_words")).alias("octave"), *FLOORS)
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in FLOORS]
-    groups = good.rollup("tongue", "octave").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least)
+    groups = good.groupBy("tongue", "octave").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least)
 
     def edge(m: str, side: int):
         q = F.col(m)
@@ -166,15 +166,12 @@ def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST, lang: s
 
 
 def judged(measured: DataFrame, band: DataFrame, lang: str = "lang") -> DataFrame:
-    """`measured` with base_failed, in_bands and kept. A document whose group has no band, however wide, is in it."""
+    """`measured` with base_failed, in_bands and kept. A document whose group has no band counts as within."""
     edges = [c for c in band.columns if c not in ("tongue", "octave")]
-    fine = band.filter("octave is not null")
-    by_tongue = band.filter("octave is null and tongue is not null").select("tongue", *[F.col(c).alias(f"t_{c}") for c in edges])
-    of_all = band.filter("octave is null and tongue is null").select(*[F.col(c).alias(f"a_{c}") for c in edges]).agg(*[F.max(f"a_{c}").alias(f"a_{c}") for c in edges])
     rows = measured.withColumn("tongue", F.coalesce(lang, "script")).withColumn("octave", F.floor(F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
-    # Each a few rows a language, as Spark sees at run time; one row for all documents.
-    rows = rows.join(fine, ["tongue", "octave"], "left").join(by_tongue, "tongue", "left").join(F.broadcast(of_all), F.lit(True), "left")
-    e = {c: F.coalesce(c, f"t_{c}", f"a_{c}") for c in edges}
+    # Some rows a language: Spark sees their size at run time.
+    rows = rows.join(band, ["tongue", "octave"], "left")
+    e = {c: F.col(c) for c in edges}
     within = F.lit(True)
     for m, low, high in (("chars_per_token", True, True), ("fallback", False, True), ("entropy", True, False)):
         if low:
