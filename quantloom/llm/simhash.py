@@ -106,7 +106,8 @@ class BKTree:
 def tree_links(index: list[tuple], queries: list[tuple] | None, radius: int, alike=None) -> list[tuple[int, int]]:
     """Links that join separate parts: among `index` (queries None), or of `queries` to `index`, whose own are another task's.
 
-    Rows are (node, code, signature); `alike` has the last word on a pair, given both signatures.
+    Rows are (node, code, signature). `alike`, given a signature and a list of others, says which of these it links to. Then the
+    radius only tells which rows are asked first: those that stay apart are all asked, however far their codes.
     """
     tree, rows = BKTree(radius), [*index, *(queries or ())]
     parent = list(range(len(rows)))
@@ -119,10 +120,18 @@ def tree_links(index: list[tuple], queries: list[tuple] | None, radius: int, ali
     out = []
     for i, (node, code, signature) in enumerate(rows):
         if queries is None or i >= len(index):
-            for j in tree.near(code):
-                if (a := root(i)) != (b := root(j)) and (alike is None or alike(signature, rows[j][2])):
-                    parent[a] = b
-                    out.append((node, rows[j][0]))
+            todo = tree.near(code)
+            if alike is not None:
+                first = set(todo)
+                todo += [j for j in range(len(tree.values)) if j not in first]
+            some = 1  # by growing parts, as the first link to a part of the shard settles the rest of it
+            while todo := [j for j in todo if root(j) != root(i)]:
+                asked, todo = (todo, []) if alike is None else (todo[:some], todo[some:])
+                for j, yes in zip(asked, itertools.repeat(True) if alike is None else alike(signature, [rows[j][2] for j in asked])):
+                    if yes and (a := root(i)) != (b := root(j)):
+                        parent[a] = b
+                        out.append((node, rows[j][0]))
+                some *= 4
         if i < len(index):
             tree.add(code)
     return out
@@ -262,11 +271,12 @@ def _signature(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of the shingle sets behind two signatures, estimated over the bins that either fills."""
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
+def similarities(a: bytes, others: list[bytes]) -> np.ndarray:
+    """Jaccard similarity of the shingle sets behind a signature and others, estimated over the bins that either of two fills."""
+    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b"".join(others), "<u2").reshape(-1, BINS)
     filled = (x | y) != 0
-    return float((x[filled] == y[filled]).mean()) if filled.any() else 1.0
+    n = filled.sum(1)
+    return np.where(n > 0, ((x == y) & filled).sum(1) / np.maximum(n, 1), 1.0)
 
 
 def shingle_set(h: np.ndarray) -> bytes:
@@ -288,9 +298,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
 
     `docs` has a column `_row`, unique longs. Texts of equal words (A-Z in lower case) are one node. Nodes are dealt to shards by
     minima of their shingle hashes, two to a name: of two texts of similarity 0.8 one of the BANDS shards is common but for 1 in
-    3,500. A BK-tree of a shard finds the fingerprints within `radius` bits, and a pair is a candidate if its signatures agree on
-    `least` of their bins, less `doubt`. Connected candidates make shards of their own, in which BK-trees over the same
-    fingerprints find pairs again, and the shingle sets themselves decide. Texts without words are one class.
+    3,500. In a shard a pair is a candidate if its signatures agree on `least` of their bins, less `doubt`. Connected candidates
+    make shards of their own, in which the shingle sets themselves decide. Fingerprints are of distinct shingles, as the sets are,
+    and BK-trees find those within `radius` bits, which are asked first; pairs beyond it are asked too while their rows are apart,
+    so no link hangs on the radius. Texts without words are one class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +312,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t or "", shingle)
                 same = xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").translate(_LOWER).split()))
-                out.append((same, fingerprint(h), _minima(h), _signature(h)) if len(h) else (same, 0, [0] * BANDS, bytes(2 * BINS)))
+                out.append((same, fingerprint(np.unique(h)), _minima(h), _signature(h)) if len(h) else (same, 0, [0] * BANDS, bytes(2 * BINS)))
             columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "same", "code", "bands", "signature"])
 
@@ -311,7 +322,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     # The row that stands for a group of copies brings what describes them all.
     nodes = signed.join(copies.select(F.col("node").alias("_row")), "_row", "left_semi")
     dealt = nodes.select(F.posexplode("bands").alias("k", "bits"), F.col("_row").alias("node"), "code", "signature")
-    candidates = shard_links(dealt, radius, alike=lambda a, b: similarity(a, b) >= least - doubt)
+    candidates = shard_links(dealt, radius, alike=lambda a, others: similarities(a, others) >= least - doubt)
     rough = components(copies.select(F.col("node").alias("fp")), candidates)
     several = rough.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
     members = stored(rough.join(several, "label").select(F.col("fp").alias("_row"), "label"))
@@ -319,11 +330,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([0] * len(h), pa.int32()), batch.column(1), batch.column(0), pa.array([fingerprint(x) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
+            columns = [pa.array([0] * len(h), pa.int32()), batch.column(1), batch.column(0), pa.array([fingerprint(np.unique(x)) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "bits", "node", "code", "signature"])
 
     exact = docs.select("_row", "text").join(members, "_row").select("_row", "label", "text").mapInArrow(sets, "k int, bits long, node long, code long, signature binary")
-    edges = shard_links(stored(exact), radius, alike=lambda a, b: jaccard(a, b, least))
+    edges = shard_links(stored(exact), radius, alike=lambda a, others: [jaccard(a, b, least) for b in others])
     classes = components(copies.select(F.col("node").alias("fp")), edges)
     by_copy = stored(copies.join(classes.withColumnRenamed("fp", "node"), "node").select("same", F.col("label").alias("_class")))
     salts = 16  # one text may be a third of all rows'

@@ -218,6 +218,25 @@ def test_keep_one_of_near_copies(spark, odd):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(odd).collect()) == [0, 1, 3, 4, 5, 6]
 
 
+def test_near_copies_with_looped_lines(spark):
+    # Sets of shingles alone make copies: a looped line moves a fingerprint of repeats, and similarity 0.8 may be any number of bits away.
+    rows, pairs = [], 40
+    for k in range(pairs):
+        text = " ".join(f"p{k}w{i}" for i in range(400))
+        line = " ".join(f"p{k}l{i}" for i in range(10))
+        rows += [(2 * k, text), (2 * k + 1, f"{text}\n" + f"{line}\n" * 40)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 2 * pairs, 2))
+    # 404 shingles of which 360 are common: 360 / 448 is just over 0.8, 358 / 450 just under.
+    base = [f"b{i}" for i in range(408)]
+    over, under = (" ".join([*base[: n + 4], *(f"x{n}n{i}" for i in range(404 - n))]) for n in (360, 358))
+    for other, left in ((over, {1}), (under, {1, 2})):
+        assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(1, " ".join(base)), (2, other)], "doc_id long, text string")).collect()} == left
+    sets = [simhash.shingle_set(simhash.shingle_hashes(t, 5)) for t in (" ".join(base), over)]
+    links = simhash.tree_links([(1, 0, sets[0]), (2, (1 << 64) - 1, sets[1])], None, 22, lambda a, others: [simhash.jaccard(a, b, 0.8) for b in others])
+    assert links == [(2, 1)]  # 64 bits apart
+
+
 # 7
 
 
