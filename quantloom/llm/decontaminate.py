@@ -11,7 +11,8 @@ hash of each token window is looked up in a bit table first, survivors in the so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,12 +134,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_w
     Null and empty texts have no words. Items of null text have no windows; an item of null id makes hits but isn't listed;
     items of equal id count as one. Rows of equal doc_id and text keep a row each and have equal results. An empty benchmark hits nothing.
     """
-    keyed = found = None
-    for n, part in _slices(benchmark, max_windows):
-        if n == 1:
-            return scan(docs, WindowSet(part, size))
-        # One pass a slice over rows with a key of their own, then the union of what the slices found.
-        keyed = keyed or stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    parts = _slices(benchmark, max_windows)
+    n, part = next(parts)
+    if n == 1:
+        return scan(docs, WindowSet(part, size))
+    keyed = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    merged = _merged(keyed, itertools.chain([(n, part)], parts), size)
+    return keyed.select("row", "doc_id").join(merged, "row").drop("row")
+
+
+def _merged(keyed: DataFrame, parts: Iterable[tuple[int, list[tuple]]], size: int) -> DataFrame:
+    """(row, n_words, hits, items) of the stored (row, text): one pass a slice over the whole texts, then the union of what the slices found."""
+    found = None
+    for _, part in parts:
         one = stored(scan(keyed, WindowSet(part, size), key="row"))
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(
@@ -154,19 +162,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_w
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return keyed.select("row", "doc_id").join(merged.withColumn("hits", union), "row").drop("row")
+    return merged.withColumn("hits", union)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, size: int = SIZE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, size: int = SIZE, max_windows: int = 2_000_000) -> DataFrame:
     """The documents with hit spans cut out of their texts; one of whose words drop_share or more are hit goes.
 
     A span runs from its first word's first character to its last word's end. Other columns stay as they are; null texts stay null.
-    A benchmark beyond one broadcast is taken slice by slice, each slice cutting what the ones before it left.
+    The hits of all slices of a larger benchmark are found on the texts as they came, and cut at once.
     """
-    for n, part in _slices(benchmark, 2_000_000):
+    parts = _slices(benchmark, max_windows)
+    n, part = next(parts)
+    if n == 1:
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet(part, size))
 
-        def edit(texts: list[str | None], shared=shared) -> tuple[list, list]:
+        def edit(texts: list[str | None]) -> tuple[list, list]:
             out, keep = [], []
             for t in texts:
                 _, hit, _ = shared.value.scan(t or "")
@@ -175,9 +185,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
                 out.append(cut(t, hit) if share else t)
             return out, keep
 
-        docs = edited(docs, edit)
-        docs = docs if n == 1 else stored(docs)
-    return docs
+        return edited(docs, edit)
+    names, renamed = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = names.index("text")
+    rows = stored(docs.toDF(*renamed).withColumn("row", F.monotonically_increasing_id()))
+    found = _merged(rows.select("row", F.col(renamed[at]).alias("text")), itertools.chain([(n, part)], parts), size)
+    joined = rows.join(found.filter("size(hits) > 0").select("row", "n_words", "hits"), "row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, keep = [], []
+            for t, words_of, spans in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))):
+                hit = np.zeros(words_of or 0, bool)
+                for span in spans or ():
+                    hit[span["start"] : span["end"]] = True
+                keep.append((hit.mean() if spans else 0.0) < drop_share)
+                out.append(cut(t, hit) if spans else t)
+            columns = [pa.array(out, pa.string()) if i == at else x for i, x in enumerate(batch.columns[: len(names)])]
+            yield pa.RecordBatch.from_arrays(columns, names=renamed).filter(pa.array(np.array(keep, bool)))
+
+    small_batches(docs.sparkSession)
+    return joined.select(*renamed, "n_words", "hits").mapInArrow(run, rows.select(*renamed).schema).toDF(*names)
 
 
 def cut(text: str, hit: np.ndarray) -> str:

@@ -97,6 +97,25 @@ def test_contamination_edges_and_slices(spark, odd):
     assert decontaminate.cut("A Bc, d e.", np.array([False, True, True, False])) == "A  e."
 
 
+def test_slices_cut_what_one_slice_cuts(spark):
+    w = lambda c, a, b: " ".join(f"{c}{i}" for i in range(a, b))
+    items = [("a", w("a", 0, 30)), ("b", w("b", 0, 30)), ("x", w("o", 0, 12)), ("y", w("o", 8, 20)), ("z", w("j", 0, 10))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    # Shares that add up over slices; windows that overlap; words that a cut brings together.
+    rows = [(1, "p", f"{w('a', 0, 30)} {w('b', 0, 30)} {w('f', 0, 40)}"), (2, "q", f"{w('g', 0, 40)}, {w('o', 0, 20)}. {w('h', 0, 40)}")]
+    rows += [(3, None, f"{w('g', 0, 20)} {w('j', 0, 5)} {w('a', 3, 17)} {w('j', 5, 10)} {w('h', 0, 20)}"), (4, "r", None), (None, "s", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, row string, text string")
+    one, many = (decontaminate.decontaminate(docs, bench, max_windows=m) for m in (1000, 1))
+    assert one.columns == many.columns == docs.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert {r.doc_id: r.text for r in many.collect()} == {
+        2: f"{w('g', 0, 40)}, . {w('h', 0, 40)}",
+        3: f"{w('g', 0, 20)} {w('j', 0, 5)}  {w('j', 5, 10)} {w('h', 0, 20)}",
+        4: None,
+        None: "",
+    }
+
+
 # 3
 
 
