@@ -8,7 +8,10 @@ keyboard noise fall apart into many short tokens, and boiler-plate loops into fe
 Bands are per language (the lang column; per script where it is null) and per octave of the word count, as entropy depends on
 length: the quartiles of the documents that pass the base rules, widened by `width` interquartile ranges, and by a floor. They
 are computed over all documents in one aggregation with bounded sketches per group (percentile_approx); a group of fewer than
-`least` documents has no band, and none of its documents is rejected for one.
+`least` documents takes the band of the nearest octave of its language that has one (the shorter of two), then that of its
+script at the nearest octave, and then that of all documents at the nearest octave. Entropy differs by length, so the nearest
+octave goes before all lengths; those come last at each level, for levels that no single octave can fill. A borrowed band is
+moved by the corpus's trend of entropy over octaves, and is wider for shorter texts, by the root of the ratio of lengths.
 """
 
 from __future__ import annotations
@@ -153,24 +156,46 @@ def failed():
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST, lang: str = "lang") -> DataFrame:
-    """(tongue, octave, and per measure _lo and _hi): a row for each group that has documents enough."""
-    good = measured.filter(~failed() & F.col("chars_per_token").isNotNull()).select(F.coalesce(lang, "script").alias("tongue"), F.floor(F.log2("n_words")).alias("octave"), *FLOORS)
+    """(level, tongue, octave, its mean octave, the corpus's trend of entropy, and per measure _lo and _hi): a row for each group that has documents enough.
+
+    Level 0 is of languages (tongue as in `judged`), 1 of scripts, 2 of all documents (tongue ''); octave -1 is all lengths.
+    A level of all documents has its row of all lengths however few they are.
+    """
+    good = measured.filter(~failed() & F.col("chars_per_token").isNotNull())
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), c.alias("tongue")) for k, c in enumerate((F.coalesce(lang, "script"), F.col("script"), F.lit("")))])
+    at = F.floor(F.log2("n_words")).alias("at")
+    trend = good.agg(F.coalesce(F.nanvl(F.regr_slope("entropy", F.log2("n_words")), F.lit(0.0)), F.lit(0.0)).alias("trend"))
+    good = good.select(F.explode(levels).alias("of"), at, *FLOORS).select("of.*", "at", F.explode(F.array("at", F.lit(-1).cast("long"))).alias("octave"), *FLOORS)
     quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in FLOORS]
-    groups = good.groupBy("tongue", "octave").agg(F.count("*").alias("n"), *quartiles).filter(F.col("n") >= least)
+    groups = good.groupBy("level", "tongue", "octave").agg(F.count("*").alias("n"), F.avg("at").alias("mid"), *quartiles).crossJoin(F.broadcast(trend))
+    groups = groups.filter((F.col("n") >= least) | (F.col("level") == 2) & (F.col("octave") == -1))
 
     def edge(m: str, side: int):
         q = F.col(m)
         return q[side] + (2 * side - 1) * F.greatest(width * (q[1] - q[0]), F.lit(FLOORS[m]))
 
-    return groups.select("tongue", "octave", *[edge(m, side).alias(f"{m}_{'hi' if side else 'lo'}") for m in FLOORS for side in (0, 1)])
+    return groups.select("level", "tongue", "octave", "mid", "trend", *[edge(m, side).alias(f"{m}_{'hi' if side else 'lo'}") for m in FLOORS for side in (0, 1)])
 
 
 def judged(measured: DataFrame, band: DataFrame, lang: str = "lang") -> DataFrame:
-    """`measured` with base_failed, in_bands and kept. A document whose group has no band counts as within."""
-    edges = [c for c in band.columns if c not in ("tongue", "octave")]
-    rows = measured.withColumn("tongue", F.coalesce(lang, "script")).withColumn("octave", F.floor(F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
-    # Some rows a language: Spark sees their size at run time.
-    rows = rows.join(band, ["tongue", "octave"], "left")
+    """`measured` with base_failed, in_bands and kept. Only where no document at all passes the base rules is there no band."""
+    edges = [c for c in band.columns if c not in ("level", "tongue", "octave", "mid", "trend")]
+    rows = measured.withColumn("octave", F.floor(F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
+    groups = rows.select(F.col(lang).alias("_lang"), F.col("script").alias("_script"), F.col("octave").alias("_octave")).distinct()
+    tongue = F.when(F.col("level") == 0, F.coalesce("_lang", "_script")).when(F.col("level") == 1, F.col("_script")).otherwise("")
+    # The band of each group of documents: some rows a language, as many as it has octaves.
+    near = F.struct((F.col("level") * 2 + (F.col("octave") == -1).cast("int")).alias("rank"), F.abs(F.col("octave") - F.col("_octave")).alias("off"), "octave", "mid", "trend", *edges)
+    levels = groups.withColumn("level", F.explode(F.array(*map(F.lit, range(3))))).withColumn("tongue", tongue)
+    chosen = levels.join(band, ["level", "tongue"]).groupBy("_lang", "_script", "_octave").agg(F.min(near).alias("near"))
+    wider = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("near.mid") - F.col("_octave")) / 2)) - 1  # 0 for a group's own band
+
+    def moved(m: str, side: str):
+        low, high = F.col(f"near.{m}_lo"), F.col(f"near.{m}_hi")
+        by = F.col("near.trend") * (F.col("_octave") - F.col("near.mid")) if m == "entropy" else F.lit(0.0)
+        return ((low - wider * (high - low) / 2 if side == "lo" else high + wider * (high - low) / 2) + by).alias(f"{m}_{side}")
+
+    chosen = chosen.select("_lang", "_script", "_octave", *[moved(m, side) for m in FLOORS for side in ("lo", "hi")])
+    rows = rows.join(chosen, F.col(lang).eqNullSafe(F.col("_lang")) & F.col("script").eqNullSafe(F.col("_script")) & F.col("octave").eqNullSafe(F.col("_octave")), "left")
     e = {c: F.col(c) for c in edges}
     within = F.lit(True)
     for m, low, high in (("chars_per_token", True, True), ("fallback", False, True), ("entropy", True, False)):

@@ -173,6 +173,16 @@ def test_base_rules(spark, odd):
     assert all(r.kept or r.base_failed for r in fertility.op5_fertility(spark, SF).collect() if labels.get(r.doc_id) == 1)
 
 
+def test_small_groups_have_bands(spark):
+    # One garbage text in a language of few, in a long octave, and of a script of its own: as rejected as in a large group.
+    good = (100, 500, 0, 0, 0, "latin", 4.0, 0.0, 0.9)
+    bad = (100, 500, 0, 0, 0, "latin", 1.1, 0.4, 0.9)
+    rows = [(i, "en", *good) for i in range(150)] + [(200, "en", *bad), (201, "xx", *bad), (202, None, *bad[:5], "thai", *bad[6:]), (203, "en", 5000, *bad[1:]), (204, "xx", *good), (205, "en", 5000, *good[1:])]
+    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {fertility._SCHEMA}")
+    kept = {r.doc_id: r.kept for r in fertility.judged(measured, fertility.bands(measured)).collect()}
+    assert len(kept) == len(rows) and {i for i, k in kept.items() if not k} == {200, 201, 202, 203}
+
+
 # 6
 
 
