@@ -110,10 +110,10 @@ def fit_linear(df: DataFrame, features: Sequence[str], target: str, alpha: float
     return Fitted(list(features), scale, (model.coefficients.toArray() * sd).tolist(), model.intercept * sd, False)
 
 
-def grid_search(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence[float]], logistic: bool, max_iter: int = 60, tol: float = 1e-6) -> list[dict]:
+def grid_search(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, grid: dict[str, Sequence[float]], logistic: bool, **limits) -> list[dict]:
     """Error of each setting, averaged over rolling folds, in the order that breaks ties (first key outermost): fits are jobs, rows stay.
 
-    Scalers are fitted per fold, on its training rows alone.
+    Scalers are fitted per fold, on its training rows alone. limits: max_iter and tol, where not the fits' own.
     """
     known = df.dropna(subset=[*features, target]).join(F.broadcast(folds), "date").cache()
     out = []
@@ -122,7 +122,7 @@ def grid_search(df: DataFrame, folds: DataFrame, features: Sequence[str], target
         setting, errors = dict(zip(grid, values)), []
         for k in ids:
             rows = known.filter(F.col("fold") == k)
-            model = (fit_logistic if logistic else fit_linear)(rows.filter("role = 'train'"), features, target, **setting, max_iter=max_iter, tol=tol)
+            model = (fit_logistic if logistic else fit_linear)(rows.filter("role = 'train'"), features, target, **setting, **limits)
             val = model.scored(rows.filter("role = 'val'"), "_s")
             wrong = F.avg(((F.col("_s") > 0.5) != (F.col(target) > 0)).cast("double")) if logistic else F.sqrt(F.avg(F.pow(F.col("_s") - F.col(target), 2)))
             errors.append(val.agg(wrong).first()[0])

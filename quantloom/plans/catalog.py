@@ -569,9 +569,9 @@ def _(t):
 @query("m8_m9_grid_search", "model ~l1_ratio ~setting ~error #combo_order")
 def _(t):
     rows, names = _features(t)
-    folds = M.fold_dates(rows.filter("in_sample"), M.fold_geometry(M.calendar(rows.filter("in_sample")).count(), 3))
-    a = M.grid_search(rows, folds, names, "ret_lead1", {"C": (0.1, 1.0), "l1_ratio": (0.9,)}, True)
-    b = M.grid_search(rows, folds, names, "ret_lead1", {"alpha": (1e-4, 1e-2), "l1_ratio": (0.5,)}, False)
+    folds = M.fold_dates(rows.filter("in_sample"), M.fold_geometry(M.calendar(rows.filter("in_sample")).count()))
+    a = M.grid_search(rows, folds, names, "ret_lead1", {"C": (0.1, 0.5, 1.0), "l1_ratio": (0.8, 0.9)}, True)
+    b = M.grid_search(rows, folds, names, "ret_lead1", {"alpha": (5e-6, 5e-5, 5e-4, 1e-6, 1e-5, 1e-4), "l1_ratio": (0.4, 0.5, 0.6)}, False)
     found = [("logistic", x["l1_ratio"], x["C"], x["error"], x["combo_order"]) for x in a] + [("linear", x["l1_ratio"], x["alpha"], x["error"], x["combo_order"]) for x in b]
     return t.spark.createDataFrame(found, "model string, l1_ratio double, setting double, error double, combo_order int")
 

@@ -168,6 +168,16 @@ def test_elastic_net_against_coordinate_descent(spark):
     assert flat.coefficients[0] > 0 > flat.coefficients[1]
 
 
+def test_grid_search_is_registered_whole(spark, monkeypatch):
+    from quantloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.M, "grid_search", lambda rows, folds, names, target, grid, logistic, **limits: seen.append((folds.select("fold").distinct().count(), grid, limits)) or [])
+    catalog.QUERIES["m8_m9_grid_search"](spark, "/root/testdata/sf0.001")
+    assert all(n >= 10 and not limits for n, _, limits in seen)
+    assert [{k: sorted(v) for k, v in grid.items()} for _, grid, _ in seen] == [{"C": [0.1, 0.5, 1.0], "l1_ratio": [0.8, 0.9]}, {"alpha": [1e-6, 5e-6, 1e-5, 5e-5, 1e-4, 5e-4], "l1_ratio": [0.4, 0.5, 0.6]}]
+
+
 def test_partition_count_changes_nothing(spark):
     import __spark_entry__ as entry
 
