@@ -643,7 +643,7 @@ def _(t):
 
 @query("k9_a6_max_sharpe", "permno date ~A6")
 def _(t):
-    cov = A.covariances(t.returns, t.signals.filter("agreed_any").select("date", "permno"), 60)
+    cov = A.covariances(t.returns, t.signals.filter("agreed_any").select("date", "permno"))
     return A.max_sharpe(t.signals, cov)
 
 

@@ -178,6 +178,24 @@ def test_grid_search_is_registered_whole(spark, monkeypatch):
     assert [{k: sorted(v) for k, v in grid.items()} for _, grid, _ in seen] == [{"C": [0.1, 0.5, 1.0], "l1_ratio": [0.8, 0.9]}, {"alpha": [1e-6, 5e-6, 1e-5, 5e-5, 1e-4, 5e-4], "l1_ratio": [0.4, 0.5, 0.6]}]
 
 
+def test_max_sharpe_looks_back_a_year(spark, monkeypatch):
+    from quantloom.operators import allocate
+    from quantloom.plans import catalog
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(300)]
+    ret = {p: np.random.default_rng(p).normal(0, 0.01, 300) for p in (1, 2)}
+    returns = spark.createDataFrame([(p, d, float(r)) for p in ret for d, r in zip(days, ret[p])], "permno long, date date, ret double")
+    signals = spark.createDataFrame([(p, days[-1], True) for p in ret], "permno long, date date, agreed_any boolean")
+    cov = allocate.covariances(returns, signals.select("date", "permno"))
+    want = np.cov(ret[1][-253:-1], ret[2][-253:-1])[0, 1]
+    assert abs(cov.filter("a = 1 AND b = 2").first()["cov"] - want) < 1e-12
+    seen = []
+    monkeypatch.setattr(catalog.A, "covariances", lambda r, n, lookback=252, **k: seen.append(lookback) or cov)
+    monkeypatch.setattr(catalog.A, "max_sharpe", lambda rows, cov: rows.selectExpr("permno", "date", "0D AS A6"))
+    catalog.QUERIES["k9_a6_max_sharpe"](spark, "/root/testdata/sf0.001")
+    assert seen == [252]
+
+
 def test_partition_count_changes_nothing(spark):
     import __spark_entry__ as entry
 
