@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -341,12 +342,37 @@ def test_token_files(spark, odd):
     assert [r.doc_id for r in rows] == sorted((i for i, _ in ODD), key=lambda i: (i is not None, i))
     assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
 
-    @settings(max_examples=200, deadline=None)
-    @given(st.text(alphabet=st.sampled_from("aB.,'sé \n\t́!1 ΣÅ"), max_size=25))
-    def same(text):
-        assert np.frombuffer(token_ids.word_encoder(P.path("word_bpe_49k.json"), "<u2")(text), "<u2").tolist() == model.encode(text, add_special_tokens=False).ids
+    encoded = token_ids.word_encoder(P.path("word_bpe_49k.json"), "<u2")
+    ids = lambda texts: [np.frombuffer(x, "<u2").tolist() for x in encoded(pa.array(texts, pa.string()))]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.text(alphabet=st.sampled_from("aB.,'sStTrRvVeElLdDéÉ \n\t\u0301!1ΣÅİıǅßẞ×÷ªµÿŸſK가각\u1100\u1161½٣<|>\xa0\u200b"), max_size=25), max_size=4))
+    def same(texts):
+        assert ids(texts) == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
     same()
+    for t in ("İ,", "x<|endoftext|>y", "it's THE'RE we'LL '", "", " \n ", "w" * 200_000, "ab! " * 100_000):
+        assert ids([t, "b"]) == [model.encode(x, add_special_tokens=False).ids for x in (t, "b")]
+
+
+def test_token_files_spread_a_hot_key(spark):
+    keys = np.array([token_ids._FIRST, 5, 5, 5, 5, 7, 9], "i8")
+    ties = np.array([2**32 - 1, 0, 2**31 - 1, 2**31, 2**32 - 1, 2**31, 0], "u4")
+    assert token_ids.shard_of(keys, ties, np.array([5, 5, 7], "i8")).tolist() == [0, 0, 0, 1, 1, 2, 3]
+    docs = spark.createDataFrame([(None if i % 3 else i, f"word{i}") for i in range(300)] + [(5, f"more{i}") for i in range(150)], "doc_id long, text string")
+    bounds = token_ids.shard_bounds(docs, "doc_id", 8)
+    assert len(bounds) == 7 and len(set(bounds)) < 7
+    path = shared_dir(spark)
+    manifest = token_ids.write(token_ids.encode(docs, P.path("word_bpe_49k.json"), 1, "<u2", bounds), path, "<u2", 8)
+    assert manifest.filter("n_null > 0").count() > 1
+    rows = token_ids.scan(spark, path, "<u2", token_ids.crc32_of_ids, "ids_crc32 long", block=7).orderBy("start").collect()
+    order = [(r.doc_id is not None, r.doc_id) for r in rows]
+    assert order == sorted(order, key=lambda x: (x[0], x[1] or 0)) and len(rows) == 450
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+    empty, path = docs.limit(0), shared_dir(spark)
+    assert token_ids.shard_bounds(empty, "doc_id", 8) == []
+    token_ids.write(token_ids.encode(empty, P.path("word_bpe_49k.json"), 1, "<u2", []), path, "<u2", 1)
+    assert token_ids.scan(spark, path, "<u2", token_ids.crc32_of_ids, "ids_crc32 long").count() == 0
 
 
 def test_pipeline(spark):
