@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -26,7 +26,7 @@ from .common import small_batches, stored
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("nav header footer aside form script style noscript template iframe object svg math button select textarea dialog head canvas audio video".split())
+SKIPPED = frozenset("nav header footer aside form script style title noscript template iframe object svg math button select textarea dialog head canvas audio video".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body main section div td blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -36,6 +36,17 @@ WORDS = frozenset(
 )
 #: p ends where a block starts; these end an open one of the same kind.
 SELF_CLOSING = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
+#: Elements that list items, table cells and paragraphs don't end across; elements of drawings and formulas, which "/>" ends.
+SCOPES = (CONTAINERS - {"td"}) | frozenset("ul ol dl table tbody thead".split())
+FOREIGN = frozenset("svg math path".split())
+#: Elements whose content is no markup up to their end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in "script style textarea title iframe xmp noembed noframes".split()}
+_COMMENT_END = re.compile(r"--!?>")
+_NAME = re.compile(r"[^\t\n\f\r />]+")
+_GAP = re.compile(r"[\t\n\f\r /]*")
+_ATTRIBUTE = re.compile(r"=?[^\t\n\f\r />=]*")
+_EQUAL = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_BARE = re.compile(r"[^\t\n\f\r >]*")
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
@@ -52,22 +63,97 @@ def _unwanted(tag: str, attrs: dict[str, str | None]) -> bool:
     return not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", names).lower()))
 
 
-class Page(HTMLParser):
-    """Blocks of a page in order, each with its innermost container; containers with their path and the one around them."""
+class Page:
+    """Blocks of a page in order, each with its innermost container; containers with their path and the one around them.
+
+    Any text is a page: markup is read as browsers read it, and time and memory grow with its length, however it is nested or
+    broken. Paths are numbers of a trie; a path's name is its labels from the root, blanks between.
+    """
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, container, skipped
-        self.containers: list[tuple[str, int]] = []  # path, parent
+        self.open: list[tuple[str, int]] = []  # tag ("" once its end tag came out of turn), container outside it
+        self.where: dict[str, list[int]] = {}  # places of each open tag
+        self.blocks_at: list[int] = []  # places of open blocks
+        self.scopes: list[int] = [-1]  # places of open elements that list items and table cells don't end across
+        self.skip = -1  # place of the outermost open element that is left out
+        self.trie: dict[tuple[int, str], int] = {}
+        self.labels: list[tuple[int, str]] = []  # of each path: the one above, and the last label
+        self.containers: list[tuple[int, int]] = []  # path, parent
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters of links
         self.parts: list[str] = []
         self.link, self.links = 0, 0
         self.at = -1
-        self.skipped = False
-        self.feed(html)
-        self.close()
+        self.read(html)
         self.end_block()
 
+    def read(self, html: str) -> None:
+        i, n = 0, len(html)
+        while i < n:
+            j = html.find("<", i)
+            if j < 0 or j == n - 1:
+                self.text(html[i:])
+                return
+            c = html[j + 1]
+            if c.isascii() and c.isalpha():
+                tag = _NAME.match(html, j + 1)
+                end = self.attributes(html, tag.end())
+                self.text(html[i:j])
+                if end is None:
+                    return  # a tag that the page's end cuts off
+                attrs, i = end
+                name = tag[0].lower()
+                self.start(name, attrs, html[i - 2] == "/")
+                if name in _RAW:
+                    close = _RAW[name].search(html, i)
+                    if close is None:
+                        return
+                    i = close.start()
+            elif c == "/" and j + 2 < n and html[j + 2].isascii() and html[j + 2].isalpha():
+                tag = _NAME.match(html, j + 2)
+                end = self.attributes(html, tag.end())
+                self.text(html[i:j])
+                if end is None:
+                    return
+                i = end[1]
+                self.end(tag[0].lower())
+            elif c in "!?/":
+                self.text(html[i:j])
+                if html.startswith("<!--", j):
+                    close = None if html.startswith((">", "->"), j + 4) else _COMMENT_END.search(html, j + 4)
+                    i = html.find(">", j) + 1 if html.startswith((">", "->"), j + 4) else close.end() if close else n
+                else:  # a doctype, a marked section, an instruction, or no tag's end
+                    i = html.find(">", j + 2) + 1 or n
+            else:
+                self.text(html[i : j + 1])
+                i = j + 1
+
+    @staticmethod
+    def attributes(html: str, i: int) -> tuple[dict[str, str], int] | None:
+        """The attributes of the tag whose name ends at i (the first of each name), and where the tag ends; None if it doesn't."""
+        attrs: dict[str, str] = {}
+        n = len(html)
+        while True:
+            i = _GAP.match(html, i).end()
+            if i >= n:
+                return None
+            if html[i] == ">":
+                return attrs, i + 1
+            name = _ATTRIBUTE.match(html, i)
+            i = name.end()
+            value = ""
+            if (equal := _EQUAL.match(html, i)) is not None:
+                i = equal.end()
+                quote = html[i : i + 1]
+                if quote in ("'", '"') and quote:
+                    j = html.find(quote, i + 1)
+                    if j < 0:
+                        return None
+                    value, i = html[i + 1 : j], j + 1
+                else:
+                    bare = _BARE.match(html, i)
+                    value, i = bare[0], bare.end()
+            attrs.setdefault(name[0].lower(), unescape(value) if "&" in value else value)
+
     def end_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
@@ -75,84 +161,120 @@ class Page(HTMLParser):
             self.parts.clear()
         self.links = 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def text(self, data: str) -> None:
+        if self.skip < 0 and data:
+            if "&" in data:
+                data = unescape(data)
+            self.parts.append(data)
+            if self.link:
+                self.links += len(data)
+
+    def push(self, tag: str) -> None:
+        place = len(self.open)
+        self.open.append((tag, self.at))
+        self.where.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks_at.append(place)
+        if tag in SCOPES:
+            self.scopes.append(place)
+
+    def pop(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.open) > place:
+            tag, self.at = self.open.pop()
+            if not tag:
+                continue
+            self.where[tag].pop()
+            if tag in BLOCKS:
+                self.blocks_at.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag == "a" and self.link:
+                self.link -= 1
+        if place <= self.skip:
+            self.skip = -1
+
+    def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag == "br":
-            self.parts.append(" ")
+            self.text(" ")
             return
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and self.skip < 0:
                 self.end_block()
             return
-        if self.skipped:  # nothing but the end of what is skipped matters
-            self.open.append((tag, self.at, True))
+        if self.skip >= 0:  # nothing but the end of what is left out matters
+            if not (closed and tag in FOREIGN):
+                self.push(tag)
             return
         if tag in BLOCKS:
             self.end_block()
-            if tag not in ("html", "body") and any(t == "p" for t, _, _ in self.open[-8:]):
-                self.pop("p")
+            if tag not in ("html", "body") and (p := self.where.get("p")) and p[-1] > self.scopes[-1]:
+                self.pop(p[-1])
         if tag in SELF_CLOSING:
-            for k in range(len(self.open) - 1, -1, -1):
-                t = self.open[k][0]
-                if t in (tag, SELF_CLOSING[tag]):
-                    self.pop(t)
-                    break
-                if t in ("ul", "ol", "dl", "table", "tbody", "thead") or t in CONTAINERS and t != "td":
-                    break
-        named = dict(attrs)
-        if _unwanted(tag, named):
+            places = [x[-1] for t in (tag, SELF_CLOSING[tag]) if (x := self.where.get(t))]
+            if places and max(places) >= self.scopes[-1]:
+                self.pop(max(places))
+        if _unwanted(tag, attrs):
             self.end_block()
-            self.open.append((tag, self.at, True))
-            self.skipped = True
+            if not (closed and tag in FOREIGN):
+                self.skip = len(self.open)
+                self.push(tag)
             return
+        self.push(tag)
         if tag in CONTAINERS:
-            path = f"{self.containers[self.at][0] if self.at >= 0 else ''}/{tag}" + "".join(f".{c}" for c in sorted(_DIGITS.sub("", named.get("class") or "").split()))
-            self.open.append((tag, self.at, False))
+            label = ".".join((tag, *sorted(_DIGITS.sub("", attrs.get("class", "")).split())))
+            above = self.containers[self.at][0] if self.at >= 0 else -1
+            path = self.trie.setdefault((above, label), len(self.labels))
+            if path == len(self.labels):
+                self.labels.append((above, label))
             self.containers.append((path, self.at))
             self.at = len(self.containers) - 1
-        else:
-            self.open.append((tag, self.at, False))
         if tag == "a":
             self.link += 1
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # "/" means nothing but in void elements
-        if tag in ("svg", "math", "path"):
-            self.handle_endtag(tag)
-
-    def pop(self, tag: str) -> None:
-        """Close up to the innermost open `tag`."""
-        if not any(t == tag for t, _, _ in self.open):
+    def end(self, tag: str) -> None:
+        if tag == "br":
+            self.text(" ")
             return
-        self.end_block() if tag in BLOCKS else None
-        while self.open:
-            t, self.at, _ = self.open.pop()
-            if t == "a" and self.link:
+        if not (places := self.where.get(tag)):
+            return
+        place = places[-1]
+        if tag in BLOCKS or place == self.skip or not self.blocks_at or place > self.blocks_at[-1]:
+            if tag in BLOCKS and self.skip < 0:
+                self.end_block()
+            self.pop(place)
+        else:  # blocks go on behind the end of what is around them but no block itself
+            places.pop()
+            self.open[place] = ("", self.open[place][1])
+            if tag == "a" and self.link and self.skip < 0:
                 self.link -= 1
-            if t == tag:
-                break
-        self.skipped = bool(self.open) and any(s for _, _, s in self.open)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "br":
-            self.parts.append(" ")
-        elif tag not in VOID:
-            self.pop(tag)
 
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.parts.append(data)
-            if self.link:
-                self.links += len(data)
-
-    def scores(self) -> list[float]:
-        out = [0.0] * len(self.containers)
+    def scores(self) -> list[int]:
+        """Of each container: its characters outside links less those inside; half of what a block adds goes up a container."""
+        out = [0] * len(self.containers)
         for at, text, links in self.blocks:
-            gain = len(text) - 2.0 * links
-            while at >= 0 and gain > 0.5:
+            gain = len(text) - 2 * links
+            while at >= 0 and gain > 0:
                 out[at] += gain
-                gain, at = gain / 2, self.containers[at][1]
+                gain, at = gain // 2, self.containers[at][1]
         return out
 
+    def name(self, path: int) -> str:
+        out = []
+        while path >= 0:
+            path, label = self.labels[path]
+            out.append(label)
+        return " ".join(reversed(out))
+
+    def path(self, name: str) -> int:
+        """The number of a path by its name; -1 if the page has none."""
+        at = -1
+        for label in name.split(" "):
+            at = self.trie.get((at, label), -2)
+            if at == -2:
+                return -1
+        return at
+
     def within(self, wanted: set[int]) -> str:
         inside = [False] * len(self.containers)
         for i, (_, up) in enumerate(self.containers):
@@ -160,20 +282,21 @@ class Page(HTMLParser):
         return "\n\n".join(text for at, text, _ in self.blocks if at >= 0 and inside[at])
 
 
-def votes(html: str, top: int = 3) -> list[tuple[str, float]]:
-    """The generalised paths of the best containers, the best one's weight 1."""
+def votes(html: str, top: int = 3, whole: int = 1000) -> list[tuple[str, int]]:
+    """The generalised paths of the best containers, the best one's vote `whole`, the others' in proportion."""
     page = Page(html)
-    by: dict[str, float] = {}
+    by: dict[int, int] = {}
     for (path, _), score in zip(page.containers, page.scores()):
-        by[path] = by.get(path, 0.0) + score
-    best = sorted(((s, p) for p, s in by.items() if s > 0), key=lambda x: (-x[0], x[1]))[:top]
-    return [(p, s / best[0][0]) for s, p in best]
+        by[path] = by.get(path, 0) + score
+    best = sorted(((-s, p) for p, s in by.items() if s > 0))[: 2 * top]
+    best = sorted((s, page.name(p)) for s, p in best)[:top]
+    return [(p, whole * s // best[0][0]) for s, p in best]
 
 
 def extract(html: str, path: str | None) -> str:
     """Blocks within the elements on `path`; if there are none with text, within the page's own best container; at last, all blocks."""
     page = Page(html)
-    if path is not None and (text := page.within({i for i, (p, _) in enumerate(page.containers) if p == path})):
+    if path is not None and (at := page.path(path)) >= 0 and (text := page.within({i for i, (p, _) in enumerate(page.containers) if p == at})):
         return text
     scores = page.scores()
     if scores and max(scores) > 0:
@@ -188,17 +311,20 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def consensus(pages: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """(host, path): each host's winning path, where its pages give one at least `least_share` of their best votes."""
+def consensus(pages: DataFrame, least_share: float = 0.5, whole: int = 1000) -> DataFrame:
+    """(host, path): each host's winning path, where its pages give one at least `least_share` of their best votes.
+
+    Votes are integers, so that their sums are the same however pages are dealt; ties go to the greatest path name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host_of(u), p, s) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if h for p, s in votes(h)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, (pa.string(), pa.string(), pa.float64()))], names=["host", "path", "vote"])
+            rows = [(host_of(u), p, s) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if h for p, s in votes(h, whole=whole)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["host", "path", "vote"])
 
     small_batches(pages.sparkSession)
-    cast = pages.select(F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "host string, path string, vote double")
-    summed = cast.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum((F.col("vote") == 1).cast("long")).alias("firsts"))
+    cast = pages.select(F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "host string, path string, vote long")
+    summed = cast.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum((F.col("vote") == whole).cast("long")).alias("firsts"))
     best = summed.groupBy("host").agg(F.max(F.struct("firsts", "votes", "path")).alias("best"), F.sum("firsts").alias("all"))
     return best.filter(F.col("best.firsts") >= least_share * F.col("all")).select("host", F.col("best.path").alias("path"))
 
@@ -225,5 +351,9 @@ def main_text(pages: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main texts of pages: page_id, url, text, n_chars."""
+    """Main texts of pages: page_id, url, text, n_chars.
+
+    Every row of pages keeps its row, repeated ones too; null and empty html, and pages without text, give an empty text. Any
+    string is a page. An empty table gives no rows. Other columns of pages are not read.
+    """
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
