@@ -41,7 +41,18 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal: shorter ones are what a filter would drop
 _LOGIN = re.compile(rf"""\b(?:{'|'.join(map(_any_case, ('username', 'user', 'login', 'account', 'client_id', 'access_key_id')))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]{{3,}})""")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,12}://[^\s"'<>|]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b""")
+_DIGIT, _CAPITAL, _SMALL = (re.compile(x).search for x in ("[0-9]", "[A-Z]", "[a-z]"))
+#: A URL, or a whole run of a host name's characters with a port. No pattern here looks at a character of a long run more than a few times.
+_ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,12}://[^\s"'<>|]+|(?<![A-Za-z0-9.-])[A-Za-z0-9.-]++:[0-9]{2,5}(?![A-Za-z0-9_])""")
+
+
+def _endpoint(m: re.Match) -> tuple[int, int, int] | None:
+    """The span of an endpoint: of a run, its last host name of two or more labels with the port."""
+    if "://" in m[0]:
+        return m.start(), 5, m.end()
+    host = m[0].rpartition(":")[0]
+    name = host.rpartition("..")[2].lstrip(".-")
+    return (m.start() + len(host) - len(name), 5, m.end()) if "." in name[:-1] and name[-1] != "." else None
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -56,13 +67,18 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     if "user" in folded or "login" in folded or "account" in folded or "client_id" in folded or "access_key_id" in folded:
         weak += [(m.start(), 3, m.end()) for m in _LOGIN.finditer(text)]
     if "://" in text or ":" in text:
-        weak += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
+        weak += [x for x in map(_endpoint, _ENDPOINT.finditer(text)) if x]
+    base.sort()
     if any(k in (1, 3) for _, k, _ in base + weak):  # an opaque token needs an identifier in its own text
+        held, reach = iter(base), 0
+        ahead = next(held, None)
         for m in _OPAQUE.finditer(text):
+            while ahead and ahead[0] <= m.start():
+                reach, ahead = max(reach, ahead[2]), next(held, None)
             x = m[0]
-            if any(c.isdigit() for c in x) and any(c.isupper() for c in x) and any(c.islower() for c in x) and not x.startswith("AKIA"):
+            if m.end() > reach and _DIGIT(x) and _CAPITAL(x) and _SMALL(x) and not x.startswith("AKIA"):  # not what a base span holds already
                 weak.append((m.start(), 4, m.end()))
-    return sorted(base), sorted(weak)
+    return base, sorted(weak)
 
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -111,16 +127,19 @@ def find(docs: DataFrame, scope: int = SCOPE, key: str = "doc_id") -> DataFrame:
     return scanned.join(link(scanned, scope), "row", "left").select(key, "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
 
 
-def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]", salts: int = 16) -> DataFrame:
     """`docs` with every base and linked span of their texts replaced by `mark`; all rows and other columns stay, null texts too.
 
-    Spans come back to their texts by a digest of the text: rows of equal text have equal spans.
+    Spans come back to their texts by a digest of the text: rows of equal text have equal spans. Texts with spans are one row a
+    text by then; it is dealt to `salts` tasks, and the rows of a text (or of null) are spread over these.
     """
     found = find(docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash"), "text"), scope, "hash")
-    found = found.select(F.col("hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_hash"])
+    found = found.select(F.col("hash").alias("_hash"), F.array_sort(F.concat("base", "added")).alias("_spans")).filter(F.size("_spans") > 0)
+    found = found.groupBy("_hash").agg(F.first("_spans").alias("_spans")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     names, renamed = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     text = renamed[names.index("text")]
-    joined = docs.toDF(*renamed).withColumn("_hash", F.unhex(F.md5(F.col(text).cast("binary")))).join(found, "_hash", "left")
+    salted = docs.toDF(*renamed).withColumns({"_hash": F.unhex(F.md5(F.col(text).cast("binary"))), "_salt": (F.monotonically_increasing_id() % salts).cast("int")})
+    joined = salted.join(found, ["_hash", "_salt"], "left")
     at, out = renamed.index(text), docs.toDF(*renamed).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +162,12 @@ def cover(text: str, found: list[dict], mark: str) -> str:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined)."""
+    """Secrets of documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined).
+
+    Every row keeps its row, repeated ones too, and null doc_ids; null and empty texts have no spans. Base spans are whole
+    matches. Texts of any length are scanned whole, in time that grows with their length. An empty table gives no rows; other
+    columns are not read.
+    """
     names = F.array(*map(F.lit, KINDS))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
