@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import bounded, texts
 
 NONE = 1 << 40
 KEPT_CHARS, KEPT_CHUNKS = 48, 250_000
@@ -229,11 +229,10 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for batch in batches:
+        for batch in bounded(batches, size=4 << 20):
             ids = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
 
-    small_batches(docs.sparkSession, size="4m")
     return texts(docs, key).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
@@ -251,11 +250,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoded = decoder(path)
-        for batch in batches:
+        for batch in bounded(batches, size=4 << 20):
             out = [None if x is None else decoded(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    small_batches(encoded.sparkSession, size="4m")
     return encoded.mapInArrow(run, encoded.withColumn("decoded", F.lit(None).cast("binary")).schema)
 
 
@@ -270,7 +268,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoded = Encoder(path, pattern), decoder(path)
-        for batch in batches:
+        for batch in bounded(batches, size=4 << 20):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             ids = encoder(texts)
             same = [decoded(i) == t.encode("utf-8", "replace") for i, t in zip(ids, texts)]
@@ -282,7 +280,6 @@ def tokenized(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
     schema = StructType([StructField(c, kinds[c]) for c in kept] + [StructField("n_tokens", LongType()), StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
-    small_batches(docs.sparkSession, size="4m")
     return docs.select(*kept, "text").mapInArrow(run, schema)
 
 

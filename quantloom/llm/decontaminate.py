@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import edited, small_batches, stored
+from .common import bounded, edited, stored
 
 SIZE = 10
 #: A-Z to lower case; the separators to blanks; 0-9, a-z and every byte from 0x80 on stay.
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, windows: WindowSet, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
-        for batch in batches:
+        for batch in bounded(batches):
             n_words, hits, items = [], [], []
             for t in batch.column(1).to_pylist():
                 n, hit, who = found.scan(t)
@@ -122,7 +122,6 @@ def scan(docs: DataFrame, windows: WindowSet, key: str = "doc_id", text: str = "
                 items.append(sorted(x for x in who if x is not None))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))], names=[key, "n_words", "hits", "items"])
 
-    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
     return plain.mapInArrow(run, f"{key} {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>")
@@ -193,7 +192,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     joined = rows.join(found.filter("size(hits) > 0").select("row", "n_words", "hits"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             out, keep = [], []
             for t, words_of, spans in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1))):
                 hit = np.zeros(words_of or 0, bool)
@@ -204,7 +203,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
             columns = [pa.array(out, pa.string()) if i == at else x for i, x in enumerate(batch.columns[: len(names)])]
             yield pa.RecordBatch.from_arrays(columns, names=renamed).filter(pa.array(np.array(keep, bool)))
 
-    small_batches(docs.sparkSession)
     return joined.select(*renamed, "n_words", "hits").mapInArrow(run, rows.select(*renamed).schema).toDF(*names)
 
 

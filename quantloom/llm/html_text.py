@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded, stored
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,11 +318,10 @@ def consensus(pages: DataFrame, least_share: float = 0.5, whole: int = 1000) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             rows = [(host_of(u), p, s) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if h for p, s in votes(h, whole=whole)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["host", "path", "vote"])
 
-    small_batches(pages.sparkSession)
     cast = pages.select(F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "host string, path string, vote long")
     summed = cast.groupBy("host", "path").agg(F.sum("vote").alias("votes"), F.sum((F.col("vote") == whole).cast("long")).alias("firsts"))
     best = summed.groupBy("host").agg(F.max(F.struct("firsts", "votes", "path")).alias("best"), F.sum("firsts").alias("all"))
@@ -334,16 +333,15 @@ def main_text(pages: DataFrame, salts: int = 16) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             out = [extract(h, p) if h else "" for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     winners = stored(consensus(pages)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    small_batches(pages.sparkSession)
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = plain.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(winners, ["host", "salt"], "left")

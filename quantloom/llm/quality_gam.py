@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import edited, small_batches
+from .common import bounded, edited
 
 FEATURES = ("log_words", "word_length", "upper_words", "distinct_words", "same_as_before", "symbols", "bangs", "bars", "marks", "digits", "letters", "same_lines", "stop_marks")
 MAX_ROWS = 20_000
@@ -172,11 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # max_rows ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    small_batches(docs.sparkSession)
     got = rows.mapInArrow(run, "doc_id long, quality double, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in got], "f8").reshape(len(got), len(FEATURES))
     return fit(x, np.array([r.quality for r in got]))
@@ -187,11 +186,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = np.array([features(t or "") for t in batch.column(1).to_pylist()], "f8").reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(x))], names=[key, "score"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 

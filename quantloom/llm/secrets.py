@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts
+from .common import bounded, stored, texts
 
 #: Base kinds in the order of equal starts, then the weak ones.
 KINDS = ("assign", "access", "hex", "login", "opaque", "endpoint")
@@ -89,12 +89,11 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [spans(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x[i]] for x in found], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "base", "weak"])
 
-    small_batches(docs.sparkSession)
     return texts(docs, key).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, base {_SPAN}, weak {_SPAN}")
 
 
@@ -143,11 +142,10 @@ def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[REDACTED]", salts:
     at, out = renamed.index(text), docs.toDF(*renamed).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             new = [cover(t, s, mark) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(renamed)).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(renamed)])], names=renamed)
 
-    small_batches(docs.sparkSession)
     return joined.select(*renamed, "_spans").mapInArrow(run, out).toDF(*names)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import bounded, stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -60,11 +60,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     """(key, fp). Null texts have no words, and so fingerprint zero like empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             fps = [fingerprint(shingle_hashes(t or "", shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[key, "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
@@ -171,7 +170,7 @@ def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None
         def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in bounded(batches):
             out: list[tuple[int, int]] = []
             columns = [c.to_pylist() for c in batch.columns]
             for k, bits, pair, cross, asked, node, code, *signature in zip(*columns):
@@ -194,7 +193,6 @@ def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None
     spark = dealt.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = tasks.repartition(parts, "k", "bits", "pair").sortWithinPartitions("k", "bits", "pair", "asked", "node")
-    small_batches(spark, rows=10_000)
     return tasks.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -307,7 +305,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t or "", shingle)
@@ -316,7 +314,6 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
             columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_row", "same", "code", "bands", "signature"])
 
-    small_batches(docs.sparkSession)
     signed = stored(docs.select("_row", "text").mapInArrow(run, "_row long, same binary, code long, bands array<long>, signature binary"))
     copies = stored(signed.groupBy("same").agg(F.min("_row").alias("node")))
     # The row that stands for a group of copies brings what describes them all.
@@ -328,7 +325,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     members = stored(rough.join(several, "label").select(F.col("fp").alias("_row"), "label"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             h = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
             columns = [pa.array([0] * len(h), pa.int32()), batch.column(1), batch.column(0), pa.array([fingerprint(np.unique(x)) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["k", "bits", "node", "code", "signature"])

@@ -1,6 +1,6 @@
 """WARC archives with a two-level capture index.
 
-Writing: tasks stream records into `NNNNN.warc.gz`, each record a gzip member of its own, so that a byte range is a record. Of
+Writing: tasks stream records into `NNNNN-<attempt>.warc.gz`, each record a gzip member of its own, so that a byte range is a record. Of
 records with equal payloads of at least `least` bytes the one with the largest page_id is written whole (response), the others
 as revisit records that name it and hold no payload. Which payloads are equal is known from digests, counted before anything is
 written; only digests that occur twice or more take part in the join, spread over salts.
@@ -10,7 +10,8 @@ shard is a file of compressed blocks of lines (level one) and a sparse directory
 two). A look-up finds the shard by the shards' first keys, searches the directory in memory, opens one block and searches it,
 and the record is read from its archive by byte range.
 
-Files get the name of their attempt first and are renamed when whole, so tasks may run twice.
+A file's name holds the task attempt that wrote it, and is known only from the rows that the attempt returns: of a task that
+runs twice, or fails behind its last write, Spark commits one attempt's rows, and nobody asks for the other's files.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored
+from .common import bounded, shared_dir, stored
 
 LEAST = 1000
 BLOCK_LINES = 256
@@ -53,28 +55,39 @@ def url_key(url: str | None, page_id: int | None) -> str:
     return f"{key} {'-' if page_id is None else format(page_id, '020d')}"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+def member(head: list[str], block: bytes) -> bytes:
+    """A record as a gzip member of its own."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    raw = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    return packer.compress(raw) + packer.flush()
+
+
+def info(name: str, date: str) -> bytes:
+    """The record that opens a file."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return member(head, b"format: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
     """A gzip member with one record. payload None: a revisit of refers_to, with HTTP headers alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload or b"")
     head = [
-        "WARC/1.1",
         f"WARC-Type: {'response' if payload is not None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {json.dumps(url or '')[1:-1]}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
     if payload is None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    raw = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(raw) + packer.flush()
+    return member(head, block)
 
 
-def parse(member: bytes) -> dict:
+def parse(packed: bytes) -> dict:
     """What a record holds: page_id, type, refers_to, payload (None for revisits), payload_bytes and payload_digest."""
-    raw = zlib.decompress(member, 31)
+    raw = zlib.decompress(packed, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
@@ -88,51 +101,55 @@ def parse(member: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "record_type": fields["WARC-Type"], "refers_to": number(fields.get("WARC-Refers-To")), "payload": payload if whole else None, "payload_bytes": size, "payload_digest": digest}
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, salts: int = 16) -> DataFrame:
+def write(pages: DataFrame, path: str, least: int = LEAST, salts: int = 16, date: str | None = None) -> DataFrame:
     """Archive `pages` (page_id, url, html) below `path`; the captures: key, page_id, file, offset, length.
 
     Null html is an empty payload. Rows with the largest page_id of their payload are responses (all of them, should it repeat);
-    null page_ids count as the smallest.
+    null page_ids count as the smallest. Records are named by their page_id, which rows of equal page_id share. `date` is that
+    of the captures (YYYY-MM-DDThh:mm:ssZ); the time of this call, if there is none.
     """
+    date = date or f"{datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     twice = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first")).filter("n > 1").select("digest", "first")
     spread = stored(twice).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(spread, ["digest", "salt"], "left")
+    rows = rows.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int")).join(spread, ["digest", "salt"], "left")
     refers = F.when((F.col("size") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.select("page_id", "url", "html", "size", "digest", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(path)
-        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        name, draft, out, at = f"{part:05d}.warc.gz", f"{top}/.{attempt}", None, 0
-        for batch in batches:
+        name, out, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", None, 0
+        for batch in bounded(batches):
             found = []
             for page_id, url, html, size, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(draft)
-                member = record(page_id, url, html.encode() if refers_to is None else None, size, digest, refers_to)
-                out.write(member)
-                found.append({"key": url_key(url, page_id), "page_id": page_id, "file": name, "offset": at, "length": len(member)})
-                at += len(member)
+                    out = fs.open_output_stream(f"{top}/{name}", compression=None)  # members are compressed already
+                    out.write(first := info(name, date))
+                    at = len(first)
+                packed = record(page_id, url, html.encode() if refers_to is None else None, size, digest, refers_to, date)
+                out.write(packed)
+                found.append({"key": url_key(url, page_id), "page_id": page_id, "file": name, "offset": at, "length": len(packed)})
+                at += len(packed)
             yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
         if out is not None:
             out.close()
-            fs.move(draft, f"{top}/{name}")
 
-    small_batches(pages.sparkSession)
     return stored(rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long"))
 
 
-def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> list[str]:
-    """Write the shards of the index below `path`; the first key of every shard, as many as there are shuffle partitions at most."""
+def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> list[tuple[str, str]]:
+    """Write the shards of the index below `path`; the name and first key of every shard, in order of keys.
+
+    There are as many as shuffle partitions at most, and none for no captures. Captures of one key may lie in several.
+    """
     spark = captures.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(path)
-        part, attempt, lines, directory, out, at = TaskContext.get().partitionId(), uuid.uuid4().hex, [], [], None, 0
+        name, lines, directory, out, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", [], [], None, 0
 
         def flush() -> None:
             nonlocal at
@@ -142,11 +159,11 @@ def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
             at += len(block)
             lines.clear()
 
-        for batch in batches:
+        for batch in bounded(batches):
             for key, _, file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     fs.create_dir(top, recursive=True)
-                    out = fs.open_output_stream(f"{top}/.{attempt}.blocks")
+                    out = fs.open_output_stream(f"{top}/{name}.blocks")
                 lines.append("\t".join((key.replace("\t", "%09").replace("\n", "%0A"), file, str(offset), str(length))))
                 if len(lines) == block_lines:
                     flush()
@@ -154,14 +171,13 @@ def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
             if lines:
                 flush()
             out.close()
-            with fs.open_output_stream(f"{top}/.{attempt}.directory") as f:
+            with fs.open_output_stream(f"{top}/{name}.directory") as f:
                 f.write(zlib.compress(json.dumps(directory).encode()))
-            for kind in ("blocks", "directory"):
-                fs.move(f"{top}/.{attempt}.{kind}", f"{top}/{part:05d}.{kind}")
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([directory[0][0]])], names=["shard", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([directory[0][0]])], names=["shard", "first"])
 
-    sorted_ = captures.select(clean(F.col("key")).alias("key"), "page_id", "file", "offset", "length").repartitionByRange(shards, "key").sortWithinPartitions("key", "file", "offset")
-    made = stored(sorted_.mapInArrow(run, "shard int, first string"))
+    order = ("key", "file", "offset")
+    sorted_ = captures.select(clean(F.col("key")).alias("key"), "page_id", "file", "offset", "length").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    made = stored(sorted_.mapInArrow(run, "shard string, first string"))
     return [(r.shard, r["first"]) for r in made.orderBy("first", "shard").collect()]
 
 
@@ -170,22 +186,22 @@ def clean(key: Column) -> Column:
 
 
 @functools.lru_cache(16)
-def _directory(path: str, shard: int) -> tuple[list[str], list[list]]:
+def _directory(path: str, shard: str) -> tuple[list[str], list[list]]:
     fs, top = _fs(path)
-    with fs.open_input_file(f"{top}/{shard:05d}.directory") as f:
+    with fs.open_input_file(f"{top}/{shard}.directory") as f:
         rows = json.loads(zlib.decompress(f.read()))
     return [r[0] for r in rows], rows
 
 
 @functools.lru_cache(16)
-def _block(path: str, shard: int, offset: int, length: int) -> tuple[list[str], list[list[str]]]:
+def _block(path: str, shard: str, offset: int, length: int) -> tuple[list[str], list[list[str]]]:
     fs, top = _fs(path)
-    with fs.open_input_file(f"{top}/{shard:05d}.blocks") as f:
+    with fs.open_input_file(f"{top}/{shard}.blocks") as f:
         lines = [x.split("\t") for x in zlib.decompress(f.read_at(length, offset)).decode().split("\n")]
     return [x[0] for x in lines], lines
 
 
-def search(path: str, shard: int, key: str) -> list[tuple[str, int, int]]:
+def search(path: str, shard: str, key: str) -> list[tuple[str, int, int]]:
     """(file, offset, length) of every capture of a key in a shard: directory, then block, by binary search."""
     firsts, rows = _directory(path, shard)
     at, out = max(0, bisect.bisect_left(firsts, key) - 1), []
@@ -199,18 +215,20 @@ def search(path: str, shard: int, key: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def look_up(requests: DataFrame, path: str, shards: list[tuple[int, str]]) -> DataFrame:
+def look_up(requests: DataFrame, path: str, shards: list[tuple[str, str]]) -> DataFrame:
     """(key, file, offset, length) of all captures of each requested (url, page_id); requests count once, unknown ones have none."""
     order, firsts = [s for s, _ in shards], [f for _, f in shards]
+    if not shards:
+        return requests.sparkSession.createDataFrame([], "key string, file string, offset long, length long")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             keys = [url_key(u, p).replace("\t", "%09").replace("\n", "%0A") for u, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            at = [max(0, bisect.bisect_right(firsts, k) - 1) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(at, pa.int32())], names=["key", "at"])
+            asked = [(k, at) for k in keys for at in range(max(0, bisect.bisect_left(firsts, k) - 1), max(1, bisect.bisect_right(firsts, k)))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in asked], kind) for i, kind in enumerate((pa.string(), pa.int32()))], names=["key", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             found = [{"key": k, "file": f, "offset": o, "length": n} for k, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f, o, n in search(path, order[at], k)]
             yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
@@ -226,7 +244,7 @@ def fetch(places: DataFrame, path: str, whole: bool = False, chunk: int = 4 << 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _fs(path)
         name, f = None, None
-        for batch in batches:
+        for batch in bounded(batches):
             out = []
             for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
                 if file != name:
@@ -240,7 +258,12 @@ def fetch(places: DataFrame, path: str, whole: bool = False, chunk: int = 4 << 2
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages archived, indexed, looked up by URL and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """pages archived, indexed, looked up by URL and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Every row keeps its row, repeated ones too; null html is an empty payload, null urls and page_ids are keys like others, and
+    null page_ids count as the smallest. Payloads of any length are written whole. An empty table makes an empty archive and no
+    rows. Other columns of pages are not read.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     top = shared_dir(spark)
     captures = write(pages, f"{top}/archive")
