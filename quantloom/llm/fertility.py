@@ -1,75 +1,101 @@
 """Quality rules with tokeniser fertility.
 
-Base rules count words, symbols, repeated lines and repeated three-word windows. The fertility rules encode every word with a
-public vocabulary and measure characters per token, the share of byte-fallback tokens, and the entropy of the token
+Base rules count words, symbols, repeated lines and repeated three-word windows. The fertility rules encode every word with two
+public vocabularies and measure, by each, characters per token, the share of byte-fallback tokens, and the entropy of the token
 distribution. Text of the kind that a vocabulary was made for has a typical fertility; shouting, symbol runs, mojibake or
 keyboard noise fall apart into many short tokens, and boiler-plate loops into few distinct ones.
 
-Bands are per language (the lang column; per script where it is null) and per octave of the word count, as entropy depends on
-length: the quartiles of the documents that pass the base rules, widened by `width` interquartile ranges, and by a floor. They
-are computed over all documents in one aggregation with bounded sketches per group (percentile_approx); a group of fewer than
-`least` documents takes the band of the nearest octave of its language that has one (the shorter of two), then that of its
-script at the nearest octave, and then that of all documents at the nearest octave. Entropy differs by length, so the nearest
-octave goes before all lengths; those come last at each level, for levels that no single octave can fill. A borrowed band is
-moved by the corpus's trend of entropy over octaves, and is wider for shorter texts, by the root of the ratio of lengths.
+Bands are per language (the lang column; the script where it is null or absent) and octave of the word count, as entropy depends
+on length: the quartiles of the documents that pass the base rules, widened by `width` interquartile ranges, and by a floor. They
+are computed over all documents in one aggregation with bounded sketches per group (percentile_approx). There is no group too
+small for a band, and no size at which a rule sets in: the edges of each group are drawn towards those of the group around it,
+n to `strength` for a group of n documents. A language at an octave lies in its language, that in its script, and that in the
+fixed bands of `PRIOR`. Entropy is compared less the corpus's own trend over octaves, which is drawn towards none likewise.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, small_batches, stored
-
-SYMBOLS = "#*$%&|<>"
-KEPT_CHARS, KEPT_WORDS = 48, 400_000
-#: Interquartile ranges beyond the quartiles, and the least half width of a band, of each measure.
-WIDTH, FLOORS, LEAST = 3.5, {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}, 100
+from .common import bounded, stored
+
+#: Ids of words that a Python worker keeps, about (once there are more, it starts again).
+KEPT_TOKENS = 4_000_000
+MEASURES = ("chars_per_token", "fallback", "entropy", "byte_chars_per_token", "byte_fallback", "byte_entropy")
+#: Interquartile ranges beyond the quartiles; how many documents' worth the group around has; the least half width of a band.
+WIDTH, STRENGTH = 3.5, 100
+FLOORS = {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}
+#: Bands where nothing is known yet, by script (any other as the last one).
+PRIOR = {"latin": {"chars_per_token": (1.2, 8.0), "fallback": (0.0, 0.1), "entropy": (0.4, 1.0)}, "": {"chars_per_token": (0.2, 8.0), "fallback": (0.0, 1.0), "entropy": (0.3, 1.0)}}
+#: Which edges reject: a low and a high one.
+SIDES = {"chars_per_token": (True, True), "fallback": (False, True), "entropy": (True, False)}
+#: Bands are broadcast up to this many rows (a few hundred bytes each), and dealt to salts beyond.
+MAX_BROADCAST = 100_000
 #: The first code point of Unicode blocks that tell scripts apart.
 SCRIPTS = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 
 
-def base_counts(text: str) -> tuple[int, int, int, int, int, list[bytes]]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the words."""
-    words = text.encode("utf-8", "replace").split()  # bytes split on \x20 and \x09-\x0D alone
-    chars = len(text) - sum(map(text.count, WHITE))
-    symbols = sum(map(text.count, SYMBOLS))
-    lines = text.split("\n")
-    dup = 0
-    if len(set(lines)) < len(lines):
-        seen = set()
-        for line in lines:
-            if line in seen:
-                dup += bool(line.strip(WHITE))
-            seen.add(line)
-    return len(words), chars, symbols, dup, repeat_words(words), words
-
-
-def repeat_words(words: list[bytes]) -> int:
-    """How many words stand in a three-word window that occurs at least twice."""
-    n = len(words)
-    if n < 4:
-        return 0
-    of: dict[bytes, int] = {}
-    ids = np.fromiter((of.setdefault(w, len(of)) for w in words), "i8", n)
-    v = len(of)
-    pairs = ids[:-1] * v + ids[1:]
-    if v**3 >= 1 << 62:
-        pairs = np.unique(pairs, return_inverse=True)[1]
-    windows = pairs[:-1] * v + ids[2:]
-    _, at, count = np.unique(windows, return_inverse=True, return_counts=True)
-    again = count[at] > 1
-    if not again.any():
-        return 0
-    covered = np.zeros(n, bool)
-    for k in range(3):
-        covered[k : n - 2 + k] |= again
-    return int(covered.sum())
+def kind(measure: str) -> str:
+    """The measure without its vocabulary."""
+    return measure.removeprefix("byte_")
+
+
+class Words:
+    """The words and lines of a batch of texts: numbers of distinct words, text by text."""
+
+    def __init__(self, texts: pa.Array):
+        self.n, self.texts = len(texts), texts.cast(pa.large_string())
+        split = pc.split_pattern(pc.replace_substring_regex(self.texts, "[\t-\r ]+", " "), " ")
+        found = split.flatten().dictionary_encode()
+        ids, of = found.indices.to_numpy(zero_copy_only=False), self._owner(split)
+        blank = found.dictionary.index("").as_py()
+        some = ids != blank
+        self.distinct, self.ids, self.of = found.dictionary, ids[some], of[some]
+        self.sizes = np.bincount(self.of, minlength=self.n)
+
+    def _owner(self, lists: pa.Array) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+
+    def per_text(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights, self.n).astype("i8")
+
+    def characters(self) -> np.ndarray:
+        return self.per_text(pc.utf8_length(self.distinct).to_numpy(zero_copy_only=False)[self.ids])
+
+    def repeated_lines(self) -> np.ndarray:
+        """Lines with a word that equal an earlier one of their text."""
+        split = pc.split_pattern(self.texts, "\n")
+        found = split.flatten().dictionary_encode()
+        told = pc.match_substring_regex(found.dictionary, "[^\t-\r ]").to_numpy(zero_copy_only=False)
+        ids, of = found.indices.to_numpy(zero_copy_only=False), self._owner(split)
+        ids, of = ids[told[ids]], of[told[ids]]
+        first = np.unique(of * max(1, len(told)) + ids) // max(1, len(told))
+        return np.bincount(of, minlength=self.n) - np.bincount(first, minlength=self.n)
+
+    def repeated_words(self) -> np.ndarray:
+        """Words in a three-word window that their text has twice or more."""
+        if len(self.ids) < 4:
+            return np.zeros(self.n, "i8")
+        v = len(self.distinct)
+        pairs = np.unique(self.ids[:-1].astype("i8") * v + self.ids[1:], return_inverse=True)[1]
+        inside = self.of[2:] == self.of[:-2]
+        windows = np.unique(pairs[:-1][inside] * v + self.ids[2:][inside], return_inverse=True)[1]
+        _, at, count = np.unique(windows * self.n + self.of[2:][inside], return_inverse=True, return_counts=True)
+        again = np.zeros(len(self.ids) - 2, bool)
+        again[inside] = count[at] > 1
+        covered = np.zeros(len(self.ids), bool)
+        for k in range(3):
+            covered[k : len(covered) - 2 + k] |= again
+        return np.bincount(self.of[covered], minlength=self.n)
 
 
 def script_of(text: str) -> str:
@@ -92,37 +118,81 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.kept: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        new = list(words)
-        ids = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
-        self.kept.update((w, np.array(x, "<u2").tobytes()) for w, x in zip(new, ids))
-
-    def ids(self, docs: list[list[bytes]]) -> list[np.ndarray]:
-        new = set().union(*docs).difference(self.kept) if docs else set()
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            new = set().union(*docs)
-        self.learn(new)
-        get = self.kept.__getitem__
-        out = [np.frombuffer(b"".join(map(get, words)), "<u2") for words in docs]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del self.kept[w]
-        return out
-
-    def measure(self, ids: np.ndarray, chars: int) -> tuple[float | None, float | None, float | None]:
-        """Characters per token, byte-fallback share, and entropy in bits over the most that so many tokens can have; null without tokens."""
-        n = len(ids)
-        if not n:
-            return None, None, None
-        counts = np.bincount(ids)
-        counts = counts[counts > 0]
-        entropy = float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
-        return chars / n, float(self.is_byte[ids].mean()), entropy / np.log2(n + 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.kept: dict[str, int] = {}  # a word's number
+        self.values, self.sizes, self.starts = np.empty(0, "i4"), np.empty(0, "i8"), np.empty(0, "i8")  # all words' ids, and where they are
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one behind the other, and how many each has."""
+        found = self.model.encode(words, num_threads=1)
+        sizes = np.fromiter(map(len, found), "i8", len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), "i4", int(sizes.sum())), sizes
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.values) > KEPT_TOKENS:
+            self.clear()
+        get = self.kept.get
+        new = [w for w in words if get(w) is None]
+        if new:
+            values, sizes = self.encode(new)
+            self.starts = np.concatenate((self.starts, len(self.values) + np.cumsum(sizes) - sizes))
+            self.values, self.sizes = np.concatenate((self.values, values)), np.concatenate((self.sizes, sizes))
+            self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
+        return np.fromiter(map(self.kept.__getitem__, words), "i8", len(words))
+
+    def measure(self, words: Words, characters: np.ndarray) -> list[np.ndarray]:
+        """Characters per token, byte-fallback share, and entropy in bits over the most that so many tokens can have; NaN without words."""
+        numbers = self.numbers(words.distinct.to_pylist())[words.ids]
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        tokens, of = self.values[at], np.repeat(words.of, sizes)
+        n = np.bincount(of, minlength=words.n).astype("f8")
+        n[n == 0] = np.nan
+        keys = of * len(self.is_byte)
+        keys += tokens
+        keys.sort()
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else keys
+        counts = np.diff(np.append(first, len(keys)))
+        own = np.bincount(keys[first] // len(self.is_byte), counts * np.log2(counts), words.n)
+        entropy = (np.log2(n) - own / n) / np.log2(n + 1)
+        return [characters / n, np.bincount(of, self.is_byte[tokens], words.n) / n, entropy]
+
+
+class ByteFertility(Fertility):
+    """The same by the ranks of a byte-level vocabulary; what falls back is a token of a lone byte that is no character."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.model = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        size = max(ranks.values()) + 1
+        self.is_byte, self.lengths = np.zeros(size, bool), np.zeros(size, "i8")
+        for token, rank in ranks.items():
+            self.is_byte[rank], self.lengths[rank] = len(token) == 1 and token[0] >= 128, len(token)
+        self.clear()
+
+    def encode(self, words: list[str], together: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's ids with a blank before it: no token crosses that blank, so many are encoded as one text."""
+        values, sizes = [np.empty(0, "i4")], [np.empty(0, "i8")]
+        for lo in range(0, len(words), together):
+            part = words[lo : lo + together]
+            text = " " + " ".join(part)
+            ids = np.array(self.model.encode_ordinary(text), "i4")
+            bytes_of = np.fromiter(map(len, part), "i8", len(part)) if text.isascii() else np.fromiter((len(w.encode("utf-8", "replace")) for w in part), "i8", len(part))
+            ends, reach = np.cumsum(bytes_of + 1), np.cumsum(self.lengths[ids])
+            at = np.searchsorted(reach, ends)
+            if not np.array_equal(reach[at], ends):
+                each = [self.model.encode_ordinary(f" {w}") for w in part]
+                ids, at = np.array(list(itertools.chain.from_iterable(each)), "i4"), np.cumsum([len(x) for x in each]) - 1
+            values.append(ids)
+            sizes.append(np.diff(at, prepend=-1))
+        return np.concatenate(values), np.concatenate(sizes)
 
 
 @functools.cache
@@ -130,87 +200,116 @@ def fertility(path: str) -> Fertility:
     return Fertility(path)
 
 
-_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, chars_per_token double, fallback double, entropy double"
+@functools.cache
+def byte_fertility(path: str, pattern: str) -> ByteFertility:
+    return ByteFertility(path, pattern)
+
+
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_SCHEMA = ", ".join([*(f"{c} long" for c in _COUNTS), "script string", *(f"{m} double" for m in MEASURES)])
+
+
+def base_counts(words: Words) -> list[np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    symbols = pc.count_substring_regex(words.texts, "[#*$%&|<>]").to_numpy(zero_copy_only=False)
+    return [words.sizes, words.characters(), symbols, words.repeated_lines(), words.repeated_words()]
 
 
-def measures(docs: DataFrame, vocabulary: str, key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Base counts and fertility of every whole text: key, lang and the columns of _SCHEMA. Null texts have no words."""
+def measures(docs: DataFrame, vocabulary: str, byte_vocabulary: str, pattern: str, key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """Base counts and fertility of every whole text: key, lang (null without such a column) and the columns of _SCHEMA. Null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = fertility(vocabulary)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            base = [base_counts(t) for t in texts]
-            ids = tokens.ids([b[5] for b in base])
-            rows = [(*b[:5], script_of(t), *tokens.measure(x, b[1])) for t, b, x in zip(texts, base, ids)]
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 9, [pa.int64()] * 5 + [pa.string()] + [pa.float64()] * 3)]
+        vocabularies = fertility(vocabulary), byte_fertility(byte_vocabulary, pattern)
+        for batch in bounded(batches, size=4 << 20):
+            if not batch.num_rows:
+                continue
+            texts = batch.column(2).fill_null("")
+            words = Words(texts)
+            counts = base_counts(words)
+            plain = pc.string_is_ascii(texts).to_pylist()
+            scripts = ["latin" if p else script_of(t.as_py()) for p, t in zip(plain, texts)]
+            found = [x for v in vocabularies for x in v.measure(words, counts[1])]
+            columns = [*(pa.array(c.astype("i8")) for c in counts), pa.array(scripts, pa.string()), *(pa.array(x, pa.float64(), from_pandas=True) for x in found)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, lang, *(x.split()[0] for x in _SCHEMA.split(", "))])
 
-    small_batches(docs.sparkSession, size="4m")
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(lang).cast("string").alias(lang), "text").mapInArrow(run, f"{key} {kind}, {lang} string, {_SCHEMA}")
+    of = docs.schema[key].dataType.simpleString()
+    tongue = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    return docs.select(key, tongue.alias(lang), "text").mapInArrow(run, f"{key} {of}, {lang} string, {_SCHEMA}")
 
 
 def failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST, lang: str = "lang") -> DataFrame:
-    """(level, tongue, octave, its mean octave, the corpus's trend of entropy, and per measure _lo and _hi): a row for each group that has documents enough.
+def _groups(rows: DataFrame, lang: str) -> DataFrame:
+    """`rows` with what their bands go by: script, tongue and octave, and the exact octave `at` that entropies are compared at."""
+    at = F.log2(F.nullif(F.col("n_words"), F.lit(0)))
+    return rows.withColumns({"tongue": F.coalesce(F.col(lang), F.col("script")), "octave": F.floor(at), "at": at})
 
-    Level 0 is of languages (tongue as in `judged`), 1 of scripts, 2 of all documents (tongue ''); octave -1 is all lengths.
-    A level of all documents has its row of all lengths however few they are.
-    """
-    good = measured.filter(~failed() & F.col("chars_per_token").isNotNull())
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), c.alias("tongue")) for k, c in enumerate((F.coalesce(lang, "script"), F.col("script"), F.lit("")))])
-    at = F.floor(F.log2("n_words")).alias("at")
-    trend = good.agg(F.coalesce(F.nanvl(F.regr_slope("entropy", F.log2("n_words")), F.lit(0.0)), F.lit(0.0)).alias("trend"))
-    good = good.select(F.explode(levels).alias("of"), at, *FLOORS).select("of.*", "at", F.explode(F.array("at", F.lit(-1).cast("long"))).alias("octave"), *FLOORS)
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in FLOORS]
-    groups = good.groupBy("level", "tongue", "octave").agg(F.count("*").alias("n"), F.avg("at").alias("mid"), *quartiles).crossJoin(F.broadcast(trend))
-    groups = groups.filter((F.col("n") >= least) | (F.col("level") == 2) & (F.col("octave") == -1))
-
-    def edge(m: str, side: int):
+
+def bands(measured: DataFrame, width: float = WIDTH, strength: int = STRENGTH, lang: str = "lang") -> DataFrame:
+    """(script, tongue, octave, trend and middle of each entropy, and per measure _lo and _hi): a row for each group of documents that pass the base rules."""
+    good = _groups(measured.filter(~failed()), lang)
+    entropies = [m for m in MEASURES if kind(m) == "entropy"]
+    # The slope of entropy over octaves, as if `strength` documents more had none.
+    slope = lambda m: F.covar_pop(m, "at") * F.count(m) / (F.var_pop("at") * F.count(m) + strength)
+    told = lambda x: F.coalesce(F.round(x, 9), F.lit(0.0))  # noqa: E731  (sums of doubles differ in their last places by how rows are dealt)
+    trend = good.agg(*[told(slope(m)).alias(f"{m}_trend") for m in entropies], told(F.avg("at")).alias("middle"))
+    level = good.crossJoin(F.broadcast(trend)).withColumns({m: F.col(m) - F.col(f"{m}_trend") * (F.col("at") - F.col("middle")) for m in entropies})
+    depth = F.explode(F.array(*map(F.lit, range(3)))).alias("depth")
+    own = level.select("script", "tongue", "octave", depth, *MEASURES).withColumns({"tongue": F.when(F.col("depth") > 0, F.col("tongue")), "octave": F.when(F.col("depth") > 1, F.col("octave"))})
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES]
+    groups = own.groupBy("depth", "script", "tongue", "octave").agg(F.count("*").alias("n"), *quartiles)
+
+    def edges(m: str) -> list[Column]:
         q = F.col(m)
-        return q[side] + (2 * side - 1) * F.greatest(width * (q[1] - q[0]), F.lit(FLOORS[m]))
-
-    return groups.select("level", "tongue", "octave", "mid", "trend", *[edge(m, side).alias(f"{m}_{'hi' if side else 'lo'}") for m in FLOORS for side in (0, 1)])
-
-
-def judged(measured: DataFrame, band: DataFrame, lang: str = "lang") -> DataFrame:
-    """`measured` with base_failed, in_bands and kept. Only where no document at all passes the base rules is there no band."""
-    edges = [c for c in band.columns if c not in ("level", "tongue", "octave", "mid", "trend")]
-    rows = measured.withColumn("octave", F.floor(F.log2(F.nullif(F.col("n_words"), F.lit(0)))))
-    groups = rows.select(F.col(lang).alias("_lang"), F.col("script").alias("_script"), F.col("octave").alias("_octave")).distinct()
-    tongue = F.when(F.col("level") == 0, F.coalesce("_lang", "_script")).when(F.col("level") == 1, F.col("_script")).otherwise("")
-    # The band of each group of documents: some rows a language, as many as it has octaves.
-    near = F.struct((F.col("level") * 2 + (F.col("octave") == -1).cast("int")).alias("rank"), F.abs(F.col("octave") - F.col("_octave")).alias("off"), "octave", "mid", "trend", *edges)
-    levels = groups.withColumn("level", F.explode(F.array(*map(F.lit, range(3))))).withColumn("tongue", tongue)
-    chosen = levels.join(band, ["level", "tongue"]).groupBy("_lang", "_script", "_octave").agg(F.min(near).alias("near"))
-    wider = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("near.mid") - F.col("_octave")) / 2)) - 1  # 0 for a group's own band
-
-    def moved(m: str, side: str):
-        low, high = F.col(f"near.{m}_lo"), F.col(f"near.{m}_hi")
-        by = F.col("near.trend") * (F.col("_octave") - F.col("near.mid")) if m == "entropy" else F.lit(0.0)
-        return ((low - wider * (high - low) / 2 if side == "lo" else high + wider * (high - low) / 2) + by).alias(f"{m}_{side}")
-
-    chosen = chosen.select("_lang", "_script", "_octave", *[moved(m, side) for m in FLOORS for side in ("lo", "hi")])
-    rows = rows.join(chosen, F.col(lang).eqNullSafe(F.col("_lang")) & F.col("script").eqNullSafe(F.col("_script")) & F.col("octave").eqNullSafe(F.col("_octave")), "left")
-    e = {c: F.col(c) for c in edges}
+        wide = F.greatest(width * (q[1] - q[0]), F.lit(FLOORS[kind(m)]))
+        return [(q[0] - wide).alias(f"{m}_lo"), (q[1] + wide).alias(f"{m}_hi")]
+
+    names = [f"{m}_{side}" for m in MEASURES for side in ("lo", "hi")]
+    groups = stored(groups.select("depth", "script", "tongue", "octave", "n", *[e for m in MEASURES for e in edges(m)]))
+    fixed = lambda m, side: F.when(F.col("script") == "latin", F.lit(PRIOR["latin"][kind(m)][side])).otherwise(F.lit(PRIOR[""][kind(m)][side]))
+    around = groups.filter("depth = 0").select("script", "n", *names).withColumns({f"{m}_{side}": _drawn(F.col(f"{m}_{side}"), fixed(m, k), strength) for m in MEASURES for k, side in enumerate(("lo", "hi"))}).drop("n")
+    for d, keys in enumerate((["script"], ["script", "tongue"]), 1):
+        outer = around.select(*keys, *[F.col(x).alias(f"_{x}") for x in names])
+        inner = groups.filter(F.col("depth") == d).join(outer, keys)
+        around = inner.select("script", "tongue", *(["octave"] if d == 2 else []), *[_drawn(F.col(x), F.col(f"_{x}"), strength).alias(x) for x in names])
+    return around.crossJoin(F.broadcast(trend))
+
+
+def _drawn(own: Column, outer: Column, strength: int) -> Column:
+    return (F.col("n") * own + strength * outer) / (F.col("n") + strength)
+
+
+def judged(measured: DataFrame, band: DataFrame, lang: str = "lang", salts: int = 16) -> DataFrame:
+    """`measured` with base_failed, in_bands and kept."""
+    band = stored(band)
+    rows, keys = _groups(measured, lang), ["script", "tongue", "octave"]
+    if band.count() <= MAX_BROADCAST:
+        joined = rows.join(F.broadcast(band), keys, "left")
+    else:
+        spread = band.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = rows.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int")).join(spread, [*keys, "salt"], "left")
     within = F.lit(True)
-    for m, low, high in (("chars_per_token", True, True), ("fallback", False, True), ("entropy", True, False)):
+    for m in MEASURES:
+        x = F.col(m) - F.col(f"{m}_trend") * (F.col("at") - F.col("middle")) if kind(m) == "entropy" else F.col(m)
+        low, high = SIDES[kind(m)]
         if low:
-            within &= F.coalesce(F.col(m) >= e[f"{m}_lo"], F.lit(True))
+            within &= F.coalesce(x >= F.col(f"{m}_lo"), F.lit(True))
         if high:
-            within &= F.coalesce(F.col(m) <= e[f"{m}_hi"], F.lit(True))
-    return rows.select(*measured.columns, failed().alias("base_failed"), within.alias("in_bands"), (~failed() & within).alias("kept"))
+            within &= F.coalesce(x <= F.col(f"{m}_hi"), F.lit(True))
+    return joined.select(*measured.columns, failed().alias("base_failed"), within.alias("in_bands"), (~failed() & within).alias("kept"))
 
 
-def op5_fertility(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
-    """Quality rules over documents: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the measures."""
+def op5_fertility(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, byte_vocabulary: str | None = None) -> DataFrame:
+    """Quality rules over documents: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the measures.
+
+    Every row keeps its row, repeated ones and null doc_ids too, and each counts in the bands; null and empty texts have no words
+    and fail. Texts of any length are measured whole. An empty table gives no rows. Of other columns, `lang` alone is read.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    measured = stored(measures(docs, vocabulary or public_tokenizers.path("piece_bpe_32k.model")))
-    out = judged(measured, bands(measured))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback", "entropy")
+    path = public_tokenizers.path
+    measured = stored(measures(docs, vocabulary or path("piece_bpe_32k.model"), byte_vocabulary or path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    return judged(measured, bands(measured)).select("doc_id", *_COUNTS, "base_failed", "kept", *MEASURES)

@@ -158,30 +158,108 @@ def test_secrets(spark, odd):
 # 5
 
 
+VOCABULARIES = P.path("piece_bpe_32k.model"), RANKS, P.PATTERN
+
+
+def base_by_hand(text):
+    w, seen, dup = WORDS.findall(text), set(), 0
+    for line in text.split("\n"):
+        dup += line in seen and bool(WORDS.search(line))
+        seen.add(line)
+    k = Counter(zip(w, w[1:], w[2:]))
+    covered = {j for i in range(len(w) - 2) if k[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab\n\t \x0b\x0c\r\x1c\xa0é#&日"), max_size=30), min_size=1, max_size=5))
+def test_base_counts_of_a_batch(texts):
+    got = fertility.base_counts(fertility.Words(pa.array(texts, pa.string())))
+    assert [list(map(int, x)) for x in zip(*got)] == [base_by_hand(t) for t in texts]
+
+
 def test_base_rules(spark, odd):
-    for r in documents(spark):
-        w, seen, dup = WORDS.findall(r.text), set(), 0
-        for line in r.text.split("\n"):
-            dup += line in seen and bool(WORDS.search(line))
-            seen.add(line)
-        k = Counter(zip(w, w[1:], w[2:]))
-        covered = {j for i in range(len(w) - 2) if k[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
-        assert fertility.base_counts(r.text)[:5] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r.text), dup, len(covered))
-    measured = fertility.measures(odd, P.path("piece_bpe_32k.model"))
-    out = fertility.judged(measured, fertility.bands(measured)).collect()
-    assert len(out) == len(ODD) and not any(r.kept for r in out)
+    rows = [r.text for r in documents(spark)]
+    got = fertility.base_counts(fertility.Words(pa.array(rows)))
+    assert [list(map(int, x)) for x in zip(*got)] == list(map(base_by_hand, rows))
+    for docs in (odd, odd.drop("lang")):
+        measured = fertility.measures(docs, *VOCABULARIES)
+        out = fertility.judged(measured, fertility.bands(measured)).collect()
+        assert len(out) == len(ODD) and not any(r.kept for r in out)
+    measured = fertility.measures(odd.limit(0), *VOCABULARIES)
+    assert fertility.judged(measured, fertility.bands(measured)).count() == 0
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert all(r.kept or r.base_failed for r in fertility.op5_fertility(spark, SF).collect() if labels.get(r.doc_id) == 1)
 
 
-def test_small_groups_have_bands(spark):
-    # One garbage text in a language of few, in a long octave, and of a script of its own: as rejected as in a large group.
-    good = (100, 500, 0, 0, 0, "latin", 4.0, 0.0, 0.9)
-    bad = (100, 500, 0, 0, 0, "latin", 1.1, 0.4, 0.9)
-    rows = [(i, "en", *good) for i in range(150)] + [(200, "en", *bad), (201, "xx", *bad), (202, None, *bad[:5], "thai", *bad[6:]), (203, "en", 5000, *bad[1:]), (204, "xx", *good), (205, "en", 5000, *good[1:])]
-    measured = spark.createDataFrame(rows, f"doc_id long, lang string, {fertility._SCHEMA}")
-    kept = {r.doc_id: r.kept for r in fertility.judged(measured, fertility.bands(measured)).collect()}
-    assert len(kept) == len(rows) and {i for i, k in kept.items() if not k} == {200, 201, 202, 203}
+def test_fertility_measures():
+    import sentencepiece
+    import tiktoken
+
+    texts = ["the same the same", "naïve 日本語 ÿÿ\u200b", "", "x" * 5000 + " y", "\xa0 a\xa0 b \u2028c"]
+    words = fertility.Words(pa.array(texts))
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    ranks = byte_bpe.load_ranks(RANKS)
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    lone = {r for t, r in ranks.items() if len(t) == 1 and t[0] >= 128}
+    for f, ids_of, is_byte in (
+        (fertility.fertility(VOCABULARIES[0]), lambda w: model.encode(w), model.is_byte),
+        (fertility.byte_fertility(*VOCABULARIES[1:]), lambda w: other.encode_ordinary(f" {w}"), lone.__contains__),
+    ):
+        for t, got in zip(texts, zip(*f.measure(words, words.characters()))):
+            ids = [i for w in WORDS.findall(t) for i in ids_of(w)]
+            if not ids:
+                assert np.isnan(got).all()
+                continue
+            entropy = -sum(c / len(ids) * np.log2(c / len(ids)) for c in Counter(ids).values()) / np.log2(len(ids) + 1)
+            assert np.allclose(got, (sum(map(len, WORDS.findall(t))) / len(ids), sum(map(is_byte, ids)) / len(ids), entropy))
+
+
+def test_bands_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = fertility.measures(docs, *VOCABULARIES).cache()
+    rows = [r.asDict() for r in measured.collect()]
+    good = [r for r in rows if r["n_words"] >= 50 and 2 * r["n_repeat_words"] <= r["n_words"]]
+    k, at = fertility.STRENGTH, lambda r: float(np.log2(r["n_words"]))
+    x = np.array([at(r) for r in good])
+    middle = x.mean()
+    trend = {m: ((np.array([r[m] for r in good]) - np.mean([r[m] for r in good])) * (x - middle)).sum() / (((x - middle) ** 2).sum() + k) for m in fertility.MEASURES if fertility.kind(m) == "entropy"}
+    value = lambda r, m: r[m] - trend.get(m, 0) * (at(r) - middle)
+
+    def group(m, r, depth):
+        names = (r["script"], r["lang"] or r["script"], int(at(r)))[: depth + 1]
+        v = sorted(value(g, m) for g in good if (g["script"], g["lang"] or g["script"], int(at(g)))[: depth + 1] == names)
+        lo, hi = v[int(np.ceil(0.25 * len(v))) - 1], v[int(np.ceil(0.75 * len(v))) - 1]
+        wide = max(fertility.WIDTH * (hi - lo), fertility.FLOORS[fertility.kind(m)])
+        return len(v), lo - wide, hi + wide
+
+    def edges(m, r, known={}):
+        name = (m, r["script"], r["lang"], int(at(r)))
+        if name not in known:
+            lo, hi = fertility.PRIOR["latin" if r["script"] == "latin" else ""][fertility.kind(m)]
+            for depth in range(3):
+                n, a, b = group(m, r, depth)
+                lo, hi = (n * a + k * lo) / (n + k), (n * b + k * hi) / (n + k)
+            known[name] = lo, hi
+        return known[name]
+
+    got = {r.doc_id: r for r in fertility.judged(measured, fertility.bands(measured)).collect()}
+    assert len(got) == len(rows) and any(r.kept for r in got.values())
+    for r in good:
+        inside = all((not low or value(r, m) >= lo - 1e-9) and (not high or value(r, m) <= hi + 1e-9) for m in fertility.MEASURES for low, high in [fertility.SIDES[fertility.kind(m)]] for lo, hi in [edges(m, r)])
+        assert got[r["doc_id"]].kept == inside
+    assert not any(got[r["doc_id"]].kept for r in rows if r not in good)
+
+
+def test_a_text_is_judged_alike_in_small_and_large_groups(spark):
+    # Garbage in a language of few, in a long octave, and of a script of its own: as rejected as in a large group.
+    good = (100, 500, 0, 0, 0, "latin", 4.0, 0.0, 0.9, 4.0, 0.0, 0.9)
+    bad = (100, 500, 0, 0, 0, "latin", 0.9, 0.4, 0.9, 4.0, 0.0, 0.9)
+    for n in (0, 3, 99, 100, 101, 150, 400):
+        rows = [(i, "en", *good) for i in range(n)] + [(500, "en", *bad), (501, "xx", *bad), (502, None, *bad), (503, "en", 5000, *bad[1:]), (504, "xx", *good), (505, "en", 5000, *good[1:])]
+        measured = spark.createDataFrame(rows, f"doc_id long, lang string, {fertility._SCHEMA}")
+        kept = {r.doc_id: r.kept for r in fertility.judged(measured, fertility.bands(measured)).collect()}
+        assert len(kept) == len(rows) and {i for i, k in kept.items() if not k} == {500, 501, 502, 503}
 
 
 # 6
@@ -323,6 +401,42 @@ def test_warc(spark):
     assert warc.url_key("http://www.Example.com:80/a?b#c", 5) == "com,example,www)/a?b 00000000000000000005"
 
 
+def test_warc_files_by_another_reader(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://a.b/{i}", "x" * 1200 if i % 2 else f"<p>{i}") for i in range(20)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/a"
+    twice = [warc.write(pages, path, date="2020-01-02T03:04:05Z") for _ in range(2)]  # as if all tasks ran twice
+    assert not {r.file for r in twice[0].collect()} & {r.file for r in twice[1].collect()}
+    seen = Counter()
+    for f in (tmp_path / "a").iterdir():
+        raw = gzip.decompress(f.read_bytes())
+        first = True
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            assert lines[0] == "WARC/1.1" and fields["WARC-Date"] == "2020-01-02T03:04:05Z" and fields["WARC-Record-ID"].startswith("<urn:")
+            assert (fields["WARC-Type"] == "warcinfo") == first
+            n = int(fields["Content-Length"])
+            assert rest[n : n + 4] == b"\r\n\r\n"
+            raw, first = rest[n + 4 :], False
+            seen[fields["WARC-Type"]] += 1
+    assert seen["response"] == 22 and seen["revisit"] == 18
+    shards = warc.build_index(twice[1], f"{path}/i", block_lines=3)
+    assert warc.fetch(warc.look_up(pages, f"{path}/i", shards), path).count() == 20
+
+
+def test_warc_of_nothing_and_of_one_page_again_and_again(spark):
+    many = spark.createDataFrame([(7, "http://a.b/", "z" * 1500)] * 300 + [(None, None, None)] * 50, "page_id long, url string, html string")
+    for pages, n in ((many, 350), (many.limit(0), 0)):
+        top = shared_dir(spark)
+        captures = warc.write(pages, f"{top}/a")
+        shards = warc.build_index(captures, f"{top}/i", block_lines=4)
+        rows = warc.fetch(warc.look_up(pages, f"{top}/i", shards), f"{top}/a").collect()
+        assert len(rows) == n and {r.record_type for r in rows} <= {"response"}
+
+
 # 10
 
 
