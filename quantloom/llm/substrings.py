@@ -1,7 +1,7 @@
 """Substring dedup: passages of `window` or more words that occur twice, by FM-indexes of shards.
 
 A window (35 consecutive words of one text) is repeated if its word sequence also starts anywhere else. Which windows could be
-is narrowed down without loss, and FM-indexes decide:
+is narrowed down by hashes, and FM-indexes decide:
 
 1. Texts of the same bytes are counted once, with the number of their copies.
 2. Of each window the least hash of its `k`-word grams is taken (its minimizer). The windows of a text that share a minimizer's
@@ -15,7 +15,13 @@ is narrowed down without loss, and FM-indexes decide:
 
 A minimizer with more than `hot` different segments (a frequent passage with ever new neighbours) is no shard of its own: its
 segments are cut into single windows, and the hashes of a window's first and last grams join the minimizer in the name of the
-shard, so that equal windows still meet, and few others do.
+shard, so that equal windows still meet, and few others do. Equal ones of a batch of texts travel as one row, and all that
+arrive are one row of the index, with their number as its weight.
+
+A word stands for its 64-bit XXH3 hash, and texts, segments and windows count as equal at equal digests of 128 bits (a text's
+MD5; a segment's or window's hash together with its minimizer's). Of n different windows a wrong pair is expected with
+n^2 / 2^129, 4e-13 for the 1.6e13 windows of 100 TB; two different words of 1e10 share a hash with 2.7 such pairs expected, which
+mark something only where the 34 words around them are equal too.
 """
 
 from __future__ import annotations
@@ -24,35 +30,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, texts
+from .common import bounded, stored, texts
 
 WINDOW, GRAM, HOT = 35, 14, 2048
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 1_000_000
 
 
 class Words:
-    """64-bit hashes of words; those that came up are kept."""
-
-    def __init__(self):
-        self.kept: dict[bytes, int] = {}
+    """The words of a batch of texts as 64-bit hashes, one text behind the other, and where each text's end."""
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __init__(self, texts: pa.Array):
         import xxhash
 
-        try:
-            return np.fromiter(map(self.kept.__getitem__, words), "u8", len(words))
-        except KeyError:
-            pass
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        split = pc.split_pattern(pc.replace_substring_regex(texts.cast(pa.large_string()), "[\t-\r ]+", " "), " ")
+        found = split.flatten().dictionary_encode()
         h = xxhash.xxh3_64_intdigest
-        self.kept.update((w, h(w)) for w in set(words).difference(self.kept) if len(w) <= 48)
-        get = self.kept.get
-        return np.fromiter((x if (x := get(w)) is not None else h(w) for w in words), "u8", len(words))
+        distinct = np.fromiter(map(h, found.dictionary.to_pylist()), "u8", len(found.dictionary))
+        ids = found.indices.to_numpy(zero_copy_only=False)
+        some = ids != found.dictionary.index("").as_py()  # blanks around a text part off an empty word
+        self.hashes = distinct[ids[some]]
+        offsets = split.offsets.to_numpy().astype("i8")
+        self.ends = np.concatenate(([0], np.cumsum(some)))[offsets[1:] - offsets[0]]
+        self.starts = np.concatenate(([0], self.ends[:-1])) if len(self.ends) else self.ends
 
 
 def _rolling(h: np.ndarray, size: int) -> np.ndarray:
@@ -79,9 +82,13 @@ def _join(a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
     return (x + b[at:]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ (b[at:] >> np.uint64(29))
 
 
-def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows, content hash) of the segments of a text given as word hashes, in order."""
+def segments(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, minimizer, first window, windows, content hash) of the segments of a batch's texts, in order."""
+    h = words.hashes
     n = len(h) - window + 1
+    if n < 1:
+        none = np.empty(0, "i8")
+        return none, none.view("u8"), none, none, none.view("u8")
     grams = _rolling(h, gram)
     width = window - gram + 1
     # leftmost least gram of each window: least over two overlapping runs of a power of two
@@ -93,12 +100,17 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
         span *= 2
     a, b = low[:n], low[width - span : width - span + n]
     place = np.where(a <= b, at[:n], at[width - span : width - span + n])
-    starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    counts = np.diff(np.append(starts, n))
+    # windows of one text, and where another segment starts
+    text = np.repeat(np.arange(len(words.ends)), words.ends - words.starts)
+    inside = np.flatnonzero(text[:n] == text[window - 1 :])
+    place, text = place[inside], text[inside]
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])))) if len(inside) else inside
+    counts = np.diff(np.append(first, len(inside)))
+    starts, place, text = inside[first], place[first], text[first]
     # content: the first and the last window, how many, and where the minimizer stands
     whole = _rolling(h, window)
-    content = _mix(_mix(whole[starts], whole[starts + counts - 1]), (counts.astype("u8") << np.uint64(8)) | (place[starts] - starts).astype("u8"))
-    return grams[place[starts]], starts.astype("i4"), counts.astype("i4"), content
+    content = _mix(_mix(whole[starts], whole[starts + counts - 1]), (counts.astype("u8") << np.uint64(8)) | (place - starts).astype("u8"))
+    return text, grams[place], starts - words.starts[text], counts, content
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,19 +237,14 @@ def occurrences(docs: DataFrame, window: int, gram: int, text: str = "text") ->
     """(same, pick, grams, starts, counts, contents): the segments of each text of `window` words or more; `same` is a digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
-        for batch in batches:
-            out = []
-            for same, t, pick in zip(*(c.to_pylist() for c in batch.columns)):
-                words = t.encode("utf-8", "replace").split()
-                if len(words) >= window:
-                    m, s, c, x = segments(hashed(words), window, gram)
-                    out.append((same, pick, m.view("i8"), s, c, x.view("i8")))
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["same", "pick", "grams", "starts", "counts", "contents"])
-
-    small_batches(docs.sparkSession, size="4m")
+        for batch in bounded(batches, size=4 << 20):
+            text, grams, starts, counts, contents = segments(Words(batch.column(1)), window, gram)
+            some, sizes = np.unique(text, return_counts=True)
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype("i4"))
+            values = (grams.view("i8"), starts.astype("i4"), counts.astype("i4"), contents.view("i8"))
+            columns = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)), *columns], names=["same", "pick", "grams", "starts", "counts", "contents"])
+
     return docs.select("same", text, "pick").mapInArrow(run, "same binary, pick long, grams array<long>, starts array<int>, counts array<int>, contents array<long>")
 
 
@@ -264,66 +271,90 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
     kinds = kinds.join(crowded, "gram", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
     asked = stored(kinds.groupBy("same", "pick").agg(F.collect_list(F.struct("gram", "content", "weight", "start", "n", "cut")).alias("asked")))  # of one text
 
+    names = ["shard", "gram", "contents", "parts", "weight", "words"]
+    kinds_of = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
-        for batch in batches:
-            out = []
-            for t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = hashed(t.encode("utf-8", "replace").split())
-                edges = _rolling(h, gram)
-                for x in wanted:
-                    at, n = x["start"], x["n"]
-                    if not x["cut"]:
-                        out.append((x["gram"], x["gram"], x["content"], 0, x["weight"], h[at : at + n + window - 1].tobytes()))
-                        continue
-                    names = _mix(_mix(edges[at : at + n], edges[at + window - gram : at + window - gram + n]), np.full(n, x["gram"], "i8").view("u8")).view("i8")
-                    out += [(name, x["gram"], x["content"], k, x["weight"], h[at + k : at + k + window].tobytes()) for k, name in enumerate(names.tolist())]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["shard", "gram", "content", "part", "weight", "words"])
+        for batch in bounded(batches, size=4 << 20):
+            words, asked = Words(batch.column(0)), batch.column(1)
+            h, flat = words.hashes, asked.flatten()
+            want = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in ("gram", "content", "weight", "start", "n", "cut")}
+            of = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            at = want["start"] + words.starts[of]
+            out = [
+                (g, g, [c], [0], w, h[a : a + n + window - 1].tobytes())
+                for g, c, w, a, n in zip(*(x[~want["cut"]].tolist() for x in (want["gram"], want["content"], want["weight"], at, want["n"])))
+            ]
+            cut = np.flatnonzero(want["cut"])
+            if len(cut):
+                n = want["n"][cut]
+                row = np.repeat(cut, n)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                place, grams = at[row] + part, want["gram"][row]
+                edges, whole = _rolling(h, gram), _rolling(h, window)[place]
+                shard = _mix(_mix(edges[place], edges[place + window - gram]), grams.view("u8")).view("i8")
+                # Equal windows of the batch are one row.
+                order = np.lexsort((whole, grams, shard))
+                shard, grams, whole, place, part, row = (x[order] for x in (shard, grams, whole, place, part, row))
+                content, weight = want["content"][row], want["weight"][row]
+                new = np.concatenate(([True], (shard[1:] != shard[:-1]) | (grams[1:] != grams[:-1]) | (whole[1:] != whole[:-1])))
+                first = np.flatnonzero(new)
+                total = np.add.reduceat(weight, first).tolist()
+                for i, (a, b) in enumerate(zip(first.tolist(), np.append(first[1:], len(new)).tolist())):
+                    out.append((int(shard[a]), int(grams[a]), content[a:b], part[a:b].astype("i4"), total[i], h[place[a] : place[a] + window].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds_of)], names=names)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        total, last, alone = 0, None, True
+        rows: list[list] = []  # words, weight, what they are windows of: (minimizer, contents, parts)
+        shard, first, total = None, 0, 0  # the shard of the last row, its first row, and the words held
         bits = 1 << np.arange(window - gram + 1)  # a segment's windows at most: fewer than 63
 
         def done() -> pa.RecordBatch:
-            out = []
-            if held:
-                index = FMIndex([np.frombuffer(x[5], "u8") for x in held], np.array([x[4] for x in held]), window)
+            out: list[tuple] = []
+            if rows:
+                index = FMIndex([np.frombuffer(x[0], "u8") for x in rows], np.array([x[1] for x in rows]), window)
                 marks = index.repeated(window)
-                for (_, gram, content, part, _, _), s, z in zip(held, index.starts.tolist(), index.sizes.tolist()):
+                for (_, _, members), s, z in zip(rows, index.starts.tolist(), index.sizes.tolist()):
                     if (own := marks[s : s + z - window + 1]).any():
-                        out.append((gram, content, part, int(own @ bits[: len(own)])))
+                        mark = int(own @ bits[: len(own)])
+                        out += [(g, c, p, mark) for g, contents, parts in members for c, p in zip(contents, parts)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["gram", "content", "part", "marks"])
 
+        def lone() -> bool:
+            """Whether the last shard holds one window alone, that of one place: it can't repeat."""
+            return len(rows) == first + 1 and rows[first][1] < 2 and len(rows[first][0]) == 8 * window
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[-1][:4] == row[:4]:  # brought by a copy of the text too
-                    continue
-                if row[0] != last:
-                    if held and held[-1][0] == last and alone and held[-1][4] < 2:  # alone in its shard: it can't repeat but within itself
-                        if len(held[-1][5]) == 8 * window:
-                            total -= window
-                            held.pop()
+            for name, g, contents, parts, weight, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if name != shard:
+                    if rows and lone():
+                        total -= window
+                        rows.pop()
                     if total >= shard_words:  # an index ends between shards
                         yield done()
-                        held, total = [], 0
-                alone, last = row[0] != last, row[0]
-                held.append(row)
-                total += len(row[5]) // 8
+                        rows, total = [], 0
+                    shard, first = name, len(rows)
+                elif rows[-1][0] == words and rows[-1][2][-1][0] == g:
+                    rows[-1][1] += weight
+                    rows[-1][2].append((g, contents, parts))
+                    continue
+                rows.append([words, weight, [(g, contents, parts)]])
+                total += len(words) // 8
+        if rows and lone():
+            rows.pop()
         yield done()
 
-    small_batches(spark, size="4m")
-    brought = plain.join(asked, ["same", "pick"]).select("text", "asked").mapInArrow(words_of, "shard long, gram long, content long, part int, weight long, words binary")
+    # Rows of equal text and key are one from here on, merged before they move.
+    each = plain.groupBy("same", "pick").agg(F.first("text").alias("text"))
+    brought = each.join(asked, ["same", "pick"]).select("text", "asked").mapInArrow(words_of, "shard long, gram long, contents array<long>, parts array<int>, weight long, words binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Rows of equal text and key bring their words as often as they stand there; a search takes the first.
-    brought = brought.repartition(parts, "shard").sortWithinPartitions("shard", "gram", "content", "part")
+    brought = brought.repartition(parts, "shard").sortWithinPartitions("shard", "gram", "words")
     marked = stored(brought.mapInArrow(search, "gram long, content long, part int, marks long"))
     back = hits.join(marked, ["gram", "content"]).select("same", (F.col("start") + F.col("part")).alias("start"), "marks")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.arange(window - gram + 1)
-        for batch in batches:
+        for batch in bounded(batches, size=4 << 20):
             out = []
             for starts, marks in zip(batch.column(1), batch.column(2)):
                 start, mark = starts.values.to_numpy(), marks.values.to_numpy()
@@ -335,12 +366,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["same", "ranges"])
 
-    small_batches(spark, size="4m")
     gathered = back.groupBy("same").agg(F.collect_list(F.struct("start", "marks")).alias("rows"))  # of one text
     return stored(gathered.select("same", F.col("rows.start").alias("starts"), F.col("rows.marks").alias("marks")).mapInArrow(ranges, "same binary, ranges array<struct<start:int,end:int>>"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, key: str = "doc_id", salts: int = 16) -> DataFrame:
     """A row per row of `docs`: key, n_words, n_removed, kept (the words left, joined by one blank).
 
     Null and empty texts have no words; texts of fewer words than a window keep all. Two rows of equal text are two places.
@@ -350,7 +380,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, size=4 << 20):
             n_words, n_removed, kept = [], [], []
             for t, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = t.encode("utf-8", "surrogatepass").split()
@@ -365,12 +395,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
             columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_words", "n_removed", "kept"])
 
-    small_batches(docs.sparkSession, size="4m")
-    rows = plain.withColumn("same", _digest()).join(found, "same", "left").select(key, "text", "ranges")
+    # The ranges of a text are one row; copies of a text (empty ones too) are spread over the salts they are dealt to.
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = plain.withColumns({"same": _digest(), "salt": (F.monotonically_increasing_id() % salts).cast("int")}).join(spread, ["same", "salt"], "left").select(key, "text", "ranges")
     return rows.mapInArrow(run, f"{key} {kind}, n_words long, n_removed long, kept string")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents without repeated passages of 35 words: doc_id, n_words, n_removed, kept_sha256."""
+    """documents without repeated passages of 35 words: doc_id, n_words, n_removed, kept_sha256.
+
+    Every row keeps its row, and null doc_ids; rows of equal text are places of their own, so that each loses all of its windows.
+    Null and empty texts have no words, shorter texts than a window lose none. Texts of any length are taken whole. An empty
+    table gives no rows. Other columns are not read.
+    """
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
