@@ -63,12 +63,6 @@ def bounded(batches: Iterable[pa.RecordBatch], rows: int = 2000, size: int = 8 <
                 yield part
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Bound the Arrow batches that Python workers get: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str | Column) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df

@@ -10,7 +10,9 @@ group of copies is one row, however large). Links are found without comparing al
   edges d with |d - distance(x, node)| <= radius. Only links that join two so far separate parts of a shard are kept, so a
   shard of n fingerprints yields n - 1 links at most;
 * a shard of more than `shard_rows` fingerprints is cut into slices, and a task builds the trees of one slice and searches
-  them for another: every pair of slices meets in one of the tasks. No shard is dropped, capped or sampled.
+  them for another: every pair of slices meets in one of the tasks. A shard of more than `finer` slices is no shard: what is in
+  it is dealt again by more and smaller blocks, all but `radius` of which name a shard (8 blocks, 56 shards of 40 bits; at last
+  16 blocks, 560 shards of 52 bits, which hold 4,096 fingerprints at most). No shard is dropped, capped or sampled.
 
 Classes are connected components over fingerprints, by minimum labels and pointer jumping, each round written to the shared
 folder. Nothing goes through the driver but a count of changed labels.
@@ -18,6 +20,7 @@ folder. Nothing goes through the driver but a count of changed labels.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, stored
+from .common import bounded, discard, stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -136,30 +139,44 @@ def tree_links(index: list[tuple], queries: list[tuple] | None, radius: int, ali
     return out
 
 
-def _blocks(radius: int) -> list[int]:
-    """Masks of radius + 2 blocks of about equal width."""
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+def _masks(radius: int, blocks: int) -> list[int]:
+    """Masks of all sets of `blocks` - `radius` of as many blocks of about equal width: values within the radius agree under one."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    each = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
+    return [sum(some) for some in itertools.combinations(each, blocks - radius)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = 3, shard_rows: int = 512) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, shard_rows: int = 512, finer: int = 64) -> DataFrame:
     """(a, b): links that connect all fingerprints of `nodes` (distinct, column fp) within the radius, as a forest of each shard."""
-    masks = [a | b for a, b in itertools.combinations(_blocks(radius), 2)]
-    shards = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])
-    dealt = nodes.select("fp", F.explode(shards).alias("shard")).select("shard.*", F.col("fp").alias("node"), F.col("fp").alias("code"))
-    return shard_links(dealt, radius, shard_rows)
+    found, levels = [], (radius + 2, radius + 5, max(16, radius + 5))
+    for blocks in levels:
+        shards = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_masks(radius, blocks))])
+        dealt = nodes.select("fp", F.explode(shards).alias("shard")).select("shard.*", F.col("fp").alias("node"), F.col("fp").alias("code"))
+        sizes = stored(shard_sizes(dealt))
+        large = sizes.filter(F.col("n") > finer * shard_rows)
+        if blocks == levels[-1] or large.isEmpty():
+            found.append(shard_links(dealt, radius, shard_rows, sizes=sizes))
+            break
+        found.append(shard_links(dealt, radius, shard_rows, sizes=sizes.filter(F.col("n") <= finer * shard_rows)))
+        nodes = stored(dealt.join(large, ["k", "bits"], "left_semi").select(F.col("node").alias("fp")).distinct())
+    return functools.reduce(DataFrame.union, found)
+
 
+def shard_sizes(dealt: DataFrame) -> DataFrame:
+    """(k, bits, n) of the shards of two rows or more; most hold one row and end here."""
+    return dealt.groupBy("k", "bits").agg(F.count("*").alias("n")).filter("n > 1")
 
-def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None) -> DataFrame:
-    """(a, b): links between nodes that share a shard, from rows (k, bits, node, code) with shard (k, bits); and signature, if `alike` is given."""
-    sizes = dealt.groupBy("k", "bits").agg(F.count("*").alias("n")).filter("n > 1")
-    # Most shards hold one row and end here.
-    dealt = stored(dealt.join(sizes, ["k", "bits"]))
+
+def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None, sizes: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes that share a shard, from rows (k, bits, node, code) with shard (k, bits); and signature, if `alike` is given.
+
+    `sizes` are the shards to look at, as shard_sizes has them; all where none are given.
+    """
+    dealt = stored(dealt.join(shard_sizes(dealt) if sizes is None else sizes, ["k", "bits"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, queries = None, [], []
@@ -203,21 +220,23 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     the number of rounds follows the logarithm of the longest chain. Only linked nodes take part.
     """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")))
+    kept: list[str] = []  # tables of the round before, which nothing reads once the next stands
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), kept)
     for _ in range(max_rounds):
+        made: list[str] = []
         # pointer jumping: the label of my label
         target = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        jumped = stored(labels.join(target, "label").select("v", F.col("up").alias("label")))
+        jumped = stored(labels.join(target, "label").select("v", F.col("up").alias("label")), made)
         # hooking: what my neighbours are labelled, for me and for my root
         seen = both.join(jumped.select(F.col("v").alias("b"), F.col("label").alias("seen")), "b").groupBy("a").agg(F.min("seen").alias("seen"))
-        mine = jumped.join(seen.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "seen").alias("low"))
-        mine = stored(mine)
+        mine = stored(jumped.join(seen.withColumnRenamed("a", "v"), "v").select("v", "label", F.least("label", "seen").alias("low")), made)
         roots = mine.filter("low < label").groupBy("label").agg(F.min("low").alias("low"))
         own = mine.select("v", F.col("low").alias("label"))
-        moved = own.join(roots.select(F.col("label").alias("v"), "low"), "v", "left").select("v", F.coalesce(F.least("label", "low"), "label").alias("label"))
-        new = stored(moved)
-        changed = new.join(labels.withColumnRenamed("label", "was"), "v").filter("label <> was").limit(1).count()
-        labels = new
+        last: list[str] = []
+        new = stored(own.join(roots.select(F.col("label").alias("v"), "low"), "v", "left").select("v", F.coalesce(F.least("label", "low"), "label").alias("label")), last)
+        changed = not new.join(labels.withColumnRenamed("label", "was"), "v").filter("label <> was").isEmpty()
+        discard(kept + made)
+        labels, kept = new, last
         if not changed:
             break
     else:
@@ -231,7 +250,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     Empty texts have fingerprint zero and link like others. A null doc_id is nobody's component_id unless all of a class are null.
     Rows of equal doc_id each keep their row.
     """
-    spark = docs.sparkSession
     fps = stored(fingerprints(docs, shingle, key))
     nodes = stored(fps.groupBy("fp").agg(F.min(key).alias("least")))
     labels = components(nodes, links(nodes, radius))
@@ -241,8 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     # A fingerprint may be a third of all rows' (copies): each fingerprint's class is dealt to `salts` tasks and rows spread over them.
     salts = 16
     spread = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = fps.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    del spark
+    salted = fps.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int"))
     return salted.join(spread, ["fp", "salt"]).select(key, "fp", "component_id")
 
 
@@ -356,6 +373,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, key: str = "
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents' fingerprints of 3-word shingles, linked at 3 or fewer bits: doc_id, fingerprint (hex), component_id."""
+    """documents' fingerprints of 3-word shingles, linked at 3 or fewer bits: doc_id, fingerprint (hex), component_id.
+
+    Every row keeps its row, repeated ones too. Null and empty texts have fingerprint zero, linked like any other; a null doc_id is
+    nobody's component_id unless all of a class are null. Texts of any length are taken whole. An empty table gives no rows. Other
+    columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -292,8 +292,8 @@ def test_simhash_links_and_classes(spark):
             x ^= 1 << int(b)
         fps[i] = x
     nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in set(fps.values())], "fp long")
-    for rows in (512, 4):  # whole shards, and shards in slices
-        label = {r.fp & (2**64 - 1): r.label for r in simhash.components(nodes, simhash.links(nodes, 3, rows)).collect()}
+    for rows, finer in ((512, 64), (4, 64), (2, 1)):  # whole shards, shards in slices, and dealt again by smaller blocks
+        label = {r.fp & (2**64 - 1): r.label for r in simhash.components(nodes, simhash.links(nodes, 3, rows, finer)).collect()}
         want, groups = classes(fps, 3), {}
         for i, x in fps.items():
             groups.setdefault(want[i], set()).add(label[x])
