@@ -117,16 +117,26 @@ def long_weights(df: DataFrame, names: Sequence[str] = DEFAULT) -> DataFrame:
 def covariances(returns: DataFrame, names: DataFrame, lookback: int = 252, ridge: float = 1e-4) -> DataFrame:
     """(date, a, b, cov): per date the covariances of its agreed names over the `lookback` calendar dates before it, unknown returns as 0.
 
-    returns: permno, date, ret. names: date, permno. Sums of products are kept per pair of names and date, not per pair of rows:
-    a date's pairs are its agreed names squared, a few thousand.
+    returns: permno, date, ret. names: date, permno. A date's history, `lookback` rows of each of its names, is one matrix in a
+    grouped map, from which sums of products come; rows never meet in pairs. Of two names the dates that both have count.
     """
     days = returns.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # thousands of dates
     x = returns.join(F.broadcast(days), "date").select("permno", "t", F.coalesce("ret", F.lit(0.0)).alias("r"))
     asked = names.join(F.broadcast(days), "date").select("date", F.col("t").alias("at"), "permno")
-    past = asked.join(x, "permno").filter((F.col("t") < F.col("at")) & (F.col("t") >= F.col("at") - lookback)).select("date", "at", "permno", "t", "r")
-    left, right = past.select("date", "t", F.col("permno").alias("a"), F.col("r").alias("ra")), past.select("date", "t", F.col("permno").alias("b"), F.col("r").alias("rb"))
-    pairs = left.join(right, ["date", "t"]).groupBy("date", "a", "b").agg(F.covar_samp("ra", "rb").alias("cov"))
-    return pairs.withColumn("cov", F.coalesce("cov", F.lit(0.0)) + F.when(F.col("a") == F.col("b"), ridge).otherwise(0.0))
+    past = asked.join(x, "permno").filter((F.col("t") < F.col("at")) & (F.col("t") >= F.col("at") - lookback)).select("date", "permno", "t", "r")
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        who, i = np.unique(g["permno"].to_numpy(), return_inverse=True)
+        when, j = np.unique(g["t"].to_numpy(), return_inverse=True)
+        r, known = np.zeros((len(when), len(who))), np.zeros((len(when), len(who)))
+        r[j, i], known[j, i] = g["r"].to_numpy(), 1.0
+        n, sums = known.T @ known, r.T @ known  # dates that both have, and the sum of the first over them
+        with np.errstate(all="ignore"):
+            cov = np.where(n > 1, (r.T @ r - sums * sums.T / n) / (n - 1), 0.0) + ridge * np.eye(len(who))
+        a, b = np.nonzero(n)
+        return pd.DataFrame({"date": g["date"].iloc[0], "a": who[a], "b": who[b], "cov": cov[a, b]})
+
+    return past.groupBy("date").applyInPandas(pairs, "date date, a long, b long, cov double")
 
 
 def max_sharpe(df: DataFrame, cov: DataFrame, most: float = 0.10) -> DataFrame:

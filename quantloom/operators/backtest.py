@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from . import allocate as A
-from .signals import SCORES, long_scores, scores
+from .features import volatility
+from .panel import latest
+from .signals import SCORES, long_scores, scores, signals
 
 COMBO = ("scoring", "allocation")
 
@@ -87,11 +89,28 @@ def chosen(table: DataFrame, how: str = "best", k: int = 5, names: Sequence[str]
     return ordered(table, names).orderBy(F.round("sharpe", 9).desc(), "combo_order").limit(1 if how == "best" else k).select(*COMBO)
 
 
-def degradation(inside: DataFrame, outside: DataFrame) -> DataFrame:
-    """In-sample against out-of-sample: percent lost of Sharpe, return and volatility, and what to think of it."""
+def sides(returns: DataFrame, share: float = 0.65, by: Sequence[str] = COMBO) -> DataFrame:
+    """in_sample per row: the first int(dates x share) dates of each pair. Pairs of one grid have the same dates, those of its calendar."""
+    w = Window.partitionBy(*by)
+    return returns.withColumn("in_sample", F.row_number().over(w.orderBy("date")) <= F.floor(F.count("*").over(w) * share))
+
+
+def out_of_sample(table: DataFrame, how: str = "best", k: int = 5, names: Sequence[str] = A.DEFAULT) -> DataFrame:
+    """Of the metrics of both sides (a row a pair and in_sample), those out of sample of the pairs chosen in sample."""
+    inside = F.max(F.when(F.col("in_sample"), F.round("sharpe", 9))).over(Window.partitionBy(*COMBO))
+    rows = ordered(table.withColumn("_is", inside), names).filter("NOT in_sample AND _is IS NOT NULL")
+    if how != "all":
+        order = Window.orderBy(F.col("_is").desc(), "combo_order")  # a row a pair
+        rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= (1 if how == "best" else k)).drop("_n")
+    return rows.drop("_is", "combo_order", "in_sample")
+
+
+def degradation(table: DataFrame) -> DataFrame:
+    """In-sample against out-of-sample metrics (a row a pair and in_sample): percent lost of Sharpe, return and volatility, and what to think of it."""
     cols = ("sharpe", "ann_return", "ann_vol")
-    a, b = (t.select(*COMBO, *[F.col(c).alias(f"{p}_{c}") for c in cols]) for t, p in ((inside, "is"), (outside, "oos")))
-    out = a.join(b, list(COMBO))
+    one = lambda c, inside: F.max(F.when(F.col("in_sample") == inside, F.col(c)))
+    out = table.groupBy(*COMBO).agg(*[one(c, inside).alias(f"{p}_{c}") for c in cols for p, inside in (("is", True), ("oos", False))])
+    out = out.filter("is_sharpe IS NOT NULL AND oos_sharpe IS NOT NULL")
     loss = lambda c: 100 * ratio(F.col(f"is_{c}") - F.col(f"oos_{c}"), F.abs(F.col(f"is_{c}")))
     out = out.withColumns({f"{c}_degradation": loss(c) for c in cols})
     d = F.col("sharpe_degradation")
@@ -103,18 +122,20 @@ def monthly(returns: DataFrame, r: str, by: Sequence[str] = COMBO) -> DataFrame:
     return returns.groupBy(*by, F.last_day("date").alias("date")).agg((F.product(1 + F.col(r)) - 1).alias(r))
 
 
-def report(returns: DataFrame, factors: DataFrame, freq: str = "daily", by: Sequence[str] = COMBO) -> DataFrame:
+def report(returns: DataFrame, factors: DataFrame, freq: str = "daily", by: Sequence[str] = COMBO, days: DataFrame | None = None) -> DataFrame:
     """Simple returns of the equity curve beside the riskless rate and the benchmark (mktrf + rf) of their dates, and the excess.
 
-    factors: date, mktrf, rf; gaps are filled forward, then backward, over a strategy's dates.
+    factors: date, mktrf, rf; gaps are filled forward, then backward, over the dates from the second on: once for all strategies,
+    on a table of a row a date. days: the dates of `returns`, where they can be had for less than `returns` itself.
     """
-    w = Window.partitionBy(*by).orderBy("date")
-    eq = equity(returns, by)
-    simple = eq.withColumn("strategy", ratio(F.col("equity_simple"), F.lag("equity_simple").over(w)) - 1)
+    w, once = Window.partitionBy(*by).orderBy("date"), Window.orderBy("date")  # thousands of dates
+    simple = equity(returns, by).withColumn("strategy", ratio(F.col("equity_simple"), F.lag("equity_simple").over(w)) - 1)
     simple = simple.withColumn("_first", F.row_number().over(w)).filter("_first > 1").select(*by, "date", "strategy")
-    joined = simple.join(factors.groupBy("date").agg(F.avg("mktrf").alias("mktrf"), F.avg("rf").alias("rf")), "date", "left")
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    joined = joined.withColumns({c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(ahead)) for c in ("mktrf", "rf")})
+    known = (returns if days is None else days).select("date").distinct().withColumn("_n", F.row_number().over(once)).filter("_n > 1").drop("_n")
+    known = known.join(factors.groupBy("date").agg(F.avg("mktrf").alias("mktrf"), F.avg("rf").alias("rf")), "date", "left")
+    past, ahead = once.rowsBetween(Window.unboundedPreceding, 0), once.rowsBetween(0, Window.unboundedFollowing)
+    known = known.withColumns({c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(ahead)) for c in ("mktrf", "rf")})
+    joined = simple.join(F.broadcast(known), "date", "left")
     out = joined.withColumn("benchmark", F.col("mktrf") + F.col("rf")).select(*by, "date", "strategy", "rf", "benchmark")
     if freq == "monthly":
         out = out.groupBy(*by, F.last_day("date").alias("date")).agg(*[(F.product(1 + F.col(c)) - 1).alias(c) for c in ("strategy", "rf", "benchmark")])
@@ -132,3 +153,14 @@ def trade_list(weighted: DataFrame) -> DataFrame:
     """Non-zero weights of the latest date with action and conviction (columns permno, date, prob_up, expected_return, score, w)."""
     last = weighted.join(F.broadcast(weighted.agg(F.max("date").alias("date"))), "date", "left_semi").filter("w <> 0")  # one row
     return last.select("permno", "prob_up", "expected_return", F.col("w").alias("weight"), F.abs("score").alias("conviction"), F.when(F.col("w") > 0, "BUY").otherwise("SELL-SHORT").alias("action"))
+
+
+def next_day(matrix: DataFrame, up, mean, scoring: str, allocation: str, ret: str = "adj_prc_logret", most: float = 0.05, **params) -> DataFrame:
+    """Trades for the date after a model matrix's last: both fitted models over the latest slice, signals, the chosen strategy's weights.
+
+    matrix: permno, date, the models' features and `ret`, whose deviation over an entity's last 20 rows is its volatility. A row a
+    trade: permno, prob_up, expected_return, weight, conviction, action; none if the models agree on no name.
+    """
+    recent = matrix.withColumn("volatility", volatility(ret, 20, 20, None))
+    rows = signals(mean.scored(up.scored(latest(recent), "prob_up"), "expected_return"))
+    return trade_list(grid_weights(rows, (allocation,), most=most, **params).filter(F.col("scoring") == scoring))

@@ -81,6 +81,11 @@ def drop_empty_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*[c for c in columns if not counts[c]])
 
 
+def prefer_latest(df: DataFrame, own: str = "cusip", named: str = "ncusip") -> DataFrame:
+    """Without the identifier of the price table where the names' own came along: that is the one of the date."""
+    return df.drop(own) if own in df.columns and named in df.columns else df
+
+
 def latest(df: DataFrame, date: str = "date") -> DataFrame:
     """Rows of the greatest date."""
     return df.join(F.broadcast(df.agg(F.max(date).alias(date))), date, "left_semi")  # one row

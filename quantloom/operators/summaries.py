@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import FOREVER
+from .panel import FOREVER, require
 
 
 def null_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -108,12 +108,31 @@ def interval_findings(df: DataFrame, key: str, start: str, end: str, *ties: str)
 
 
 def factor_findings(df: DataFrame, columns: Sequence[str], rf: str | None = None, most: float = 0.5, most_rf: float = 0.05) -> DataFrame:
-    rules = {f"missing_{c}": ("warn", F.col(c).isNull() | F.isnan(c)) for c in columns} | {f"large_{c}": ("warn", F.abs(c) > most) for c in columns}
+    """Checks of daily factors, one row a date: columns that must be there, unknown, infinite and overly large values, repeated dates."""
+    every = [*columns, *([rf] if rf else [])]
+    require(df, ["date", *every], "factors")
+    infinite = lambda c: F.abs(c) == F.lit(float("inf"))
+    rules = {f"missing_{c}": ("warn", F.col(c).isNull() | F.isnan(c)) for c in columns} | {f"infinite_{c}": ("warn", infinite(c)) for c in every} | {f"large_{c}": ("warn", F.abs(c) > most) for c in columns}
     if rf:
         rules["large_rf"] = ("warn", F.abs(rf) > most_rf)
     return findings(df, rules).unionByName(repeated_keys(df, ["date"]))
 
 
+#: Columns that estimates and actuals must have (fixed values).
+CONSENSUS = ("official_ticker", "stat_date", "periodicity", "fpi", "n_analysts", "cons_mean")
+ACTUALS = ("oftic", "anndats", "pdicity", "act_measure", "act_value", "usfirm")
+
+
+def consensus_findings(df: DataFrame) -> DataFrame:
+    """Checks of consensus snapshots: columns that must be there, and keys of several rows, to be thinned out before a join."""
+    return repeated_keys(require(df, CONSENSUS, "consensus"), ["official_ticker", "stat_date"], "multi_row_key", "info")
+
+
+def actuals_findings(df: DataFrame) -> DataFrame:
+    """The same of reported actuals."""
+    return repeated_keys(require(df, ACTUALS, "actuals"), ["oftic", "anndats"], "multi_row_key", "info")
+
+
 def coverage(df: DataFrame, entity: str = "permno", date: str = "date") -> DataFrame:
     """Whether all entities have the same number of rows, first and last date."""
     per = df.groupBy(entity).agg(F.count("*").alias("n"), F.min(date).alias("lo"), F.max(date).alias("hi"))

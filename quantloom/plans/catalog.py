@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import log1p, ratio
 from ..operators import allocate as A
+from ..operators import augment as G
 from ..operators import backtest as B
 from ..operators import features as X
 from ..operators import models as M
@@ -79,6 +80,22 @@ def _(t):
     return t.macro
 
 
+@query("src11_macro_sink", "date " + " ".join(f"~{s}_{v}" for s in SERIES for v in ("avg", "min", "max")), "SELECT * FROM macro")
+def _(t):
+    """Written as a named artifact, found and read back."""
+    T.write_macro(t.macro, folder := T.scratch(t.spark))
+    return T.load(t.spark, folder, ["common_features"])["common_features"]
+
+
+@query("p15_latest_name", "#l_orderkey #line label", "SELECT l_orderkey, line, i.label AS label FROM shipped JOIN intervals i ON custkey = cust AND date >= namedt AND date <= coalesce(nameenddt, DATE '9999-12-31')")
+def _(t):
+    own = t.shipped.withColumn("cusip", F.lit("of the price table"))
+    joined = P.interval_join(own, t.intervals.withColumnRenamed("label", "ncusip"), {"cust": "custkey"}, "date", "namedt", "nameenddt")
+    out = P.prefer_latest(joined)
+    assert "cusip" not in out.columns and "cusip" in P.prefer_latest(own).columns
+    return out.withColumnRenamed("ncusip", "label")
+
+
 @query("p1_adjusted_price", "#l_orderkey #l_linenumber #l_partkey ~adj_prc", "SELECT l_orderkey, l_linenumber, l_partkey, abs(l_extendedprice) / nullif(l_tax, 0) AS adj_prc FROM lineitem")
 def _(t):
     return t.lineitem.withColumn("adj_prc", ratio(F.abs("l_extendedprice"), F.nullif(F.col("l_tax"), F.lit(0.0))))
@@ -517,16 +534,90 @@ def _(t):
     return t.bars.withColumn("kurt_63", X.kurtosis("close"))
 
 
-@query("t1_t2_t3_t6_t7_recursive", "permno date " + " ".join(f"~ti_{n}" for n in ("rsi_14", "atr_14", "atr_7", "macd_12_26", "adx_14", "psar_af")))
+_STEP = "CASE WHEN {1} IS NULL THEN s.{0} WHEN s.{0} IS NULL THEN {1} ELSE s.{0} + ({1} - s.{0}) / {2}.0 END"
+_UP, _DOWN = "CASE WHEN r.up > r.down AND r.up > 0 THEN r.up ELSE 0 END", "CASE WHEN r.down > r.up AND r.down > 0 THEN r.down ELSE 0 END"
+#: States carried from row to row: seeds of an entity's first row, then one step a round.
+_RECURSIVE = f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT permno, date, high AS h, low AS l, close AS c, row_number() {_W} AS n, close - lag(close) {_W} AS d, high - lag(high) {_W} AS up, lag(low) {_W} - low AS down, greatest(high - low, abs(high - lag(close) {_W}), abs(low - lag(close) {_W})) AS tr FROM bars),
+s AS (
+SELECT permno, date, n, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS DOUBLE) AS loss, tr AS atr14, tr AS atr7, c AS fast, c AS slow, CAST(0 AS DOUBLE) AS plus, CAST(0 AS DOUBLE) AS minus, CAST(NULL AS DOUBLE) AS adx, true AS rising, l AS sar, h AS extreme, CAST(0.02 AS DOUBLE) AS factor FROM r WHERE n = 1
+UNION ALL
+SELECT permno, date, n, gain, loss, atr14, atr7, fast, slow, plus, minus, CASE WHEN dx IS NULL THEN adx0 WHEN adx0 IS NULL THEN dx ELSE adx0 + (dx - adx0) / 14.0 END,
+  rising <> turned, CASE WHEN turned THEN extreme ELSE sar END, CASE WHEN turned THEN (CASE WHEN rising THEN l ELSE h END) WHEN further THEN (CASE WHEN rising THEN h ELSE l END) ELSE extreme END,
+  CASE WHEN turned THEN CAST(0.02 AS DOUBLE) WHEN further THEN least(factor + 0.02, 0.2) ELSE factor END
+FROM (SELECT *, 100 * abs(plus / nullif(atr14, 0) - minus / nullif(atr14, 0)) / nullif(plus / nullif(atr14, 0) + minus / nullif(atr14, 0), 0) AS dx, CASE WHEN rising THEN l < sar ELSE h > sar END AS turned, CASE WHEN rising THEN h > extreme ELSE l < extreme END AS further FROM (
+  SELECT r.permno, r.date, r.n, r.h, r.l, {_STEP.format('gain', 'greatest(r.d, 0)', 14)} AS gain, {_STEP.format('loss', 'greatest(-r.d, 0)', 14)} AS loss, {_STEP.format('atr14', 'r.tr', 14)} AS atr14, {_STEP.format('atr7', 'r.tr', 7)} AS atr7,
+    s.fast + 2.0 / 13 * (r.c - s.fast) AS fast, s.slow + 2.0 / 27 * (r.c - s.slow) AS slow, {_STEP.format('plus', _UP, 14)} AS plus, {_STEP.format('minus', _DOWN, 14)} AS minus, s.adx AS adx0, s.rising, s.sar + s.factor * (s.extreme - s.sar) AS sar, s.extreme, s.factor
+  FROM s JOIN r ON r.permno = s.permno AND r.n = s.n + 1)))
+SELECT permno, date, CASE WHEN n >= 14 THEN 100 * gain / nullif(gain + loss, 0) END AS ti_rsi_14, CASE WHEN n >= 14 THEN atr14 END AS ti_atr_14, CASE WHEN n >= 7 THEN atr7 END AS ti_atr_7, CASE WHEN n >= 26 THEN fast - slow END AS ti_macd_12_26, CASE WHEN n >= 14 THEN adx END AS ti_adx_14, factor AS ti_psar_af FROM s"""
+
+
+@query("t1_t2_t3_t6_t7_recursive", "permno date " + " ".join(f"~ti_{n}" for n in ("rsi_14", "atr_14", "atr_7", "macd_12_26", "adx_14", "psar_af")), _RECURSIVE)
 def _(t):
     return recursive_indicators(t.bars, "high", "low", "close")
 
 
-@query("t15_index_indicators", "series date ~ti_bbp_20 ~ti_stoch_14_3")
+#: Stand-ins for macro series: prices of an order priority each; the first without volume, the last with closes alone.
+_MACRO = {"^VIX": ("p1", 0.0), "^GSPC": ("p2", 1e6), "^IXIC": ("p3", None), "^RUT": ("p4", None), "XLK": ("p5", None)}
+
+
+def _comm(t):
+    made = {}
+    for s, (p, volume) in _MACRO.items():
+        made[f"comm_{s}_close"] = F.col(f"{p}_avg")
+        if volume is not None:
+            made |= {f"comm_{s}_open": (F.col(f"{p}_min") + F.col(f"{p}_max")) / 2, f"comm_{s}_high": F.col(f"{p}_max"), f"comm_{s}_low": F.col(f"{p}_min"), f"comm_{s}_volume": F.lit(volume)}
+    return t.macro.select("date", *[c.alias(n) for n, c in made.items()])
+
+
+def _plain(df):
+    """Names that SQL takes unquoted."""
+    return df.toDF(*[c.replace("^", "") for c in df.columns])
+
+
+_INDEX = {"bbp_20": "t4_bollinger", "stoch_14_3": "t11_stochastic", "aroon_25": "t14_aroon"}
+_INDEX_BARS = "WITH bars AS (" + " UNION ALL ".join(f"SELECT {i} AS permno, date, ({p}_min + {p}_max) / 2 AS open, {p}_max AS high, {p}_min AS low, {p}_avg AS close, CAST({v} AS DOUBLE) AS vol FROM macro WHERE {p}_avg IS NOT NULL" for i, (p, v) in enumerate((("p1", 0), ("p2", 1000000)))) + ")"
+_INDEX_OF = {f"comm_ti_{s}_{n}": (f"ti_{n}", _IND[q][1], i) for i, s in enumerate(("VIX", "GSPC")) for n, q in _INDEX.items()} | {f"comm_ti_GSPC_{n}": (f"ti_{n}", _IND[q][1], 1) for n, q in (("mfi_14", "t5_money_flow"), ("cmf_20", "t8_chaikin"))}
+
+
+@query("t15_index_indicators", "permno date " + " ".join(f"~{n}" for n in _INDEX_OF), f"{_INDEX_BARS} SELECT x.permno, x.date, " + ", ".join(f"i{k}.{c} AS {n}" for k, (n, (c, _, _)) in enumerate(_INDEX_OF.items())) + " FROM returns x " + " ".join(f"LEFT JOIN (SELECT date, {c} FROM ({body}) WHERE permno = {i}) i{k} ON i{k}.date = x.date" for k, (c, body, i) in enumerate(_INDEX_OF.values())))
+def _(t):
+    found = G.index_indicators(_comm(t), recursive=False)
+    assert not {"comm_ti_^VIX_cmf_20", "comm_ti_^VIX_eom_14"} & set(found.columns)  # without any value
+    return _plain(P.by_key(t.bars, found, {"date": "date"}))
+
+
+@query("t15_index_recursive", "date " + " ".join(f"~comm_ti_{s}_{n}" for s in ("VIX", "GSPC") for n in ("rsi_14", "atr_14", "macd_12_26", "adx_14", "psar_af")), f"{_INDEX_BARS} SELECT coalesce(v.date, g.date) AS date, " + ", ".join(f"{a}.ti_{n} AS comm_ti_{s}_{n}" for a, s in (("v", "VIX"), ("g", "GSPC")) for n in ("rsi_14", "atr_14", "macd_12_26", "adx_14", "psar_af")) + f" FROM (SELECT * FROM ({_RECURSIVE}) WHERE permno = 0) v FULL JOIN (SELECT * FROM ({_RECURSIVE}) WHERE permno = 1) g ON g.date = v.date")
+def _(t):
+    return _plain(G.index_indicators(_comm(t)))
+
+
+_RET = f"(close / lag(close) {_W} - 1)"
+_AUGMENTED = {
+    "adj_prc_logret": "y", "vol_logret": f"ln(vol / lag(vol) {_W})", "adj_mktcap_logret": f"ln(close / lag(close) {_W})", "comm_GSPC_close_logret": "g", "comm_XLK_close_logret": f"ln(xlk / lag(xlk) {_W})",
+    "ratio_VIX_GSPC": "vix / gspc", "ratio_XLK_GSPC": "xlk / gspc", "ratio_volatility_premium": "premium", "ratio_beta_proxy": "y / nullif(g + 1e-8, 0)",
+    "anualized_volatility_20d": "CASE WHEN count(y) OVER v >= 10 THEN stddev_samp(y) OVER v END * sqrt(252)",
+    **{f"adj_prc_logret_lag{k}": f"lag(y, {k}) {_W}" for k in range(1, 6)}, "comm_GSPC_close_logret_lag5": f"lag(g, 5) {_W}", "ratio_VIX_GSPC_lag1": f"lag(vix / gspc) {_W}", "ratio_volatility_premium_lag1": f"lag(premium) {_W}", "adj_prc_logret_lead1": f"lead(y) {_W}",
+}
+
+
+def _priced(t):
+    """Bars with what a price table has beside them."""
+    back = F.lag("close").over(P.history())
+    return t.bars.withColumns({"ret": ratio(F.col("close"), back) - 1, "adj_mktcap": 1000 * F.col("close")})
+
+
+@query("x5_augmented", "permno date ~ti_bbp_20 ~ti_aroon_25 " + " ".join(f"~{n}" for n in _AUGMENTED), "SELECT z.*, ti_bbp_20, ti_aroon_25 FROM (SELECT permno, date, " + ", ".join(f"{e} AS {n}" for n, e in _AUGMENTED.items()) + f" FROM (SELECT *, ln(1 + {_RET}) AS y, ln(gspc / lag(gspc) {_W}) AS g FROM (SELECT b.*, p1_avg AS vix, p2_avg AS gspc, p5_avg AS xlk, premium FROM bars b LEFT JOIN macro m ON m.date = b.date LEFT JOIN (SELECT date, p1_avg - CASE WHEN count(r) OVER w >= 30 THEN stddev_samp(r) OVER w END * sqrt(252) AS premium FROM (SELECT *, ln(p2_avg / lag(p2_avg) OVER (ORDER BY date)) AS r FROM macro) WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) q ON q.date = b.date)) WINDOW {frame(20)}) z JOIN ({_IND['t4_bollinger'][1]}) i ON i.permno = z.permno AND i.date = z.date JOIN ({_IND['t14_aroon'][1]}) j ON j.permno = z.permno AND j.date = z.date")
+def _(t):
+    return _plain(G.augmented(_priced(t), _comm(t), _COLS, recursive=False))
+
+
+@query("x5_model_matrix", "permno date ~adj_prc_logret ~ti_rsi_14 ~ti_kurt_63 ~comm_ti_GSPC_adx_14 ~ratio_beta_proxy ~adj_prc_logret_lead1")
 def _(t):
-    long = t.macro.select("date", F.expr("stack(5, " + ", ".join(f"'{s}', {s}_avg, {s}_max, {s}_min" for s in SERIES) + ") AS (series, close, high, low)")).dropna()
-    long = long.withColumns({"open": F.lag("close").over(Window.partitionBy("series").orderBy("date")), "vol": F.lit(1e6)})
-    return X.windowed_indicators(long, **_COLS, entity="series")
+    """The whole chain, recursive indicators too: macro gaps filled, selected, heads cut, on one calendar."""
+    macro, past = _comm(t), Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    macro = macro.select("date", *[F.last(c, True).over(past).alias(c) for c in macro.columns if c != "date"])
+    return _plain(G.model_matrix(_priced(t), macro, _COLS))
 
 
 # Splits and models
@@ -560,8 +651,9 @@ def _features(t):
 @query("m6_m7_m10_models_scored", "permno date ~prob_up ~prob_down ~logistic_score ~expected_return")
 def _(t):
     rows, names = _features(t)
-    inside = rows.filter("in_sample").cache()
+    inside = rows.filter("in_sample").persist()
     up, mean = M.fit_logistic(inside, names, "ret_lead1"), M.fit_linear(inside, names, "ret_lead1")
+    inside.unpersist()
     out = mean.scored(up.scored(rows.dropna(subset=names), "prob_up"), "expected_return")
     return out.withColumns({"prob_down": 1 - F.col("prob_up"), "logistic_score": 2 * F.col("prob_up") - 1})
 
@@ -631,14 +723,9 @@ for _a in NAMES:
         return B.grid_weights(t.signals, (a,))
 
 
-def _last_dates(t, n: int = 20):
-    days = t.signals.select("date").distinct().orderBy(F.col("date").desc()).limit(n)
-    return t.signals.join(F.broadcast(days), "date", "left_semi")
-
-
-@query("k8_covariances", "date #a #b ~cov", "SELECT l.date AS date, l.permno AS a, r.permno AS b, coalesce(covar_samp(l.r, r.r), 0) + CASE WHEN l.permno = r.permno THEN 1e-4 ELSE 0 END AS cov FROM (SELECT n.date, n.permno, x.t, x.r FROM (SELECT date, permno, c.t AS at FROM signals JOIN calendar c USING (date) WHERE agreed_any) n JOIN (SELECT permno, c.t AS t, coalesce(ret, 0) AS r FROM returns JOIN calendar c USING (date)) x ON x.permno = n.permno AND x.t < n.at AND x.t >= n.at - 60) l JOIN (SELECT n.date, n.permno, x.t, x.r FROM (SELECT date, permno, c.t AS at FROM signals JOIN calendar c USING (date) WHERE agreed_any) n JOIN (SELECT permno, c.t AS t, coalesce(ret, 0) AS r FROM returns JOIN calendar c USING (date)) x ON x.permno = n.permno AND x.t < n.at AND x.t >= n.at - 60) r ON l.date = r.date AND l.t = r.t GROUP BY 1, 2, 3")
+@query("k8_covariances", "date #a #b ~cov", "SELECT l.date AS date, l.permno AS a, r.permno AS b, coalesce(covar_samp(l.r, r.r), 0) + CASE WHEN l.permno = r.permno THEN 1e-4 ELSE 0 END AS cov FROM (SELECT n.date, n.permno, x.t, x.r FROM (SELECT date, permno, c.t AS at FROM signals JOIN calendar c USING (date) WHERE agreed_any) n JOIN (SELECT permno, c.t AS t, coalesce(ret, 0) AS r FROM returns JOIN calendar c USING (date)) x ON x.permno = n.permno AND x.t < n.at AND x.t >= n.at - 252) l JOIN (SELECT n.date, n.permno, x.t, x.r FROM (SELECT date, permno, c.t AS at FROM signals JOIN calendar c USING (date) WHERE agreed_any) n JOIN (SELECT permno, c.t AS t, coalesce(ret, 0) AS r FROM returns JOIN calendar c USING (date)) x ON x.permno = n.permno AND x.t < n.at AND x.t >= n.at - 252) r ON l.date = r.date AND l.t = r.t GROUP BY 1, 2, 3")
 def _(t):
-    return A.covariances(t.returns, t.signals.filter("agreed_any").select("date", "permno"), 60)
+    return A.covariances(t.returns, t.signals.filter("agreed_any").select("date", "permno"))
 
 
 @query("k9_a6_max_sharpe", "permno date ~A6")
@@ -654,9 +741,13 @@ _SHOWN = "scoring allocation #n_periods " + " ".join(f"~{m}" for m in _METRICS[1
 
 
 def _sides(t):
-    """(in sample, out of sample) weights of the grid."""
-    rows = M.split(B.grid_weights(t.signals))
-    return rows.filter("in_sample"), rows.filter("NOT in_sample")
+    """Daily returns of the grid, each in sample or out of it: one scan for both."""
+    return B.sides(B.portfolio_returns(B.grid_weights(t.signals)))
+
+
+def _both(t):
+    """Metrics of the grid by pair and side."""
+    return B.metrics(_sides(t), (*B.COMBO, "in_sample"))
 
 
 @query("r1_r3_grid", _SHOWN, "SELECT * FROM metrics")
@@ -679,19 +770,17 @@ for _how, _k in (("best", 1), ("top", 5), ("all", 15)):
 
     @query(f"r5_choose_{_how}", "scoring allocation", f"SELECT scoring, allocation FROM metrics_is {_ORDER} LIMIT {_k}")
     def _(t, how=_how):
-        return B.chosen(B.metrics(B.portfolio_returns(_sides(t)[0])), how)
+        return B.chosen(B.metrics(_sides(t).filter("in_sample")), how)
 
 
 @query("r6_out_of_sample", _SHOWN, f"SELECT * FROM metrics_oos WHERE (scoring, allocation) IN (SELECT (scoring, allocation) FROM metrics_is {_ORDER} LIMIT 5)")
 def _(t):
-    inside, outside = _sides(t)
-    return B.metrics(B.portfolio_returns(outside)).join(B.chosen(B.metrics(B.portfolio_returns(inside)), "top"), ["scoring", "allocation"], "left_semi")
+    return B.out_of_sample(_both(t), "top")
 
 
 @query("r7_r8_degradation", "scoring allocation ~sharpe_degradation ~ann_return_degradation ~ann_vol_degradation assessment", "SELECT *, CASE WHEN sharpe_degradation < 15 THEN 'excellent' WHEN sharpe_degradation < 30 THEN 'good' WHEN sharpe_degradation < 50 THEN 'moderate' ELSE 'severe' END AS assessment FROM (SELECT i.scoring, i.allocation, " + ", ".join(f"100 * (i.{c} - o.{c}) / nullif(abs(i.{c}), 0) AS {c}_degradation" for c in ("sharpe", "ann_return", "ann_vol")) + " FROM metrics_is i JOIN metrics_oos o ON o.scoring = i.scoring AND o.allocation = i.allocation)")
 def _(t):
-    inside, outside = (B.metrics(B.portfolio_returns(w)) for w in _sides(t))
-    return B.degradation(inside, outside)
+    return B.degradation(_both(t))
 
 
 _REPORT = "SELECT scoring, allocation, date, strategy, coalesce(last_value(f1 IGNORE NULLS) OVER p, first_value(f1 IGNORE NULLS) OVER a) * 0.001 AS rf, coalesce(last_value(f2 IGNORE NULLS) OVER p, first_value(f2 IGNORE NULLS) OVER a) * 0.01 + coalesce(last_value(f1 IGNORE NULLS) OVER p, first_value(f1 IGNORE NULLS) OVER a) * 0.001 AS benchmark FROM (SELECT c.scoring, c.allocation, c.date, equity_simple / lag(equity_simple) OVER s - 1 AS strategy, row_number() OVER s AS rn FROM curve c WINDOW s AS (PARTITION BY scoring, allocation ORDER BY c.date)) LEFT JOIN factors USING (date) WHERE rn > 1 WINDOW p AS (PARTITION BY scoring, allocation ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY scoring, allocation ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -700,13 +789,13 @@ for _freq, _body in (("daily", _REPORT), ("monthly", _MONTHLY)):
 
     @query(f"r9_r10_report_{_freq}", "scoring allocation date freq ~strategy ~rf ~benchmark ~excess", f"SELECT *, strategy - rf AS excess, '{_freq}' AS freq FROM ({_body})")
     def _(t, freq=_freq):
-        return B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")), freq)
+        return B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")), freq, days=t.bars)
 
 
 @query("src11_src12_report_sink", "scoring allocation date freq ~strategy ~excess", f"SELECT *, strategy - rf AS excess, 'daily' AS freq FROM ({_REPORT})")
 def _(t):
     """Written by scoring, allocation and frequency, and read back."""
-    rows = B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")))
+    rows = B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")), days=t.bars)
     T.write_report(rows, path := T.scratch(t.spark))
     return t.spark.read.parquet(path)
 
@@ -728,6 +817,16 @@ def _(t):
     return B.scenarios(_trades(t))
 
 
+_LINEAR = "0.4 * ret_lag1 + 0.2 * ret_lag2"
+
+
+@query("r11_next_day", "permno ~prob_up ~expected_return ~weight ~conviction action", f"SELECT permno, prob_up, expected_return, w AS weight, abs((prob_up - 0.5) * expected_return) AS conviction, CASE WHEN w > 0 THEN 'BUY' ELSE 'SELL-SHORT' END AS action FROM (SELECT *, CASE WHEN c > 0 THEN c / sum(CASE WHEN c > 0 THEN c END) OVER () * 0.5 WHEN c < 0 THEN c / sum(CASE WHEN c < 0 THEN -c END) OVER () * 0.5 ELSE 0 END AS w FROM (SELECT *, greatest(least(CASE WHEN up THEN x / sum(CASE WHEN up THEN x END) OVER () * 0.5 WHEN down THEN -x / sum(CASE WHEN down THEN x END) OVER () * 0.5 ELSE 0 END, 0.05), -0.05) AS c FROM (SELECT *, prob_up > 0.55 AND expected_return > 0.001 AS up, prob_up < 0.45 AND expected_return < -0.001 AS down, 1 / (volatility + 1e-8) AS x FROM (SELECT permno, date, 1 / (1 + exp(-({_LINEAR}))) AS prob_up, 0.01 * ({_LINEAR}) AS expected_return, CASE WHEN count(ret) OVER v >= 20 THEN stddev_samp(ret) OVER v END AS volatility FROM (SELECT *, lag(ret, 1) {_W} AS ret_lag1, lag(ret, 2) {_W} AS ret_lag2 FROM returns) WINDOW {frame(20)}) WHERE date = (SELECT max(date) FROM bars)))) WHERE w <> 0")
+def _(t):
+    names, one = ["ret_lag1", "ret_lag2"], {"ret_lag1": (0.0, 1.0), "ret_lag2": (0.0, 1.0)}
+    up, mean = M.Fitted(names, one, [0.4, 0.2], 0.0, True), M.Fitted(names, one, [0.004, 0.002], 0.0, False)
+    return B.next_day(X.lagged(t.returns, {"ret": [1, 2]}), up, mean, "S2", "A7", "ret")
+
+
 # Data quality
 
 
@@ -741,9 +840,23 @@ def _(t):
     return S.interval_findings(t.intervals, "custkey", "namedt", "nameenddt", "orderkey")
 
 
-@query("v3_factor_findings", "rule severity #n", "SELECT unnest(['missing_f1', 'missing_f2', 'large_f1', 'large_f2', 'large_rf', 'repeated_key']) AS rule, unnest(['warn', 'warn', 'warn', 'warn', 'warn', 'error']) AS severity, unnest([count(*) FILTER (WHERE f1 IS NULL), count(*) FILTER (WHERE f2 IS NULL), count(*) FILTER (WHERE abs(f1) > 0.5), count(*) FILTER (WHERE abs(f2) > 0.5), count(*) FILTER (WHERE abs(f3) > 0.05), (SELECT count(*) FROM (SELECT date FROM factors GROUP BY 1 HAVING count(*) > 1))]) AS n FROM factors")
+@query("v3_factor_findings", "rule severity #n", "SELECT unnest(['missing_f1', 'missing_f2', 'infinite_f1', 'infinite_f2', 'infinite_f3', 'large_f1', 'large_f2', 'large_rf', 'repeated_key']) AS rule, unnest(['warn', 'warn', 'warn', 'warn', 'warn', 'warn', 'warn', 'warn', 'error']) AS severity, unnest([count(*) FILTER (WHERE f1 IS NULL), count(*) FILTER (WHERE f2 IS NULL), count(*) FILTER (WHERE isinf(f1)), count(*) FILTER (WHERE isinf(f2)), count(*) FILTER (WHERE isinf(f3)), count(*) FILTER (WHERE abs(f1) > 0.5), count(*) FILTER (WHERE abs(f2) > 0.5), count(*) FILTER (WHERE abs(f3) > 0.05), (SELECT count(*) FROM (SELECT date FROM factors GROUP BY 1 HAVING count(*) > 1))]) AS n FROM factors")
+def _(t):
+    return S.factor_findings(t.factors, ["f1", "f2"], "f3")
+
+
+_MULTI = "SELECT 'multi_row_key' AS rule, 'info' AS severity, count(*) AS n FROM (SELECT key, date FROM snapshots {0} GROUP BY 1, 2 HAVING count(*) > 1)"
+
+
+@query("v4_consensus_findings", "rule severity #n", _MULTI.format(""))
+def _(t):
+    return S.consensus_findings(t.snapshots.select(F.col("key").alias("official_ticker"), F.col("date").alias("stat_date"), "periodicity", "fpi", F.col("id").alias("n_analysts"), F.col("n").alias("cons_mean")))
+
+
+@query("v5_actuals_findings", "rule severity #n", _MULTI.format("WHERE id % 3 = 0"))
 def _(t):
-    return S.factor_findings(P.require(t.factors, ["f1", "f2", "f3"]), ["f1", "f2"], "f3")
+    rows = t.snapshots.filter("id % 3 = 0").select(F.col("key").alias("oftic"), F.col("date").alias("anndats"), F.col("periodicity").alias("pdicity"), F.lit("EPS").alias("act_measure"), F.col("n").alias("act_value"), F.lit(1).alias("usfirm"))
+    return S.actuals_findings(rows)
 
 
 @query("v6_post_join_findings", "#repeated ~id ~n", f"SELECT count(*) - count(DISTINCT (permno, b.date)) AS repeated, avg(CAST(id IS NULL AS INT)) AS id, avg(CAST(n IS NULL AS INT)) AS n FROM bars b LEFT JOIN ({_D1}) s ON s.key = b.permno AND s.date = b.date")

@@ -63,8 +63,13 @@ def extract_all(spark: SparkSession, url: str, queries: Mapping[str, str], folde
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in storage that all executors share: below spark.checkpoint.dir, or a temporary folder where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+    """A new folder name in storage that all executors share, below spark.checkpoint.dir. Where that is unset: a temporary folder of one machine, if Spark runs on one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
 def half_open(df: DataFrame, start: str | None, end: str | None, column: str = "date") -> DataFrame:
@@ -94,3 +99,9 @@ def widened(long: DataFrame, series: Sequence[str], values: Mapping[str, Column]
 def write_report(df: DataFrame, path: str) -> None:
     """Report rows by scoring, allocation and frequency."""
     df.write.mode("overwrite").partitionBy("scoring", "allocation", "freq").parquet(path)
+
+
+def write_macro(df: DataFrame, folder: str, name: str = "common_features") -> str:
+    """The table of macro series, a row a date, as a named artifact of a snapshot folder; its path."""
+    df.write.mode("overwrite").parquet(path := f"{folder}/{name}.parquet")
+    return path

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import log1p, log_ratio, ratio
 from quantloom.operators import allocate as A
+from quantloom.operators import augment as G
 from quantloom.operators import backtest as B
 from quantloom.operators import models as M
 from quantloom.operators import panel as P
@@ -196,6 +197,144 @@ def test_max_sharpe_looks_back_a_year(spark, monkeypatch):
     assert seen == [252]
 
 
+def test_covariances_of_names_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    rows = [(p, D[i], None if rng.random() < 0.1 else float(rng.normal(0, 0.01))) for p in range(5) for i in range(30) if rng.random() < 0.8]
+    returns = spark.createDataFrame(rows, "permno long, date date, ret double")
+    names = spark.createDataFrame([(D[i], p) for i in (0, 3, 20, 29) for p in range(5)], "date date, permno long")
+    got = {(r.date, r.a, r.b): r["cov"] for r in A.covariances(returns, names, 15).collect()}
+    by = {(p, d): x or 0.0 for p, d, x in rows}
+    days = sorted({d for _, d, _ in rows})
+    for day in (D[3], D[20], D[29]):
+        if day not in days:
+            continue
+        past = days[max(0, days.index(day) - 15) : days.index(day)]
+        for a in range(5):
+            for b in range(5):
+                both = [(by[a, d], by[b, d]) for d in past if (a, d) in by and (b, d) in by]
+                if both:
+                    want = (np.cov(*zip(*both))[0, 1] if len(both) > 1 else 0.0) + (1e-4 if a == b else 0.0)
+                    assert abs(got[day, a, b] - want) < 1e-12
+    assert not [k for k in got if k[0] == days[0]]
+
+
+def test_max_sharpe_weights(spark):
+    rng = np.random.default_rng(4)
+    half = rng.normal(size=(6, 6))
+    s = half @ half.T / 1e4 + 1e-4 * np.eye(6)
+    rows = [(D[0], i, float(rng.normal(0, 0.01)), i % 2 == 0, i % 2 == 1) for i in range(6)] + [(D[1], 1, 0.01, True, False), (D[2], 1, 0.01, True, False), (D[2], 2, -0.01, False, True), (D[3], 9, 0.01, False, False)]
+    df = spark.createDataFrame(rows, "date date, permno long, expected_return double, agreed_long boolean, agreed_short boolean")
+    cov = spark.createDataFrame([(D[0], a, b, float(s[a, b])) for a in range(6) for b in range(6)] + [(D[2], a, b, 1.0) for a in (1, 2) for b in (1, 2)], "date date, a long, b long, cov double")
+    got = {(r.date, r.permno): r.A6 for r in A.max_sharpe(df, cov, most=10.0).collect()}
+    mu = np.array([r[2] for r in rows[:6]])
+    w = np.array([got[D[0], i] for i in range(6)])
+    assert abs(w.sum()) < 1e-9 and abs(w[w > 0].sum() - 0.5) < 1e-9
+    # First-order condition: the gradient of mean over variance is the same for all names but for a shift.
+    k = (w @ mu) / (w @ s @ w)
+    gradient = mu - k * (s @ w)
+    assert np.ptp(gradient) < 1e-6 * np.abs(mu).max()
+    assert got[D[1], 1] == 0.5 and (got[D[2], 1], got[D[2], 2]) == (0.5, -0.5)  # one name; a singular matrix
+    assert (D[3], 9) not in got
+    capped = {r.permno: r.A6 for r in A.max_sharpe(df, cov, most=0.2).filter(F.col("date") == D[0]).collect()}
+    cut = np.clip(w, -0.2, 0.2)
+    assert np.allclose([capped[i] for i in range(6)], np.where(cut > 0, cut / cut[cut > 0].sum(), -cut / cut[cut < 0].sum()) * 0.5)
+
+
+def test_logistic_against_proximal_gradient(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4)) * [1, 2, 3, 1]
+    up = rng.random(200) < 1 / (1 + np.exp(-(x[:, 0] - 0.3 * x[:, 1])))
+    df = spark.createDataFrame([(*map(float, r), 1.0 if u else -1.0) for r, u in zip(x, up)], "a double, b double, c double, d double, y double")
+    model = M.fit_logistic(df, ["a", "b", "c", "d"], "y", C=0.1, l1_ratio=0.9)
+    z = (x - x.mean(0)) / x.std(0)
+    penalty, b, b0 = 1 / (0.1 * 200), np.zeros(4), 0.0
+    for _ in range(20000):  # mean log loss + penalty (0.9 |b| + 0.05 b^2), by steps of 1 over its curvature
+        g = 1 / (1 + np.exp(-(z @ b + b0))) - up
+        b0 -= 0.5 * g.mean()
+        v = b - 0.5 * (z.T @ g / 200 + 0.1 * penalty * b)
+        b = np.sign(v) * np.maximum(np.abs(v) - 0.5 * 0.9 * penalty, 0)
+    assert np.allclose(model.coefficients, b, atol=1e-4) and abs(model.intercept - b0) < 1e-4
+    scored = np.array([r.p for r in model.scored(df, "p").collect()])
+    assert np.allclose(scored, 1 / (1 + np.exp(-(z @ np.array(model.coefficients) + model.intercept))))
+    found = M.top_predictors(M.Fitted(["a", "b", "c"], {}, [0.1, 0.0, -0.4], 0.0, False), spark).collect()
+    assert [(r.feature, r.coefficient) for r in found] == [("c", -0.4), ("a", 0.1)]
+
+
+def test_grid_search_over_folds(spark):
+    rng = np.random.default_rng(7)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(40)]
+    rows = [(d, p, float(a), float(b), float(0.02 * a + 0.01 * rng.normal())) for d in days for p in range(6) for a, b in [rng.normal(size=2)]]
+    df = spark.createDataFrame(rows, "date date, permno long, a double, b double, y double")
+    folds = M.fold_dates(df, M.fold_geometry(40, 2))
+    grid = {"alpha": (1e-4, 1e-1), "l1_ratio": (0.5, 0.6)}
+    found = M.grid_search(df, folds, ["a", "b"], "y", grid, False)
+    assert [(x["alpha"], x["l1_ratio"], x["combo_order"]) for x in found] == [(1e-4, 0.5, 0), (1e-4, 0.6, 1), (1e-1, 0.5, 2), (1e-1, 0.6, 3)]
+    role = {}
+    for r in folds.collect():
+        role.setdefault(r.fold, {}).setdefault(r.role, set()).add(r.date)
+    for x in found[::2]:
+        errors = []
+        for k in role.values():
+            fit, val = ([r for r in rows if r[0] in k[name]] for name in ("train", "val"))
+            model = M.fit_linear(spark.createDataFrame(fit, df.schema), ["a", "b"], "y", alpha=x["alpha"], l1_ratio=x["l1_ratio"])
+            p = [model.intercept + sum(c * (v - model.scale[n][0]) / model.scale[n][1] for c, n, v in zip(model.coefficients, "ab", r[2:4])) for r in val]
+            errors.append(np.sqrt(np.mean((np.array(p) - [r[4] for r in val]) ** 2)))
+        assert abs(x["error"] - np.mean(errors)) < 1e-9
+    assert M.best_setting(found)["alpha"] == 1e-4
+    best = {r.l1_ratio: r.best for r in S.best_per(spark.createDataFrame([(x["l1_ratio"], x["error"]) for x in found], "l1_ratio double, error double"), "l1_ratio", "error").collect()}
+    assert best == {k: min(x["error"] for x in found if x["l1_ratio"] == k) for k in (0.5, 0.6)}
+
+
+def test_next_day(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(25)]
+    rows = [(p, d, float(0.001 * ((i * 7 + p * 3) % 5)), float(x)) for p, x in ((1, 2.0), (2, -2.0), (3, 0.0)) for i, d in enumerate(days)]
+    matrix = spark.createDataFrame(rows, "permno long, date date, adj_prc_logret double, x double")
+    up, mean = M.Fitted(["x"], {"x": (0.0, 1.0)}, [1.0], 0.0, True), M.Fitted(["x"], {"x": (0.0, 1.0)}, [0.01], 0.0, False)
+    for allocation in ("A1", "A5", "A7"):
+        got = {r.permno: r for r in B.next_day(matrix, up, mean, "S1", allocation).collect()}
+        assert {p: r.action for p, r in got.items()} == {1: "BUY", 2: "SELL-SHORT"}
+        assert abs(got[1].weight - 0.5) < 1e-9 and abs(got[2].weight + 0.5) < 1e-9
+        assert abs(got[1].conviction - 0.02 / (1 + np.exp(-2.0))) < 1e-12
+    assert B.next_day(matrix.withColumn("x", F.lit(0.0)), up, mean, "S1", "A1").count() == 0
+    assert B.scenarios(B.next_day(matrix.limit(0), up, mean, "S1", "A1")).first().expected == 0
+
+
+def test_augmented_without_macro_series(spark):
+    rows = [(p, dt.date(2020, 1, 1) + dt.timedelta(i), 1.0 + i % 3, 3.0 + i % 2, 0.5, 2.0 + i % 5, 10.0, 0.01) for p in (1, 2) for i in range(70)]
+    df = spark.createDataFrame(rows, "permno long, date date, openprc double, askhi double, bidlo double, adj_prc double, vol double, ret double")
+    macro = df.select("date", F.lit(1.0).alias("comm_XLK_close")).distinct()
+    out = G.augmented(df, macro)
+    assert out.count() == len(rows) and not [c for c in out.columns if c.startswith(("ratio_", "comm_ti_"))]
+    assert {"ti_rsi_14", "ti_skew_63", "vol_logret", "comm_XLK_close_logret", "adj_prc_logret_lag5", "adj_prc_logret_lead1"} <= set(out.columns)
+    assert G.augmented(df.limit(0), macro).count() == 0
+    matrix = G.model_matrix(df, macro)
+    assert S.coverage(matrix).first().equal and {"adj_prc", "ret"}.isdisjoint(matrix.columns)
+
+
+def test_required_columns_of_checks(spark):
+    df = spark.createDataFrame([(D[0], float("inf"), 0.1), (D[0], None, 0.0)], "date date, mktrf double, rf double")
+    assert {r.rule: r.n for r in S.factor_findings(df, ["mktrf"], "rf").collect()} == {"missing_mktrf": 1, "infinite_mktrf": 1, "infinite_rf": 0, "large_mktrf": 1, "large_rf": 1, "repeated_key": 1}
+    for check in (S.consensus_findings, S.actuals_findings, lambda x: S.factor_findings(x, ["smb"])):
+        with pytest.raises(ValueError):
+            check(df)
+    both = df.withColumns({"cusip": F.lit("a"), "ncusip": F.lit("b")})
+    assert P.prefer_latest(both).columns == ["date", "mktrf", "rf", "ncusip"]
+
+
+def test_out_of_sample_of_the_chosen(spark):
+    rng = np.random.default_rng(9)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(100)]
+    rows = [(s, a, d, float(rng.normal(0.001 * k, 0.01))) for k, (s, a) in enumerate((s, a) for s in ("S1", "S2") for a in ("A1", "A2")) for d in days]
+    returns = spark.createDataFrame(rows, "scoring string, allocation string, date date, port_ret double")
+    both = B.metrics(B.sides(returns), (*B.COMBO, "in_sample"))
+    inside, outside = (B.metrics(returns.filter(c)) for c in (F.col("date") < days[65], F.col("date") >= days[65]))
+    for how, k in (("best", 1), ("top", 3), ("all", 4)):
+        want = outside.join(B.chosen(inside, how, 3), list(B.COMBO), "left_semi")
+        got = B.out_of_sample(both, how, 3)
+        assert got.count() == k and sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert B.degradation(both).count() == 4
+
+
 def test_partition_count_changes_nothing(spark):
     import __spark_entry__ as entry
 
