@@ -3,15 +3,16 @@
 Words: A-Z in lower case, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. A window is `size` consecutive words of an item; an
 item of fewer words, but not none, is one window of its own length. A document word inside any occurrence is hit.
 
-The benchmark is tokenised and hashed in a job of its own. It is broadcast only up to `max_windows` of them (a documented
-bound: 2 million windows of 10 words are some 200 MB on an executor); a larger benchmark goes through the same scan in
-slices, one pass over the documents for each, whose hits are joined by document. Every document is scanned whole: a polynomial
+The benchmark's windows are broadcast only up to `max_windows` of them (a documented bound, see WindowSet); a larger benchmark
+goes through the same scan in slices, one pass over the documents for each, whose hits are joined by document. A slice's texts
+reach the driver, which hashes them: one slice at a time. Every document is scanned whole: a polynomial
 hash of each token window is looked up in a bit table first, survivors in the sorted hashes, and then verified word by word.
 """
 
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,31 +34,44 @@ def words(text: str) -> list[bytes]:
 
 
 class WindowSet:
-    """Windows by length: for each length the sorted hashes, a bit table of them, and the words and items of each window."""
+    """Windows by length: for each length the sorted hashes, where each window's words are among all items' and whose it is, and a bit table.
 
-    def __init__(self, items: list[tuple[str | None, str]], size: int = SIZE):
+    A window takes some 20 bytes, and a word of the items 4: 2 million windows are held in 60 MB and made in some 300.
+    """
+
+    def __init__(self, items: Iterable[tuple[str | None, str]], size: int = SIZE):
         self.ids: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = {}
+        flat, bounds, self.names = array("I"), array("q", [0]), []
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text or "")]
-            n = min(size, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).add(item)
+            flat.extend([self.ids.setdefault(x, len(self.ids) + 1) for x in words(text or "")])
+            bounds.append(len(flat))
+            self.names.append(item)
+        self.flat, bounds = np.frombuffer(flat, "u4").copy() if flat else np.empty(0, "u4"), np.array(bounds, "i8")
+        sizes = np.diff(bounds)
         self.by: dict[int, tuple] = {}
-        for n, windows in found.items():
-            rows = np.array(list(windows), "u8")
-            h = self._hash(rows)
-            order = np.argsort(h, kind="stable")
+        for n in np.unique(np.minimum(sizes[sizes > 0], size)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, size) == n)
+            counts = sizes[own] - n + 1
+            owner = np.repeat(own, counts).astype("i4")
+            start = np.repeat(bounds[own] - np.cumsum(counts) + counts, counts) + np.arange(len(owner))
+            h = self._hash(self.flat, start, n)
+            order = np.lexsort((owner, h))
+            h, owner, start = h[order], owner[order], start[order]
+            again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1  # an item's window, once more
+            equal = np.ones(len(again), bool)
+            for i in range(n):
+                equal &= self.flat[start[again] + i] == self.flat[start[again - 1] + i]
+            keep = np.ones(len(h), bool)
+            keep[again[equal]] = False
             bits = np.zeros(1 << _BITS, bool)
             bits[h >> np.uint64(64 - _BITS)] = True
-            items_of = list(windows.values())
-            self.by[n] = (h[order], rows[order], [items_of[i] for i in order], bits)
+            self.by[n] = (h[keep], start[keep], owner[keep], bits)
 
     @staticmethod
-    def _hash(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows), "u8")
-        for i in range(rows.shape[1]):
-            out = (out ^ rows[:, i]) * _MULT
+    def _hash(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(starts), "u8")
+        for i in range(n):
+            out = (out ^ ids[starts + i]) * _MULT
             out ^= out >> np.uint64(29)
         return out * _MULT
 
@@ -65,22 +79,16 @@ class WindowSet:
         """Word count, which words are hit, and the items with occurring windows."""
         w = words(text)
         get = self.ids.get
-        ids = np.fromiter((get(x, 0) for x in w), "u8", len(w))
+        ids = np.fromiter((get(x, 0) for x in w), "u4", len(w))
         hit, items = np.zeros(len(w) + 1, "i4"), set()
-        known = ids != 0
-        for n, (hashes, rows, owners, bits) in self.by.items():
+        total = np.concatenate(([0], np.cumsum(ids != 0)))
+        for n, (hashes, places, owners, bits) in self.by.items():
             if len(w) < n:
                 continue
-            # starts of runs of n known words
-            total = np.concatenate(([0], np.cumsum(known)))
-            starts = np.flatnonzero(total[n:] - total[:-n] == n)
+            starts = np.flatnonzero(total[n:] - total[:-n] == n)  # of runs of n known words
             if not len(starts):
                 continue
-            out = np.zeros(len(starts), "u8")
-            for i in range(n):
-                out = (out ^ ids[starts + i]) * _MULT
-                out ^= out >> np.uint64(29)
-            out *= _MULT
+            out = self._hash(ids, starts, n)
             keep = np.flatnonzero(bits[out >> np.uint64(64 - _BITS)])
             if not len(keep):
                 continue
@@ -88,10 +96,10 @@ class WindowSet:
             lo, hi = np.searchsorted(hashes, out, "left"), np.searchsorted(hashes, out, "right")
             for s, a, b in zip(starts.tolist(), lo.tolist(), hi.tolist()):
                 for k in range(a, b):
-                    if (rows[k] == ids[s : s + n]).all():  # verified: not the hash alone
+                    if (self.flat[places[k] : places[k] + n] == ids[s : s + n]).all():  # verified: not the hash alone
                         hit[s] += 1
                         hit[s + n] -= 1
-                        items |= owners[k]
+                        items.add(self.names[owners[k]])
         return len(w), np.cumsum(hit[:-1]) > 0, items
 
 
@@ -168,7 +176,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     """The documents with hit spans cut out of their texts; one of whose words drop_share or more are hit goes.
 
     A span runs from its first word's first character to its last word's end. Other columns stay as they are; null texts stay null.
-    The hits of all slices of a larger benchmark are found on the texts as they came, and cut at once.
+    The hits of all slices of a larger benchmark are found on the texts as they came, and cut at once. Repeated rows meet the same
+    fate, each by itself. An empty table gives no rows, an empty benchmark cuts nothing.
     """
     parts = _slices(benchmark, max_windows)
     n, part = next(parts)
@@ -221,7 +230,11 @@ def cut(text: str, hit: np.ndarray) -> str:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents against benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """documents against benchmark: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Every row keeps its row, repeated ones and null doc_ids too; null and empty texts have no words. Texts of any length are
+    scanned whole. An empty table gives no rows, an empty benchmark no hits. Other columns are not read.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])

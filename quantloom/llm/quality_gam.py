@@ -205,7 +205,13 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of documents: doc_id, held_out, score, predicted. A null doc_id is not held out and never learned from."""
+    """Scores of documents: doc_id, held_out, score, predicted.
+
+    Every row keeps its row, repeated ones too. A null doc_id is not held out and never learned from; rows of one doc_id are
+    learned from as the least of them. Null and empty texts have all features zero and a score like others. Texts of any length
+    are scored whole. An empty table gives no rows; without labels, or with one label alone, scores are the prior (0.5 for none).
+    Other columns are not read.
+    """
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(_remainder("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
