@@ -9,10 +9,6 @@ import pytest
 from quantloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Run by hand: 24 settings over ten folds are hundreds of fits (test_panel runs a small grid).
-SLOW = {"m8_m9_grid_search"}
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -27,7 +23,7 @@ def same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)

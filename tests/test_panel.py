@@ -280,6 +280,14 @@ def test_grid_search_over_folds(spark):
             p = [model.intercept + sum(c * (v - model.scale[n][0]) / model.scale[n][1] for c, n, v in zip(model.coefficients, "ab", r[2:4])) for r in val]
             errors.append(np.sqrt(np.mean((np.array(p) - [r[4] for r in val]) ** 2)))
         assert abs(x["error"] - np.mean(errors)) < 1e-9
+    called = M.grid_search(df, folds, ["a", "b"], "y", {"C": (0.01, 1.0), "l1_ratio": (0.8,)}, True)
+    for x in called:
+        errors = []
+        for k in role.values():
+            fit, val = ([r for r in rows if r[0] in k[name]] for name in ("train", "val"))
+            scored = M.fit_logistic(spark.createDataFrame(fit, df.schema), ["a", "b"], "y", C=x["C"], l1_ratio=0.8).scored(spark.createDataFrame(val, df.schema), "p")
+            errors.append(np.mean([(r.p > 0.5) != (r.y > 0) for r in scored.collect()]))
+        assert abs(x["error"] - np.mean(errors)) < 1e-9
     assert M.best_setting(found)["alpha"] == 1e-4
     best = {r.l1_ratio: r.best for r in S.best_per(spark.createDataFrame([(x["l1_ratio"], x["error"]) for x in found], "l1_ratio double, error double"), "l1_ratio", "error").collect()}
     assert best == {k: min(x["error"] for x in found if x["l1_ratio"] == k) for k in (0.5, 0.6)}
