@@ -97,12 +97,11 @@ def allocate(df: DataFrame, names: Sequence[str] = DEFAULT, by: Sequence[str] =
 
     if unknown := [n for n in names if n not in STRATEGIES]:
         raise ValueError(f"unknown strategies {unknown}; there are {sorted(STRATEGIES)}")
-    for n in names:
-        takes = inspect.signature(STRATEGIES[n]).parameters
-        df = df.withColumn(n, STRATEGIES[n](by=by, **{k: v for k, v in (params | {"most": most}).items() if k in takes}))
-    for n in names:
-        df = capped(df, n, most, by)
-    return df
+    takes = {n: inspect.signature(STRATEGIES[n]).parameters for n in names}
+    # All strategies' windows at a time: each step is one pass over a cross-section.
+    df = df.withColumns({n: STRATEGIES[n](by=by, **{k: v for k, v in (params | {"most": most}).items() if k in takes[n]}) for n in names})
+    df = df.withColumns({n: clip(F.col(n), -most, most) for n in names})
+    return df.withColumns({n: normalised(F.col(n), by) for n in names})
 
 
 def long_weights(df: DataFrame, names: Sequence[str] = DEFAULT) -> DataFrame:
