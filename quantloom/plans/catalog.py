@@ -511,17 +511,17 @@ _IND = {
     "t4_bollinger": ("bbp_20", f"SELECT permno, date, CASE WHEN n >= 20 THEN (close - (avg(close) OVER v - 2 * stddev_pop(close) OVER v)) / nullif(4 * stddev_pop(close) OVER v, 0) END AS ti_bbp_20 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(20)}"),
     "t5_money_flow": ("mfi_14", f"SELECT permno, date, CASE WHEN n >= 15 THEN 100 * sum(CASE WHEN d > 0 THEN tp * vol WHEN d IS NOT NULL THEN 0 END) OVER v / nullif(sum(CASE WHEN d > 0 THEN tp * vol WHEN d IS NOT NULL THEN 0 END) OVER v + sum(CASE WHEN d < 0 THEN tp * vol WHEN d IS NOT NULL THEN 0 END) OVER v, 0) END AS ti_mfi_14 FROM (SELECT *, tp - lag(tp) {_W} AS d FROM (SELECT *, (high + low + close) / 3 AS tp, {_N} FROM bars)) WINDOW {frame(14)}"),
     "t8_chaikin": ("cmf_20", f"SELECT permno, date, CASE WHEN n >= 20 THEN sum(vol * (close - open) / nullif(high - low, 0)) OVER v / nullif(sum(vol) OVER v, 0) END AS ti_cmf_20 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(20)}"),
-    "t9_ease_of_movement": ("eom_14", f"SELECT permno, date, CASE WHEN n >= 15 THEN avg(e) OVER v END / 1e12 AS ti_eom_14 FROM (SELECT *, ((high + low) / 2 - lag((high + low) / 2) {_W}) / nullif(vol / 1e8 / nullif(high - low, 0), 0) AS e, {_N} FROM bars) WINDOW {frame(14)}"),
-    "t10_variance": ("var_21", f"SELECT permno, date, CASE WHEN n >= 21 THEN var_samp(close) OVER v END / 1e6 AS ti_var_21 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(21)}"),
+    "t9_ease_of_movement": ("eom_14", f"SELECT permno, date, CASE WHEN n >= 15 THEN avg(e) OVER v END AS ti_eom_14 FROM (SELECT *, ((high + low) / 2 - lag((high + low) / 2) {_W}) / nullif(vol / 1e8 / nullif(high - low, 0), 0) AS e, {_N} FROM bars) WINDOW {frame(14)}"),
+    "t10_variance": ("var_21", f"SELECT permno, date, CASE WHEN n >= 21 THEN var_samp(close) OVER v END AS ti_var_21 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(21)}"),
     "t11_stochastic": ("stoch_14_3", f"SELECT permno, date, CASE WHEN n >= 16 THEN avg(k) OVER v END AS ti_stoch_14_3 FROM (SELECT *, 100 * (close - min(low) OVER w) / nullif(max(high) OVER w - min(low) OVER w, 0) AS k, {_N} FROM bars WINDOW {frame(14, 'w')}) WINDOW {frame(3)}"),
     "t14_aroon": ("aroon_25", f"SELECT permno, date, CASE WHEN n >= 26 THEN 4.0 * ((n + (min(row(low, -n)) OVER v)[2]) - (n - (max(row(high, n)) OVER v)[2])) END AS ti_aroon_25 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(26)}"),
     "t2_true_range": ("tr", f"SELECT permno, date, greatest(high - low, abs(high - lag(close) {_W}), abs(low - lag(close) {_W})) AS ti_tr FROM bars"),
 }
 for _name, (_col, _body) in _IND.items():
 
-    @query(_name, f"permno date ~ti_{_col}", _body)
+    @query(_name, f"permno date {'%' if _col in ('eom_14', 'var_21') else '~'}ti_{_col}", _body)
     def _(t):
-        return _indicators(t).withColumns({"ti_eom_14": F.col("ti_eom_14") / 1e12, "ti_var_21": F.col("ti_var_21") / 1e6})
+        return _indicators(t)
 
 
 @query("t12_skew", "permno date ~skew_63", f"SELECT permno, date, CASE WHEN count(close) OVER v >= 63 THEN skewness(close) OVER v END AS skew_63 FROM bars WINDOW {frame(63)}")

@@ -163,7 +163,7 @@ NUDGE = "3.3e-9"
 
 
 def sql(body: str, out: str) -> str:
-    """`body` with the expressions that it uses in front, and the columns of `out`: ~x a rounded double, #x a big integer."""
+    """`body` with the expressions that it uses in front, and the columns of `out`: ~x a double of six places, %x one of nine significant digits, #x a big integer."""
     import re
 
     def uses(text: str) -> list[str]:
@@ -176,10 +176,15 @@ def sql(body: str, out: str) -> str:
                 needed.add(n)
                 todo.append(CTES[n])
     order = sorted(needed, key=list(CTES).index)
-    shown = ", ".join(f"round(CAST({c[1:]} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else f"CAST({c[1:]} AS BIGINT) AS {c[1:]}" if c[0] == "#" else c for c in out.split())
+    shown = ", ".join(f"round(CAST({c[1:]} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else f"CAST(printf('%.8e', CAST({c[1:]} AS DOUBLE)) AS DOUBLE) + 0.0 AS {c[1:]}" if c[0] == "%" else f"CAST({c[1:]} AS BIGINT) AS {c[1:]}" if c[0] == "#" else c for c in out.split())
     head = "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in order) + " " if order else ""
     return f"{head}SELECT {shown} FROM ({body}) AS q"
 
 
 def shown(df: DataFrame, out: str) -> DataFrame:
-    return df.select(*[(F.round(F.col(c[1:]).cast("double") + float(NUDGE), 6) + 0.0).alias(c[1:]) if c[0] == "~" else F.col(c[1:]).cast("long").alias(c[1:]) if c[0] == "#" else F.col(c) for c in out.split()])
+    kinds = {
+        "~": lambda c: F.round(F.col(c).cast("double") + float(NUDGE), 6) + 0.0,
+        "%": lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.8e", F.col(c).cast("double")).cast("double") + 0.0),
+        "#": lambda c: F.col(c).cast("long"),
+    }
+    return df.select(*[kinds[c[0]](c[1:]).alias(c[1:]) if c[0] in kinds else F.col(c) for c in out.split()])
