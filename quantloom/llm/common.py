@@ -1,4 +1,4 @@
-"""What the training-data operators share: shared storage, batch settings and row keys."""
+"""What the training-data operators share: shared storage, bounded batches and edits of texts."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that the white-space word rule `[^\x20\x09-\x0D]+` separates on.
-WHITE = "\t\n\x0b\x0c\r "
-
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir. Where that is unset: a temporary folder of one machine, if Spark runs on one."""
@@ -63,11 +60,6 @@ def bounded(batches: Iterable[pa.RecordBatch], rows: int = 2000, size: int = 8 <
                 yield part
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str | Column) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*cols) if cols else df
-
-
 def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The key and the text alone, null texts as empty ones: other columns of `df` can't clash with what an operator adds."""
     return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded, discard, stored
 
+#: Shards of more than `shard_rows` rows whose sizes are broadcast, at most (some 40 bytes each); beyond, Spark splits skewed joins itself.
+MAX_LARGE = 100_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -155,7 +157,7 @@ def links(nodes: DataFrame, radius: int = 3, shard_rows: int = 512, finer: int =
     found, levels = [], (radius + 2, radius + 5, max(16, radius + 5))
     for blocks in levels:
         shards = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_masks(radius, blocks))])
-        dealt = nodes.select("fp", F.explode(shards).alias("shard")).select("shard.*", F.col("fp").alias("node"), F.col("fp").alias("code"))
+        dealt = nodes.select("fp", F.explode(shards).alias("shard")).select("shard.*", F.col("fp").alias("node"))
         sizes = stored(shard_sizes(dealt))
         large = sizes.filter(F.col("n") > finer * shard_rows)
         if blocks == levels[-1] or large.isEmpty():
@@ -171,12 +173,24 @@ def shard_sizes(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("k", "bits").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None, sizes: DataFrame | None = None) -> DataFrame:
-    """(a, b): links between nodes that share a shard, from rows (k, bits, node, code) with shard (k, bits); and signature, if `alike` is given.
+def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None, about: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes that share a shard, from rows (k, bits, node) with shard (k, bits).
 
-    `sizes` are the shards to look at, as shard_sizes has them; all where none are given.
+    `about` has what is compared, a row a node: (node, code, signature), the signature for `alike`; without it, a node is its own
+    code. It comes in once the rows of shards of one row are gone, which most are. `sizes` are the shards to look at, as a stored
+    table of shard_sizes; all where none are given.
     """
-    dealt = stored(dealt.join(shard_sizes(dealt) if sizes is None else sizes, ["k", "bits"]))
+    sizes = stored(shard_sizes(dealt)) if sizes is None else sizes
+    large = sizes.filter(F.col("n") > shard_rows).select("k", "bits", F.col("n").alias("_many"))
+    if large.limit(MAX_LARGE + 1).count() <= MAX_LARGE:
+        # Rows of large shards get their size from a broadcast; in the join that gives the others theirs they stand apart.
+        spread = F.when(F.col("_many").isNotNull(), 1 + F.pmod(F.xxhash64("node"), F.lit(1024))).otherwise(0)
+        told = dealt.join(F.broadcast(large), ["k", "bits"], "left").withColumn("_apart", spread.cast("long"))
+        few = sizes.filter(F.col("n") <= shard_rows).withColumn("_apart", F.lit(0).cast("long"))
+        rows = told.join(few.hint("merge"), ["k", "bits", "_apart"], "left").withColumn("n", F.coalesce("_many", "n")).filter("n IS NOT NULL").drop("_many", "_apart")
+    else:
+        rows = dealt.join(sizes.hint("merge"), ["k", "bits"])
+    dealt = stored(rows.withColumn("code", F.col("node")) if about is None else rows.join(about.hint("merge"), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index, queries = None, [], []
@@ -213,8 +227,8 @@ def shard_links(dealt: DataFrame, radius: int, shard_rows: int = 512, alike=None
     return tasks.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(fp, label): for every fingerprint the least one that it is connected to. `edges` (a, b) is a forest-like set of links.
+def components(nodes: DataFrame | None, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(fp, label): for every fingerprint the least one that it is connected to, or for linked ones alone without `nodes`. `edges` (a, b) is a forest-like set of links.
 
     Rounds of hooking (a root takes the least label that its tree's nodes see) and pointer jumping; each halves the depth, so
     the number of rounds follows the logarithm of the longest chain. Only linked nodes take part.
@@ -241,7 +255,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.select("fp").join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    labels = labels.select(F.col("v").alias("fp"), "label")
+    return labels if nodes is None else nodes.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id") -> DataFrame:
@@ -334,21 +349,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     signed = stored(docs.select("_row", "text").mapInArrow(run, "_row long, same binary, code long, bands array<long>, signature binary"))
     copies = stored(signed.groupBy("same").agg(F.min("_row").alias("node")))
     # The row that stands for a group of copies brings what describes them all.
-    nodes = signed.join(copies.select(F.col("node").alias("_row")), "_row", "left_semi")
-    dealt = nodes.select(F.posexplode("bands").alias("k", "bits"), F.col("_row").alias("node"), "code", "signature")
-    candidates = shard_links(dealt, radius, alike=lambda a, others: similarities(a, others) >= least - doubt)
-    rough = components(copies.select(F.col("node").alias("fp")), candidates)
-    several = rough.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label")
-    members = stored(rough.join(several, "label").select(F.col("fp").alias("_row"), "label"))
+    nodes = signed.join(copies.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
+    dealt = nodes.select(F.posexplode("bands").alias("k", "bits"), "node")
+    candidates = shard_links(dealt, radius, alike=lambda a, others: similarities(a, others) >= least - doubt, about=nodes.select("node", "code", "signature"))
+    members = components(None, candidates).withColumnRenamed("fp", "_row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            h = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([0] * len(h), pa.int32()), batch.column(1), batch.column(0), pa.array([fingerprint(np.unique(x)) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "bits", "node", "code", "signature"])
+            h = [shingle_hashes(t or "", shingle) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([fingerprint(np.unique(x)) for x in h], pa.int64()), pa.array([shingle_set(x) for x in h], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "code", "signature"])
 
-    exact = docs.select("_row", "text").join(members, "_row").select("_row", "label", "text").mapInArrow(sets, "k int, bits long, node long, code long, signature binary")
-    edges = shard_links(stored(exact), radius, alike=lambda a, others: [jaccard(a, b, least) for b in others])
+    exact = docs.select("_row", "text").join(members.select("_row"), "_row").mapInArrow(sets, "node long, code long, signature binary")
+    shards = members.select(F.lit(0).alias("k"), F.col("label").alias("bits"), F.col("_row").alias("node"))
+    edges = shard_links(shards, radius, alike=lambda a, others: [jaccard(a, b, least) for b in others], about=stored(exact))
     classes = components(copies.select(F.col("node").alias("fp")), edges)
     by_copy = stored(copies.join(classes.withColumnRenamed("fp", "node"), "node").select("same", F.col("label").alias("_class")))
     salts = 16  # one text may be a third of all rows'
