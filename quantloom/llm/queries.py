@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .ball_tree import op11_ball_tree
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontaminate
 from .fertility import op5_fertility
@@ -16,6 +17,7 @@ from .secrets import op4_secrets
 from .simhash import op6_simhash
 from .substrings import op7_substrings
 from .token_ids import op10_token_ids
+from .vector_codes import op13_vector_codes
 from .warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
+    "op11_ball_tree": op11_ball_tree,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The other queries learn, tokenise, hash, link or parse in ways that SQL lacks; tests hold them against brute force.
@@ -36,4 +40,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": oracle.DECONTAMINATE,
     "op7_substrings": oracle.SUBSTRINGS,
     "op9_warc": oracle.WARC,
+    "op11_ball_tree": oracle.BALL_TREE,
+    "op13_vector_codes": oracle.VECTOR_CODES,
 }
