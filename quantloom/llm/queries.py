@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .alignment import op12_alignment
 from .ball_tree import op11_ball_tree
 from .byte_bpe import op3_byte_bpe
 from .decontaminate import op2_decontaminate
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
     "op11_ball_tree": op11_ball_tree,
+    "op12_alignment": op12_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
 

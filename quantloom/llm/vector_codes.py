@@ -41,6 +41,7 @@ class SliceIndex:
         self.sorted = np.take_along_axis(entries, order, 0)
         bits = np.zeros((m, self.words), "u8")
         bits[np.arange(m), np.arange(m) // 64] = np.uint64(1) << (np.arange(m) % 64).astype("u8")
+        self.all = np.bitwise_or.reduce(bits, axis=0)
         self.prefix = np.zeros((d, m + 1, self.words), "u8")
         for j in range(d):
             np.bitwise_or.accumulate(bits[order[:, j]], axis=0, out=self.prefix[j, 1:])
@@ -49,8 +50,7 @@ class SliceIndex:
 
     def within(self, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Of each row of x: bit masks of the entries none of whose coordinates is farther off than its radius."""
-        mask = np.full((len(x), self.words), ~np.uint64(0))
-        mask &= self.prefix[0, -1] if len(self.prefix) else np.uint64(0)
+        mask = np.tile(self.all, (len(x), 1))
         for j in range(x.shape[1]):
             lo = np.searchsorted(self.sorted[:, j], x[:, j] - radius, "left")
             hi = np.searchsorted(self.sorted[:, j], x[:, j] + radius, "right")
