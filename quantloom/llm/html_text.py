@@ -1,14 +1,14 @@
 """Main text of web pages by consensus of their host.
 
 Pass one parses each page, scores its containers by the text of the blocks in them (link text counts against, and a container
-passes half of its score up to the one around it), and votes for the generalised path of the best ones: tags and classes from
-the root, digits dropped. Votes are summed per host in Spark. Pass two parses each page again and takes the blocks inside the
-elements on its host's winning path, or inside the page's own best container where the page has no such element, or its host
-no path with half of the votes.
+passes half of its score up to the one around it), and votes for the generalised paths of all that score: tags and classes from
+the root, digits dropped. Votes are summed per host in Spark. Pass two parses each page again and starts from the elements on its
+host's winning path, or on the page's own best path where the page has no such element, or its host no path with half of the
+votes. From there it widens (`Page.widened`), so that headings, intros, tables and further sections around the best one stay.
 
 Both passes leave out menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag,
-role, and words of class or id. Votes are pre-aggregated before the shuffle, and a host with most of all pages is spread over
-salts in the join with the winners.
+role, and words of class or id. Words alone don't decide about an element that holds most of the page's text (`Page.settle`).
+Votes are pre-aggregated before the shuffle, and a host with most of all pages is spread over salts in the join with the winners.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import bounded, stored
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("nav header footer aside form script style title noscript template iframe object svg math button select textarea dialog head canvas audio video".split())
+SKIPPED = frozenset("nav header footer aside script style title noscript template iframe object svg math button select textarea dialog head canvas audio video".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body main section div td blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -34,6 +34,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead header topbar toolbar ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager comment comments commentlist disqus replies respond widget skip".split()
 )
+#: Those of the words that also name what is wrapped around an article, and words whose headers are an article's own.
+WRAPPING = frozenset("widget header footer sidebar aside masthead topbar toolbar banner notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related skip".split())
+OWN = frozenset("post entry article story".split())
 #: p ends where a block starts; these end an open one of the same kind.
 SELF_CLOSING = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 #: Elements that list items, table cells and paragraphs don't end across; elements of drawings and formulas, which "/>" ends.
@@ -52,15 +55,25 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
-def _unwanted(tag: str, attrs: dict[str, str | None]) -> bool:
+WANTED, WRAPPER, MARKED, GONE = range(4)
+
+
+def _kind(tag: str, attrs: dict[str, str | None]) -> int:
+    """GONE by tag, role or style; MARKED or (by words or tags that may stand for the whole page) WRAPPER: left out unless it holds the article."""
     if tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return GONE
     if tag in ("html", "body", "article", "main"):
-        return False
+        return WANTED
+    if tag == "form":
+        return WRAPPER
     names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
     if names == " ":
-        return "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-    return not WORDS.isdisjoint(_SPLIT.split(_CAMEL.sub(" ", names).lower()))
+        return GONE if "display:none" in (attrs.get("style") or "").replace(" ", "").lower() else WANTED
+    words = set(_SPLIT.split(_CAMEL.sub(" ", names).lower()))
+    found = words & WORDS
+    if not OWN.isdisjoint(words):
+        found.discard("header")
+    return WANTED if not found else WRAPPER if found <= WRAPPING else MARKED
 
 
 class Page:
@@ -71,20 +84,25 @@ class Page:
     """
 
     def __init__(self, html: str):
-        self.open: list[tuple[str, int]] = []  # tag ("" once its end tag came out of turn), container outside it
+        self.open: list[tuple[str, int, int]] = []  # tag ("" once its end tag came out of turn), container and doubtful element outside it
         self.where: dict[str, list[int]] = {}  # places of each open tag
         self.blocks_at: list[int] = []  # places of open blocks
         self.scopes: list[int] = [-1]  # places of open elements that list items and table cells don't end across
         self.skip = -1  # place of the outermost open element that is left out
+        self.doubts: list[tuple[int, int]] = []  # of elements that words leave out: the one around, its kind
+        self.doubt, self.doubts_at = -1, []  # the innermost open one, and the places of all open ones
+        self.titled: set[int] = set()  # paths whose containers themselves have a main heading
+        self.articles: list[int] = []  # the doubtful element around each article or main
         self.trie: dict[tuple[int, str], int] = {}
         self.labels: list[tuple[int, str]] = []  # of each path: the one above, and the last label
         self.containers: list[tuple[int, int]] = []  # path, parent
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters of links
+        self.marked: list[tuple[int, str, int, int]] = []  # all blocks, with the doubtful element they are in
         self.parts: list[str] = []
         self.link, self.links = 0, 0
         self.at = -1
         self.read(html)
         self.end_block()
+        self.blocks = self.settle()  # container, text, characters of links
 
     def read(self, html: str) -> None:
         i, n = 0, len(html)
@@ -157,7 +175,9 @@ class Page:
     def end_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                self.blocks.append((self.at, text, self.links))
+                self.marked.append((self.at, text, self.links, self.doubt))
+                if self.where.get("h1") and self.at >= 0:
+                    self.titled.add(self.containers[self.at][0])
             self.parts.clear()
         self.links = 0
 
@@ -171,7 +191,7 @@ class Page:
 
     def push(self, tag: str) -> None:
         place = len(self.open)
-        self.open.append((tag, self.at))
+        self.open.append((tag, self.at, self.doubt))
         self.where.setdefault(tag, []).append(place)
         if tag in BLOCKS:
             self.blocks_at.append(place)
@@ -181,7 +201,9 @@ class Page:
     def pop(self, place: int) -> None:
         """Close the element at a place and all in it."""
         while len(self.open) > place:
-            tag, self.at = self.open.pop()
+            tag, self.at, self.doubt = self.open.pop()
+            if self.doubts_at and self.doubts_at[-1] == len(self.open):
+                self.doubts_at.pop()
             if not tag:
                 continue
             self.where[tag].pop()
@@ -214,13 +236,21 @@ class Page:
             places = [x[-1] for t in (tag, SELF_CLOSING[tag]) if (x := self.where.get(t))]
             if places and max(places) >= self.scopes[-1]:
                 self.pop(max(places))
-        if _unwanted(tag, attrs):
+        kind = _kind(tag, attrs)
+        if kind == GONE:
             self.end_block()
             if not (closed and tag in FOREIGN):
                 self.skip = len(self.open)
                 self.push(tag)
             return
         self.push(tag)
+        if kind != WANTED:
+            self.end_block()
+            self.doubts.append((self.doubt, kind))
+            self.doubt = len(self.doubts) - 1
+            self.doubts_at.append(len(self.open) - 1)
+        if tag in ("article", "main"):
+            self.articles.append(self.doubt)
         if tag in CONTAINERS:
             label = ".".join((tag, *sorted(_DIGITS.sub("", attrs.get("class", "")).split())))
             above = self.containers[self.at][0] if self.at >= 0 else -1
@@ -239,16 +269,38 @@ class Page:
         if not (places := self.where.get(tag)):
             return
         place = places[-1]
-        if tag in BLOCKS or place == self.skip or not self.blocks_at or place > self.blocks_at[-1]:
-            if tag in BLOCKS and self.skip < 0:
+        doubtful = bool(self.doubts_at) and place <= self.doubts_at[-1]
+        if tag in BLOCKS or place == self.skip or not self.blocks_at or place > self.blocks_at[-1] or doubtful and place == self.doubts_at[-1]:
+            if (tag in BLOCKS or doubtful) and self.skip < 0:
                 self.end_block()
             self.pop(place)
         else:  # blocks go on behind the end of what is around them but no block itself
             places.pop()
-            self.open[place] = ("", self.open[place][1])
+            self.open[place] = ("", *self.open[place][1:])
             if tag == "a" and self.link and self.skip < 0:
                 self.link -= 1
 
+    def settle(self) -> list[tuple[int, str, int]]:
+        """The blocks without those in elements that words leave out. Such an element stays if all articles of the page are in it and it holds
+        more than half of the page's text, or 9 tenths in two blocks or more where its words never name a wrapper."""
+        n = len(self.doubts)
+        sizes, blocks, articles = [0] * n, [0] * n, [0] * n
+        for _, text, _, d in self.marked:
+            if d >= 0:
+                sizes[d] += len(text)
+                blocks[d] += 1
+        for d in self.articles:
+            if d >= 0:
+                articles[d] += 1
+        for d in range(n - 1, -1, -1):  # what is inside comes behind what is around it
+            if (up := self.doubts[d][0]) >= 0:
+                sizes[up], blocks[up], articles[up] = sizes[up] + sizes[d], blocks[up] + blocks[d], articles[up] + articles[d]
+        total, gone = sum(len(text) for _, text, _, _ in self.marked), [False] * n
+        for d, (up, kind) in enumerate(self.doubts):
+            most = 2 * sizes[d] > total if kind == WRAPPER else 10 * sizes[d] > 9 * total and blocks[d] > 1
+            gone[d] = up >= 0 and gone[up] or not most or articles[d] < len(self.articles)
+        return [(at, text, links) for at, text, links, d in self.marked if d < 0 or not gone[d]]
+
     def scores(self) -> list[int]:
         """Of each container: its characters outside links less those inside; half of what a block adds goes up a container."""
         out = [0] * len(self.containers)
@@ -275,32 +327,79 @@ class Page:
                 return -1
         return at
 
-    def within(self, wanted: set[int]) -> str:
-        inside = [False] * len(self.containers)
-        for i, (_, up) in enumerate(self.containers):
-            inside[i] = i in wanted or up >= 0 and inside[up]
-        return "\n\n".join(text for at, text, _ in self.blocks if at >= 0 and inside[at])
+    def inside(self, path: int) -> list[bool]:
+        """Of each container: whether it is on a path, or within one that is."""
+        out = [False] * len(self.containers)
+        for i, (p, up) in enumerate(self.containers):
+            out[i] = p == path or up >= 0 and out[up]
+        return out
 
+    def within(self, path: int) -> str:
+        inside = self.inside(path)
+        return "\n\n".join(text for at, text, _ in self.blocks if at >= 0 and inside[at])
 
-def votes(html: str, top: int = 3, whole: int = 1000) -> list[tuple[str, int]]:
-    """The generalised paths of the best containers, the best one's vote `whole`, the others' in proportion."""
+    def widened(self, path: int) -> int:
+        """The path of what is around the elements on `path` and belongs to the same article.
+
+        An article element around them is that. Else a path above is, as long as it adds text of which no more than three tenths
+        are links, and has text of its own (a heading, an intro: text in no smaller container), or adds a main heading, or a quarter
+        of what there is or more. The page's body counts by text of its own alone. What adds no text is passed over.
+        """
+        up, found = path, path
+        while up >= 0:
+            above, label = self.labels[up]
+            if label.split(".")[0] == "article":
+                return up
+            up = above
+        own: dict[int, list[int]] = {}  # characters in containers of each path itself: all, of links
+        for at, text, links in self.blocks:
+            if at >= 0:
+                x = own.setdefault(self.containers[at][0], [0, 0])
+                x[0], x[1] = x[0] + len(text), x[1] + min(links, len(text))
+        whole = {p: list(x) for p, x in own.items()}
+        for p in range(len(self.labels) - 1, -1, -1):  # a path comes behind the one above it
+            if p in whole and (above := self.labels[p][0]) >= 0:
+                x = whole.setdefault(above, [0, 0])
+                x[0], x[1] = x[0] + whole[p][0], x[1] + whole[p][1]
+        titled = {p for p in self.titled if p in own}
+        for p in range(len(self.labels) - 1, -1, -1):
+            if p in titled:
+                titled.add(self.labels[p][0])
+        has, up = whole.get(path, [0, 0]), self.labels[path][0]
+        while up >= 0:
+            now, here = whole.get(up, [0, 0]), own.get(up, [0, 0])
+            more, links = now[0] - has[0], now[1] - has[1]
+            if more:
+                body = self.labels[up][1].split(".")[0] == "body"
+                if 10 * links > 3 * more or not (10 * here[1] <= 3 * here[0] > 0 or not body and (up in titled and found not in titled or 4 * (more - links) >= has[0] - has[1])):
+                    break
+                found, has = up, now
+            up = self.labels[up][0]
+        return found
+
+
+def votes(html: str, whole: int = 1000) -> list[tuple[str, int]]:
+    """The generalised paths of all containers that score, the best one's vote `whole`, the others' in proportion (those that come to one at least)."""
     page = Page(html)
     by: dict[int, int] = {}
     for (path, _), score in zip(page.containers, page.scores()):
         by[path] = by.get(path, 0) + score
-    best = sorted(((-s, p) for p, s in by.items() if s > 0))[: 2 * top]
-    best = sorted((s, page.name(p)) for s, p in best)[:top]
-    return [(p, whole * s // best[0][0]) for s, p in best]
+    best = max(by.values(), default=0)
+    top = min((page.name(p) for p, s in by.items() if s == best), default="")
+    out = [(page.name(p), whole * s // best) for p, s in by.items() if s > 0 and whole * s >= best]
+    return sorted(((p, v if v < whole or p == top else whole - 1) for p, v in out), key=lambda x: (-x[1], x[0]))
 
 
 def extract(html: str, path: str | None) -> str:
-    """Blocks within the elements on `path`; if there are none with text, within the page's own best container; at last, all blocks."""
+    """Blocks within the elements on `path` and around them; if there are none with text, the same from the page's own best path; at last, all blocks."""
     page = Page(html)
-    if path is not None and (at := page.path(path)) >= 0 and (text := page.within({i for i, (p, _) in enumerate(page.containers) if p == at})):
-        return text
-    scores = page.scores()
-    if scores and max(scores) > 0:
-        return page.within({max(range(len(scores)), key=lambda i: (scores[i], -i))})
+    if path is not None and (at := page.path(path)) >= 0 and page.within(at):
+        return page.within(page.widened(at))
+    by: dict[int, int] = {}
+    for (p, _), score in zip(page.containers, page.scores()):
+        by[p] = by.get(p, 0) + score
+    if by and max(by.values()) > 0:
+        return page.within(page.widened(max(by, key=lambda p: (by[p], -p))))
     return "\n\n".join(text for _, text, _ in page.blocks)
 
 

@@ -460,6 +460,38 @@ def test_html_text(spark):
     assert sorted(got) == [(1, "main text here"), (2, "the main text that is long enough"), (3, "again a main text of some length"), (4, ""), (4, "")]
 
 
+W = "Words of a sentence that goes on for a while, as sentences in articles do. "
+NOISE = '<nav><a href="/">Home</a></nav><div class="ad">Buy this.</div>'
+#: Bodies of pages, and the text wanted of them, written by hand.
+NESTED = {
+    "intro and sections": (f"<article><h1>Title</h1><p>Intro.</p><section><h2>A</h2><p>{W * 8}</p></section><section><p>{W * 7}</p></section></article>", f"Title\n\nIntro.\n\nA\n\n{W * 8}\n\n{W * 7}"),
+    "sections of two lengths": (f"<section><p>{W * 12}</p></section><section><p>{W * 3}</p></section><footer>F</footer>", f"{W * 12}\n\n{W * 3}"),
+    "text behind a table": (f"<main><h2>Title</h2><table><tr><td>{W}</td><td>{W * 2}</td></tr></table><p>After it.</p></main>", f"Title\n\n{W}\n\n{W * 2}\n\nAfter it."),
+    "quote and list": (f'<div class="story"><h1>T</h1><blockquote>{W * 9}</blockquote><ul><li>one</li><li>two</li></ul><p>End.</p></div><div class="rail"><a href="x">{W}</a></div>', f"T\n\n{W * 9}\n\none\n\ntwo\n\nEnd."),
+    "a form around it": (f'<form action="/"><div id="top"><h1>T</h1><p>{W * 5}</p></div><input name="a"></form>', f"T\n\n{W * 5}"),
+    "a form beside it": (f'<div id="x"><h1>T</h1><p>{W * 5}</p></div><form><p>Your name</p><p>{W}</p></form>', f"T\n\n{W * 5}"),
+    "a widget that is the article": (f'<div class="elementor-widget-text"><p>{W * 5}</p></div>', W * 5),
+    "a widget beside it": (f'<div class="text"><p>{W * 5}</p></div><div class="widget"><p>{W}</p></div>', W * 5),
+    "a layout named by its sidebar": (f'<div class="has-sidebar"><div class="text"><p>{W * 5}</p></div><div class="sidebar"><p>{W * 2}</p></div></div>', W * 5),
+    "a title's own header": (f'<div class="post"><div class="post-header"><h1>T</h1></div><div class="post-body"><p>{W * 4}</p></div></div>', f"T\n\n{W * 4}"),
+    "comments longer than the article": (f'<div class="c"><h1>T</h1><p>{W * 3}</p><div class="comments"><p>{W * 4}</p><p>{W * 9}</p></div></div>', f"T\n\n{W * 3}"),
+    "several articles": (f"<main><article><p>{W * 3}</p></article><article><h2>B</h2><p>{W}</p></article></main>", f"{W * 3}\n\nB\n\n{W}"),
+    "parts of one wrapper": (f'<div class="wrap"><div class="one"><p>{W * 6}</p></div><div class="two"><p>{W * 4}</p></div></div><div class="x"><a href="y">{W * 2}</a></div>', f"{W * 6}\n\n{W * 4}"),
+    "no article, an advert": ('<article></article>', ""),
+}
+
+
+@pytest.mark.parametrize("name", NESTED)
+def test_articles_stay_whole(spark, name):
+    body, want = NESTED[name]
+    html, want = f"<html><body>{NOISE}{body}<footer>End</footer></body></html>", re.sub(" (?=\n|$)", "", want)
+    assert html_text.extract(html, None) == want
+    best = [p for p, _ in html_text.votes(html)]
+    assert not best or html_text.extract(html, best[0]) == want
+    rows = spark.createDataFrame([(i, "http://a.b/", html) for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.main_text(rows).collect()} == {want}
+
+
 TAGS = ["<p>", "</p>", "<div class='a1 b'>", "</div>", "<DIV id=x>", "<ul>", "<li>", "</ul>", "<table><tr><td>", "</table>", "<a href='x'>", "</a>", "<b>", "</b>", "<span>", "</span>", "<nav>", "</nav>", "<br/>", "<hr>", "<script>", "</script>", "<!--", "-->", "<![foo]>", "<![CDATA[x]]>", "<?x?>", "<!doctype html>", "<", ">", "</", "&amp;", "&#65;", "&", "'", '"', "<a b='", "text ", "é", "\n", "<svg/>", "<textarea>", "</body>", "<title>"]
 
 
@@ -469,10 +501,13 @@ def test_any_markup_is_a_page(parts):
     html = "".join(parts)
     page = html_text.Page(html)
     assert all(t == " ".join(t.split()) and t for _, t, _ in page.blocks)
-    assert sum(map(len, page.where.values())) == sum(bool(t) for t, _ in page.open)
+    assert sum(map(len, page.where.values())) == sum(bool(t) for t, *_ in page.open)
     for name, vote in html_text.votes(html):
         assert 0 <= vote <= 1000 and page.name(page.path(name)) == name
     html_text.extract(html, None)
+    kept = html_text.extract(html, None).split("\n\n") if page.blocks else []
+    texts = iter(t for _, t, _ in page.blocks)
+    assert all(k in texts for k in kept)  # blocks of the page, in its order
 
 
 def test_odd_markup():
