@@ -1,18 +1,19 @@
 """Token-ID output: flat files of unsigned integers with 64-bit document offsets.
 
-A data set is a folder of shards in ascending key order. Shard NNNNN has three flat little-endian files:
+A data set is a folder of shards in ascending key order. A shard has three flat little-endian files under one name:
 
-* `NNNNN.ids`   ids, unsigned 16-bit where the vocabulary allows it, else 32-bit
-* `NNNNN.off`   signed 64-bit, documents + 1: where each document's ids start in the shard, and the shard's total
-* `NNNNN.key`   signed 64-bit document keys; the first `n_null` of them (see the manifest) stand for null
+* `NAME.ids`   ids, unsigned 16-bit where the vocabulary allows it, else 32-bit
+* `NAME.off`   signed 64-bit, documents + 1: where each document's ids start in the shard, and the shard's total
+* `NAME.key`   signed 64-bit document keys; the first `n_null` of them (see the manifest) stand for null
 
-and a row of the manifest (Parquet): shard, n_docs, n_null, n_ids and base, the ids in all shards before it, as a prefix sum
-over the shards. Any document is found by base + offset, and a reader maps the files into memory.
+and a row of the manifest (Parquet): shard, name, n_docs, n_null, n_ids and base, the ids in all shards before it, as a prefix
+sum over the shards. A name is that of the shard and of the attempt that wrote it. Any document is found by base + offset, and a reader maps the files into memory.
 
 Encoding runs before the shuffle, so that 2 or 4 bytes a token move rather than text. Shards are key ranges, dealt out by
 bounds that are approximate quantiles of the keys; a key that fills more than a shard's worth (null, or one repeated without
-end) is spread over shards by a checksum of its ids. Files are written as rows stream by, never gathered, under a name of
-their attempt, and renamed when whole: rows are in one order, so a task that runs twice leaves the same files.
+end) is spread over shards by a checksum of its ids. Files are written as rows stream by, never gathered. Nothing is renamed or
+overwritten: a task that runs again writes files of its own, and the manifest, which Spark commits, names those of one attempt.
+Files that no manifest names are left-overs of lost attempts.
 """
 
 from __future__ import annotations
@@ -187,14 +188,14 @@ def write(encoded: DataFrame, path: str, dtype: str, shards: int, key: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open_fs(path)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        names = {x: f"{top}/.{shard:05d}.{attempt}.{x}" for x in ("ids", "off", "key")}
+        name = f"{shard:05d}-{attempt}"
         files, total, n, nulls = {}, 0, 0, 0
         for batch in bounded(batches):
             if not batch.num_rows:
                 continue
             if not files:
                 fs.create_dir(top, recursive=True)
-                files = {x: fs.open_output_stream(name) for x, name in names.items()}
+                files = {x: fs.open_output_stream(f"{top}/{name}.{x}") for x in ("ids", "off", "key")}
                 files["off"].write(np.zeros(1, "<i8").tobytes())
             lengths = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype("i8") // width
             files["off"].write((total + np.cumsum(lengths)).astype("<i8").tobytes())
@@ -203,13 +204,12 @@ def write(encoded: DataFrame, path: str, dtype: str, shards: int, key: str = "do
                 files["ids"].write(x.as_buffer())
             total, n, nulls = total + int(lengths.sum()), n + batch.num_rows, nulls + batch.column(0).null_count
         if files:
-            for x, f in files.items():
+            for f in files.values():
                 f.close()
-                fs.move(names[x], f"{top}/{shard:05d}.{x}")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n, "n_null": nulls, "n_ids": total}])
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "n_docs": n, "n_null": nulls, "n_ids": total}])
 
     dealt = encoded.repartitionById(shards, "shard").select(key, "tie", "ids")
-    parts = dealt.sortWithinPartitions(F.asc_nulls_first(key), "tie", "ids").select(key, "ids").mapInArrow(run, "shard long, n_docs long, n_null long, n_ids long")
+    parts = dealt.sortWithinPartitions(F.asc_nulls_first(key), "tie", "ids").select(key, "ids").mapInArrow(run, "shard long, name string, n_docs long, n_null long, n_ids long")
     parts.write.parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
@@ -235,7 +235,7 @@ def scan(spark: SparkSession, path: str, dtype: str, use: Callable[[np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
             for row in batch.to_pylist():
-                at = f"{path}/{row['shard']:05d}"
+                at = f"{path}/{row['name']}"
                 ids, off, keys = reader(f"{at}.ids", dtype), reader(f"{at}.off", "<i8"), reader(f"{at}.key", "<i8")
                 for lo in range(0, row["n_docs"], block):
                     hi = min(lo + block, row["n_docs"])
@@ -263,7 +263,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str | None = No
     """documents encoded, written in ascending doc_id order and read back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts have the end id alone; null doc_ids come first; rows of equal doc_ids all stay, ordered by a checksum of
-    their ids; an empty table gives no rows. Texts of any length are encoded whole. Special tokens' names in a text count as the
+    their ids; an empty table gives no rows. doc_id must be a whole number, as its files hold 64-bit keys. Texts of any length are encoded whole. Special tokens' names in a text count as the
     library takes them by default. Other columns of documents are not read.
     """
     import public_tokenizers

@@ -628,6 +628,21 @@ def test_token_files(spark, odd):
         assert ids([t, "b"]) == [model.encode(x, add_special_tokens=False).ids for x in (t, "b")]
 
 
+def test_token_files_of_attempts_that_were_lost(spark, odd, tmp_path):
+    import shutil
+
+    path, rows = f"file://{tmp_path}/ids", []
+    bounds = token_ids.shard_bounds(odd, "doc_id", 3)
+    for _ in range(2):  # as if every task ran again behind its files
+        manifest = token_ids.write(token_ids.encode(odd, P.path("word_bpe_49k.json"), 1, "<u2", bounds), path, "<u2", len(bounds) + 1)
+        rows.append(sorted(map(tuple, token_ids.scan(spark, path, "<u2", token_ids.crc32_of_ids, "ids_crc32 long").collect()), key=str))
+        names = {r.name for r in manifest.collect()}
+        for x in ("parts", "manifest"):
+            shutil.rmtree(f"{tmp_path}/ids/{x}")
+    files = {f.stem for f in (tmp_path / "ids").iterdir()}
+    assert rows[0] == rows[1] and len(rows[0]) == len(ODD) and names < files and len(files) == 2 * len(names)
+
+
 def test_token_files_spread_a_hot_key(spark):
     keys = np.array([token_ids._FIRST, 5, 5, 5, 5, 7, 9], "i8")
     ties = np.array([2**32 - 1, 0, 2**31 - 1, 2**31, 2**32 - 1, 2**31, 0], "u4")
