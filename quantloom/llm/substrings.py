@@ -14,8 +14,8 @@ is narrowed down by hashes, and FM-indexes decide:
 5. Marks go back to all texts with the segment, and words under marked windows go.
 
 A minimizer with more than `hot` different segments (a frequent passage with ever new neighbours) is no shard of its own: its
-segments are cut into single windows, and the hashes of a window's first and last grams join the minimizer in the name of the
-shard, so that equal windows still meet, and few others do. Equal ones of a batch of texts travel as one row, and all that
+segments are cut into single windows, and the hashes of grams that hold all words of a window between them join the minimizer in
+the name of the shard, so that equal windows still meet, and few others do, whichever words of a template change. Equal ones of a batch of texts travel as one row, and all that
 arrive are one row of the index, with their number as its weight.
 
 A word stands for its 64-bit XXH3 hash, and texts, segments and windows count as equal at equal digests of 128 bits (a text's
@@ -233,6 +233,14 @@ class FMIndex:
         return out
 
 
+def window_shards(edges: np.ndarray, place: np.ndarray, minimizers: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The shards of the windows at `place`: named by their minimizer and by grams (edges: the hash of the gram at each place) that hold all of their words between them."""
+    name = minimizers.view("u8")
+    for off in (*range(0, window - gram, gram), window - gram):
+        name = _mix(edges[place + off], name)
+    return name.view("i8")
+
+
 def occurrences(docs: DataFrame, window: int, gram: int, text: str = "text") -> DataFrame:
     """(same, pick, grams, starts, counts, contents): the segments of each text of `window` words or more; `same` is a digest of the text."""
 
@@ -292,7 +300,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
                 part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 place, grams = at[row] + part, want["gram"][row]
                 edges, whole = _rolling(h, gram), _rolling(h, window)[place]
-                shard = _mix(_mix(edges[place], edges[place + window - gram]), grams.view("u8")).view("i8")
+                shard = window_shards(edges, place, grams, window, gram)
                 # Equal windows of the batch are one row.
                 order = np.lexsort((whole, grams, shard))
                 shard, grams, whole, place, part, row = (x[order] for x in (shard, grams, whole, place, part, row))

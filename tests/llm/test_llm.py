@@ -448,6 +448,27 @@ def test_substring_dedup(spark, odd):
     assert len(out) == len(ODD) and sum(r.n_removed for r in out) == 3000
 
 
+@pytest.mark.parametrize("changing", [0, 10, 17, 20, 34])
+def test_windows_of_a_template_have_shards_of_their_own(changing):
+    lines = [" ".join("x%d" % (i if j == 35 + changing else j % 70) for j in range(105)) for i in range(3000)]
+    words = substrings.Words(pa.array(lines))
+    edges = substrings._rolling(words.hashes, substrings.GRAM)
+    place = words.starts[:3000].astype("i8") + 35  # of the window that holds the changing word
+    names = substrings.window_shards(edges, place, np.zeros(3000, "i8"), 35, substrings.GRAM)
+    assert np.unique(names, return_counts=True)[1].max() <= 2
+
+
+def test_template_query(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{j}" if j % 36 else f"c{rng.integers(0, 900)}" for j in range(1, 120))) for i in range(2500)]
+    count = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [t.split()] for i in range(len(w) - 34))
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=4).collect()}
+    for i, t in rows:
+        w = t.split()
+        gone = {k + j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+
+
 # 8
 
 
