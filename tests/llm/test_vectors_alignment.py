@@ -221,6 +221,15 @@ def test_alignment_of_odd_texts(spark):
     assert alignment.align(df.limit(0), A, B).collect() == []
 
 
+def test_ranks_equal_the_library():
+    both, rng = alignment.aligner(A, B), random.Random(4)
+    pool = [chr(c) for lo, hi in ((0, 0x250), (0x400, 0x500), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x4F00), (0xAC00, 0xAD00)) for c in range(lo, hi)] + ["'s", "'LL", " ", "  ", "1", "²", "½"] * 20
+    assert both.fast is not None
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 25)))
+        assert alignment._SETTLED.fullmatch(text) and both.fast.encode_ordinary(text) == both.a.encode(text, add_special_tokens=False).ids
+
+
 def test_alignment_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = alignment.op12_alignment(spark, SF).select(COLUMNS).collect()
