@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log1p, log_ratio, ratio
+from ..sources.tables import stored
 from . import features as X
 from . import panel as P
 from .recursive import recursive_indicators
 
-#: Series that get indicators of their own, columns that get log returns, sectors and lags.
+#: Series that get indicators of their own, columns that get log returns, sectors, lags, ratios, and the names of
+#: estimates, factors and a series' fields (INDEXED to FIELDS).
 INDEXED = ("^VIX", "^GSPC")
 RETURNS = ("adj_mktcap", "vol", "comm_^GSPC_close", "comm_^IXIC_close", "comm_^RUT_close", "comm_XLK_close", "comm_XLF_close", "comm_XLE_close", "comm_XLV_close", "comm_XLI_close", "comm_^VIX_close", "comm_^VXN_close", "comm_^OVX_close", "comm_^GVZ_close")
 SECTORS = ("XLK", "XLF", "XLE", "XLV", "XLI")
@@ -34,9 +36,9 @@ FIELDS = ("open", "high", "low", "close", "volume")
 
 def indicators(df: DataFrame, open_: str = "openprc", high: str = "askhi", low: str = "bidlo", close: str = "adj_prc", vol: str = "vol", prefix: str = "ti_", entity: str = "permno", date: str = "date", recursive: bool = True) -> DataFrame:
     """All indicators of an entity's history; those that carry state from row to row only if `recursive`."""
+    df = recursive_indicators(df, high, low, close, prefix, entity, date) if recursive else df
     out = X.windowed_indicators(df, open_, high, low, close, vol, prefix, entity, date).drop(f"{prefix}tr")
-    out = out.withColumns({f"{prefix}skew_63": X.skew(close, entity=entity, date=date), f"{prefix}kurt_63": X.kurtosis(close, entity=entity, date=date)})
-    return recursive_indicators(out, high, low, close, prefix, entity, date) if recursive else out
+    return out.withColumns({f"{prefix}skew_63": X.skew(close, entity=entity, date=date), f"{prefix}kurt_63": X.kurtosis(close, entity=entity, date=date)})
 
 
 def index_indicators(macro: DataFrame, series: Sequence[str] = INDEXED, date: str = "date", recursive: bool = True) -> DataFrame:
@@ -75,6 +77,9 @@ def augmented(df: DataFrame, macro: DataFrame, columns: Mapping[str, str] | None
     comm_{series}_{field}, joined by date. Columns that are not there make no features. Returns are logs of 1 + ret, which holds
     dividends. Windows of an entity share one specification; the two tables of a row a date are joined.
     """
+    names = dict(columns or {})
+    if recursive:  # first, while rows are narrow
+        df = recursive_indicators(df, *(names.get(k, v) for k, v in (("high", "askhi"), ("low", "bidlo"), ("close", "adj_prc"))))
     out = P.by_key(df, macro, {"date": "date"})
     out = P.by_key(out, macro_features(macro), {"date": "date"})
     out = P.by_key(out, index_indicators(macro, recursive=recursive), {"date": "date"})
@@ -84,15 +89,16 @@ def augmented(df: DataFrame, macro: DataFrame, columns: Mapping[str, str] | None
         out = out.withColumn("ratio_beta_proxy", X.beta_proxy(F.col("adj_prc_logret"), F.col("comm_^GSPC_close_logret")))
     out = out.withColumn("anualized_volatility_20d", X.volatility("adj_prc_logret"))
     out = X.lead_target(X.lagged(out, LAGS), "adj_prc_logret")
-    return indicators(out, **(columns or {}), recursive=recursive)
+    return indicators(out, **names, recursive=False)
 
 
 def model_matrix(df: DataFrame, macro: DataFrame, columns: Mapping[str, str] | None = None, recursive: bool = True) -> DataFrame:
     """From a joined panel to the matrix: augmented, incomplete heads cut, columns selected, all entities on one calendar.
 
-    The target is unknown in an entity's last row, which stays.
+    The target is unknown in an entity's last row, which stays. The features are made once and stored: the calendar and the start,
+    and then the rows, are read from there.
     """
     full = augmented(df, macro, columns, recursive)
     chosen = P.model_columns(full.columns, [*RATIOS, *ESTIMATES, *FACTORS])
     features = [c for c in chosen if c != "ticker" and not c.startswith("adj_prc_logret_lead")]
-    return P.aligned(P.from_first_complete(full.select("permno", "date", *chosen), features), chosen)
+    return P.aligned(stored(P.from_first_complete(full.select("permno", "date", *chosen), features)), chosen)

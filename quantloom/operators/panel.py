@@ -232,23 +232,49 @@ def forward_filled(df: DataFrame, columns: Sequence[str], drop: Sequence[str] =
     return from_first_complete(filled(out, [*columns, *more], entity=entity, date=date), columns, entity, date)
 
 
-def densified(df: DataFrame, columns: Sequence[str], calendar: DataFrame | None = None, from_latest_start: bool = True, entity: str = "permno", date: str = "date") -> DataFrame:
-    """A row for every entity and calendar date (the union of dates, from the latest first date on), NULL where there was none.
-
-    Dates are thousands and entities the panel's: the product is the result itself.
+def _calendar(df: DataFrame, calendar: DataFrame | None, entity: str, date: str) -> tuple[list, object]:
+    """The dates of `calendar` (or of `df`) in order, and the latest of the entities' first dates in `df`: one job over two columns, a row a date to the driver."""
+    both = df.select(entity, date).groupingSets([[F.col(date)], [F.col(entity)]], F.col(date), F.col(entity)).agg(F.min(date).alias("_first"), F.grouping(entity).alias("_by_date"))
+    days = F.collect_list(F.when(F.col("_by_date") == 1, F.col("_first")))
+    one = both.agg(F.array_sort(days).alias("days"), F.max(F.when(F.col("_by_date") == 0, F.col("_first"))).alias("start")).first()
+    if calendar is None:
+        return one.days, one.start
+    return [r[0] for r in calendar.select(date).dropna().distinct().orderBy(date).collect()], one.start
+
+
+def _expanded(df: DataFrame, columns: Sequence[str], days: Sequence, start, carry: bool, entity: str, date: str) -> DataFrame:
+    """A row for every entity and each of `days` from `start` on, by expansion of gaps.
+
+    Days are numbered; a row is repeated for the days up to the entity's next row (an entity's first row also for those before
+    it), with its values on its own day alone, or, to carry them, on all days from its own on. One window over the entity's
+    history and two lookups of a table of a row a day; no product, no join back. Rows on other days count for nothing.
     """
-    days = (calendar if calendar is not None else df).select(date).distinct()
-    if from_latest_start:
-        start = df.groupBy(entity).agg(F.min(date).alias("_s")).agg(F.max("_s").alias("_s"))
-        days = days.join(F.broadcast(start), F.col(date) >= F.col("_s")).select(date)  # one row
-    return df.select(entity).distinct().crossJoin(days).join(df.select(entity, date, *columns), [entity, date], "left")
+    kind = df.schema[date].dataType.simpleString()
+    table = F.broadcast(df.sparkSession.createDataFrame([(d, i) for i, d in enumerate(days)], f"_day {kind}, _at int"))  # a row a day
+    least, n = next((i for i, d in enumerate(days) if start is None or d >= start), len(days)), len(days)
+    w, all_of = history(entity, date), Window.partitionBy(entity)
+    rows = df.select(entity, F.col(date).alias(date), *columns).join(table, F.col(date) == F.col("_day"), "left").drop("_day")
+    # Of an entity without any row on these days one row stays, for its days without values.
+    rows = rows.withColumns({"_any": F.max("_at").over(all_of), "_n": F.row_number().over(w)}).filter(F.col("_at").isNotNull() | F.col("_any").isNull() & (F.col("_n") == 1))
+    at = F.col("_at")
+    low = F.when(F.lag(F.lit(1)).over(w).isNull(), F.lit(least)).otherwise(F.greatest(at, F.lit(least)))
+    high = F.greatest(F.coalesce(F.lead(at).over(w), F.lit(n)) - 1, at)
+    rows = rows.withColumns({"_low": low, "_high": high}).filter("_high >= _low").withColumn("_to", F.explode(F.sequence("_low", "_high")))
+    own = F.col("_to") >= at if carry else F.col("_to") == at
+    named = table.withColumnRenamed("_at", "_to")
+    return rows.withColumns({c: F.when(own, F.col(c)) for c in columns}).drop(date).join(named, "_to").select(entity, F.col("_day").alias(date), *columns)
+
+
+def densified(df: DataFrame, columns: Sequence[str], calendar: DataFrame | None = None, from_latest_start: bool = True, entity: str = "permno", date: str = "date") -> DataFrame:
+    """A row for every entity and calendar date (the union of dates, from the latest first date on), NULL where there was none."""
+    days, start = _calendar(df, calendar, entity, date)
+    return _expanded(df, columns, days, start if from_latest_start else None, False, entity, date)
 
 
 def aligned(df: DataFrame, columns: Sequence[str], entity: str = "permno", date: str = "date") -> DataFrame:
-    """All entities on one calendar, gaps filled from before, also from before the calendar's start."""
-    start = df.groupBy(entity).agg(F.min(date).alias("_s")).agg(F.max("_s").alias("_s"))
-    whole = filled(densified(df, columns, from_latest_start=False, entity=entity, date=date), columns, entity=entity, date=date)
-    return whole.join(F.broadcast(start), F.col(date) >= F.col("_s")).select(entity, date, *columns)  # one row
+    """All entities on one calendar from the latest first date on, gaps filled from before, also from before the calendar's start."""
+    days, start = _calendar(df, None, entity, date)
+    return _expanded(filled(df.select(entity, date, *columns), columns, entity=entity, date=date), columns, days, start, True, entity, date)
 
 
 def even_length(df: DataFrame, multiple: int = 252, entity: str = "permno", date: str = "date") -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import features as X
 from ..operators import models as M
 from ..operators import panel as P
 from ..operators import summaries as S
-from ..operators.recursive import recursive_indicators
+from ..operators.recursive import recursive_indicators, scanned_indicators
 from ..sources import tables as T
 from .fixtures import NAMES, SERIES, Fixtures, shown, sql
 
@@ -456,6 +456,19 @@ for _final, _value in (("zero", "0"), ("mean", "(SELECT avg(close) FROM bars)"),
         return P.filled(_gaps(t), ["close"], "none", final)
 
 
+#: Every third day of the order dates: with days that no bar has, and without most that one has.
+_THIRD = "(SELECT DISTINCT date FROM macro WHERE day(date) % 3 = 0)"
+_ON_THIRD = f"(SELECT e.permno, c.date, b.close FROM (SELECT DISTINCT permno FROM bars) e CROSS JOIN {_THIRD} c LEFT JOIN bars b ON b.permno = e.permno AND b.date = c.date)"
+_BF = "first_value({0} IGNORE NULLS) OVER (PARTITION BY permno ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+for _how, _value in (("bfill", _BF.format("close")), ("both", f"coalesce({_FF.format('close')}, {_BF.format('close')})")):
+
+    @query(f"w16_reindex_{_how}", "permno date ~close", f"SELECT permno, date, {_value} AS close FROM {_ON_THIRD}")
+    def _(t, how=_how):
+        days = t.macro.select("date").filter(F.dayofmonth("date") % 3 == 0)
+        return P.filled(P.densified(t.bars, ["close"], days, from_latest_start=False), ["close"], how)
+
+
 @query("w17_even_length", "permno date", f"SELECT * FROM (SELECT permno, date, row_number() {_W} AS r, count(*) OVER (PARTITION BY permno) % 252 AS c FROM bars) WHERE r > c")
 def _(t):
     return P.even_length(t.bars)
@@ -557,6 +570,13 @@ def _(t):
     return recursive_indicators(t.bars, "high", "low", "close")
 
 
+for _days in (7, 366):
+
+    @query(f"t1_t2_t3_t6_scan_{_days}", "permno date " + " ".join(f"~ti_{n}" for n in ("rsi_14", "atr_14", "atr_7", "macd_12_26", "adx_14")), _RECURSIVE)
+    def _(t, days=_days):
+        return scanned_indicators(t.bars, "high", "low", "close", block_days=days)
+
+
 #: Stand-ins for macro series: prices of an order priority each; the first without volume, the last with closes alone.
 _MACRO = {"^VIX": ("p1", 0.0), "^GSPC": ("p2", 1e6), "^IXIC": ("p3", None), "^RUT": ("p4", None), "XLK": ("p5", None)}
 

@@ -72,6 +72,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once to storage that all executors share and read back: what reads them more than once doesn't make them again."""
+    df.write.parquet(path := scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def half_open(df: DataFrame, start: str | None, end: str | None, column: str = "date") -> DataFrame:
     """Rows of [start, end); a bound of None is open. Reaches the scan as a pushed filter."""
     if start is not None:

@@ -140,6 +140,68 @@ def test_recursive_against_pandas():
         assert np.array_equal(f(150), f(200)[:150], equal_nan=True)  # nothing looks ahead
 
 
+def _prices(n, gaps):
+    rng = np.random.default_rng(n)
+    c = np.cumsum(rng.normal(size=n)) + 80
+    h, low = c + rng.random(n), c - rng.random(n)
+    for x in (h, low, c) if gaps else ():
+        x[rng.random(n) < 0.1] = np.nan
+    return h, low, c
+
+
+def test_recursive_state_goes_on_from_batch_to_batch():
+    for gaps in (False, True):
+        h, low, c = _prices(500, gaps)
+        whole = R.History()(h, low, c)
+        for size in (1, 7, 499):
+            state = R.History()
+            parts = [state(h[i : i + size], low[i : i + size], c[i : i + size]) for i in range(0, 500, size)]
+            assert all(np.array_equal(np.concatenate([p[n] for p in parts]), whole[n], equal_nan=True) for n in R.NAMES)
+
+
+def test_smoothings_compose():
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(300) < 0.3, np.nan, rng.normal(size=300))
+    x[:20] = np.nan
+    want = R.smoothed(x, 0.2)
+    for size in (1, 7, 1000):
+        blocks = [x[i : i + size] for i in range(0, 300, size)]
+        maps = [R.affine(b, 0.2) for b in blocks]
+        starts = R.composed([tuple(y[-1] for y in m) for m in maps])
+        got = np.concatenate([u if np.isnan(s) else a * s + b for s, (a, b, u) in zip(starts, maps)])
+        assert np.allclose(got, want, equal_nan=True)
+
+
+def test_scan_over_blocks_equals_the_stream(spark):
+    rows = []
+    for entity, n, gaps in ((1, 400, False), (2, 5, False), (3, 300, True), (4, 1, False)):
+        rows += [(entity, dt.date(2020, 1, 1) + dt.timedelta(days=i), *(None if np.isnan(v) else float(v) for v in x)) for i, x in enumerate(zip(*_prices(n, gaps)))]
+    df = spark.createDataFrame(rows, "permno long, date date, askhi double, bidlo double, adj_prc double")
+    key = lambda out: {(r.permno, r.date): r for r in out.collect()}
+    want = key(R.recursive_indicators(df))
+    assert len(want) == len(rows) and any(r.ti_adx_14 is not None for r in want.values())
+    for days in (1, 7, 1000):
+        got = key(R.scanned_indicators(df, block_days=days))
+        assert got.keys() == want.keys()
+        for k, r in want.items():
+            for n in R.NAMES[:-1]:
+                a, b = r[f"ti_{n}"], got[k][f"ti_{n}"]
+                assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-6), (days, k, n, a, b)
+    assert R.scanned_indicators(df.limit(0)).collect() == [] and R.recursive_indicators(df.limit(0)).collect() == []
+
+
+def test_densify_on_a_calendar_of_ones_own(spark):
+    df = panel(spark, [(1, D[1], 1.0, "a"), (1, D[4], 4.0, "a"), (2, D[9], 9.0, "a"), (3, D[2], 3.0, "a"), (3, D[2], 3.5, "a")])
+    days = spark.createDataFrame([(D[i],) for i in (0, 2, 4, 4, 5)] + [(None,)], "date date")
+    got = [(r.permno, r.date.day, r.x) for r in P.densified(df, ["x"], days, from_latest_start=False).collect()]
+    want = [(e, d, {(1, 5): 4.0}.get((e, d))) for e in (1, 2) for d in (1, 3, 5, 6)] + [(3, 1, None), (3, 3, 3.0), (3, 3, 3.5), (3, 5, None), (3, 6, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert P.densified(df, ["x"], days).count() == 0  # entity 2 starts behind the last of these days
+    assert P.densified(df.limit(0), ["x"]).count() == 0 and P.aligned(df.limit(0), ["x"]).count() == 0
+    plan = P.aligned(df, ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_folds_and_split(spark):
     df = spark.createDataFrame([(d,) for d in D], "date date")
     g = M.fold_geometry(30, 4)
