@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions.numeric import ratio
+from ..sources.tables import stored
 from . import allocate as A
 from .features import volatility
 from .panel import latest
@@ -26,6 +30,61 @@ def portfolio_returns(weights: DataFrame, ret: str = "target", by: Sequence[str]
     return weights.groupBy(*by, "date").agg(F.coalesce(F.sum(F.col("w") * F.col(ret)), F.lit(0.0)).alias("port_ret"))
 
 
+def user_weights(df: DataFrame, weigh: Callable[[pd.DataFrame], Sequence[float]], by: Sequence[str] = ("scoring", "date")) -> DataFrame:
+    """`df` with w and error: weights of a user's function, which gets a cross-section (the rows of equal keys, by permno) and returns a number a row.
+
+    Where it raises, or returns something else, or a number that isn't finite, all weights of the cross-section are 0 and error says
+    why; other cross-sections go on. A cross-section is a date's entities: it fits a task.
+    """
+    schema = StructType([*df.schema.fields, StructField("w", DoubleType()), StructField("error", StringType())])
+
+    def weighed(rows: pd.DataFrame) -> tuple[np.ndarray, str | None]:
+        try:
+            w = np.array([float(x) for x in weigh(rows.reset_index(drop=True))])
+            if w.shape != (len(rows),) or not np.isfinite(w).all():
+                raise ValueError(f"{len(rows)} finite weights are wanted, not {w.tolist()[:5]}")
+            return w, None
+        except Exception as e:  # whatever a user's function raises is a result
+            return np.zeros(len(rows)), f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cross-sections stream by in order; the last one of a batch may go on in the next."""
+        held: list[pd.DataFrame] = []
+
+        def done(rows: pd.DataFrame, ends: np.ndarray) -> pd.DataFrame:
+            found = [weighed(rows.iloc[a:b]) for a, b in zip([0, *ends], ends)]
+            errors = np.repeat(np.array([e for _, e in found], object), np.diff(ends, prepend=0))
+            return rows.assign(w=np.concatenate([w for w, _ in found]), error=errors)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pd.concat([*held, batch], ignore_index=True)
+            new = np.zeros(len(rows), bool)
+            for k in by:
+                a, b = rows[k].to_numpy()[1:], rows[k].to_numpy()[:-1]
+                new[1:] |= (a != b) & ~(pd.isna(a) & pd.isna(b))
+            cuts = np.flatnonzero(new)
+            last = int(cuts[-1]) if len(cuts) else 0
+            held = [rows.iloc[last:]]
+            if last:
+                yield done(rows.iloc[:last], cuts)
+        if held:
+            yield done(held[0].reset_index(drop=True), np.array([len(held[0])]))
+
+    return df.repartition(*by).sortWithinPartitions(*by, "permno").mapInPandas(run, schema)
+
+
+def user_backtest(df: DataFrame, weigh: Callable[[pd.DataFrame], Sequence[float]], name: str, by: Sequence[str] = ("scoring", "date")) -> tuple[DataFrame, DataFrame]:
+    """(weights, errors) of a user's allocation over all scorings: weights as grid_weights has them, and a row a failed cross-section with its error.
+
+    The function runs once a cross-section; its weights are stored for both.
+    """
+    rows = stored(user_weights(long_scores(scores(df)), weigh, by).withColumn("allocation", F.lit(name)))
+    errors = rows.filter(F.col("error").isNotNull()).groupBy(*by, "allocation").agg(F.max("error").alias("error"), F.count("*").alias("n"))
+    return rows.drop("error"), errors
+
+
 def positions(weights: DataFrame, by: Sequence[str] = COMBO) -> DataFrame:
     """n_trades (weights other than 0) and avg_n_positions per date."""
     per_day = weights.groupBy(*by, "date").agg(F.count_if(F.col("w") != 0).alias("n"))

@@ -11,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .quantiles import median
+
 KEYS = ("permno", "date")
 FOREVER = "9999-12-31"
 
@@ -197,8 +199,10 @@ def filled(df: DataFrame, columns: Sequence[str], how: str = "ffill", final: str
         out = out.withColumns({c: filled_backward(c, entity, date) for c in columns})
     if final == "zero":
         out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in columns})
-    elif final in ("mean", "median"):
-        one = df.agg(*[(F.avg if final == "mean" else F.median)(c).alias(f"_{c}") for c in columns])
+    elif final == "median":  # selected in jobs of its own
+        out = out.withColumns({c: F.coalesce(c, F.lit(v).cast("double")) for c, v in median(df, columns).items()})
+    elif final == "mean":
+        one = df.agg(*[F.avg(c).alias(f"_{c}") for c in columns])
         out = out.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])  # one row
     return out
 

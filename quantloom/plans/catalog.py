@@ -14,6 +14,8 @@ from ..operators import backtest as B
 from ..operators import features as X
 from ..operators import models as M
 from ..operators import panel as P
+from ..operators import quantiles as Q
+from ..operators import running as U
 from ..operators import summaries as S
 from ..operators.recursive import recursive_indicators, scanned_indicators
 from ..sources import tables as T
@@ -273,6 +275,12 @@ def _(t):
     return S.distribution(t.returns, "ret")
 
 
+@query("ag17_quantiles", "name ~q05 ~q50 ~q95", "SELECT 'close' AS name, quantile_cont(close, 0.05) AS q05, quantile_cont(close, 0.5) AS q50, quantile_cont(close, 0.95) AS q95 FROM bars UNION ALL SELECT 'vol', quantile_cont(vol, 0.05), quantile_cont(vol, 0.5), quantile_cont(vol, 0.95) FROM bars")
+def _(t):
+    found = Q.quantiles(t.bars, {"close": [0.05, 0.5, 0.95], "vol": [0.05, 0.5, 0.95]})
+    return t.spark.createDataFrame([(c, *x) for c, x in found.items()], "name string, q05 double, q50 double, q95 double")
+
+
 @query("ag3_class_balance", "#label #n ~pct", "SELECT label, n, 100.0 * n / sum(n) OVER () AS pct FROM (SELECT CAST(target > 0 AS INT) AS label, count(*) AS n FROM signals WHERE target IS NOT NULL GROUP BY 1)")
 def _(t):
     return S.class_balance(t.signals, "target")
@@ -394,6 +402,13 @@ def _(t):
     return P.filled(_gaps(t), ["close", "vol"])
 
 
+for _days in (7, 366):
+
+    @query(f"w6_forward_fill_blocks_{_days}", "permno date ~close ~vol", f"SELECT permno, date, {_FF.format('close')} AS close, {_FF.format('vol')} AS vol FROM {_GAPS}")
+    def _(t, days=_days):
+        return U.filled_forward_in_blocks(_gaps(t), ["close", "vol"], block_days=days)
+
+
 @query("w7_fill_both", "permno date ~close", f"SELECT permno, date, coalesce({_FF.format('close')}, {_BF.format('close')}) AS close FROM {_GAPS}")
 def _(t):
     return P.filled(_gaps(t), ["close"], "both")
@@ -421,6 +436,11 @@ def _(t):
     return P.from_first_complete(_holes(t), ["close", "vol"])
 
 
+@query("w10_from_first_complete_blocks", "permno date ~close", f"SELECT * FROM (SELECT *, max(CAST(close IS NOT NULL AND vol IS NOT NULL AS INT)) OVER (PARTITION BY permno ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM {_HOLES}) WHERE o = 1")
+def _(t):
+    return U.from_first_complete_in_blocks(_holes(t), ["close", "vol"], block_days=30)
+
+
 @query("w11_forward_fill_and_trim", "permno date ~close", f"SELECT * FROM (SELECT permno, date, CASE WHEN count(close) OVER (PARTITION BY permno) = 0 THEN -9999 ELSE {_FF.format('close')} END AS close FROM {_HOLES}) WHERE close IS NOT NULL")
 def _(t):
     return P.forward_filled(_holes(t), ["close"], drop=["vol", "absent"])
@@ -459,7 +479,6 @@ for _final, _value in (("zero", "0"), ("mean", "(SELECT avg(close) FROM bars)"),
 #: Every third day of the order dates: with days that no bar has, and without most that one has.
 _THIRD = "(SELECT DISTINCT date FROM macro WHERE day(date) % 3 = 0)"
 _ON_THIRD = f"(SELECT e.permno, c.date, b.close FROM (SELECT DISTINCT permno FROM bars) e CROSS JOIN {_THIRD} c LEFT JOIN bars b ON b.permno = e.permno AND b.date = c.date)"
-_BF = "first_value({0} IGNORE NULLS) OVER (PARTITION BY permno ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
 for _how, _value in (("bfill", _BF.format("close")), ("both", f"coalesce({_FF.format('close')}, {_BF.format('close')})")):
 
@@ -479,6 +498,11 @@ def _(t):
     return B.equity(B.portfolio_returns(B.grid_weights(t.signals)))
 
 
+@query("w19_w20_w21_equity_blocks", "scoring allocation date ~equity_log ~equity_simple ~drawdown", "SELECT * FROM curve")
+def _(t):
+    return U.equity_in_blocks(T.stored(B.portfolio_returns(B.grid_weights(t.signals))), block_days=91)
+
+
 @query("w23_overlap", "#custkey #orderkey overlap", "SELECT custkey, orderkey, coalesce(lead(namedt) OVER (PARTITION BY custkey ORDER BY namedt, orderkey) <= coalesce(e, DATE '9999-12-31'), false) AS overlap FROM (SELECT *, CASE WHEN orderkey % 3 = 0 THEN CAST(nameenddt + INTERVAL 2 DAY AS DATE) ELSE nameenddt END AS e FROM intervals)")
 def _(t):
     rows = t.intervals.withColumn("e", F.when(F.col("orderkey") % 3 == 0, F.date_add("nameenddt", 2)).otherwise(F.col("nameenddt")))
@@ -780,6 +804,27 @@ def _(t):
     return B.metrics(B.portfolio_returns(B.grid_weights(t.signals, ("A3",)).filter("scoring = 'S2'")))
 
 
+def _own_weights(rows):
+    """A user's allocation: the net long half over the positive scores, in equal parts; it has no answer for the 13th."""
+    if rows["date"].iloc[0].day == 13:
+        raise ValueError("no weights today")
+    up = rows["score"] > 0
+    return up * (0.5 / max(int(up.sum()), 1))
+
+
+_OWN = "CASE WHEN day(date) = 13 OR score IS NULL OR score <= 0 THEN 0 ELSE 0.5 / count(*) FILTER (WHERE score > 0) OVER (PARTITION BY scoring, date) END"
+
+
+@query("r2_user_allocation", "scoring allocation date ~port_ret", f"SELECT scoring, 'own' AS allocation, date, coalesce(sum(w * target), 0) AS port_ret FROM (SELECT *, {_OWN} AS w FROM scored) GROUP BY scoring, date")
+def _(t):
+    return B.portfolio_returns(B.user_backtest(t.signals, _own_weights, "own")[0])
+
+
+@query("r2_user_errors", "scoring date allocation error #n", "SELECT scoring, date, 'own' AS allocation, 'ValueError: no weights today' AS error, count(*) AS n FROM scored WHERE day(date) = 13 GROUP BY scoring, date")
+def _(t):
+    return B.user_backtest(t.signals, _own_weights, "own")[1]
+
+
 @query("r4_equity_curve", "scoring allocation date ~equity_log", "SELECT scoring, allocation, date, 1000 * equity_log AS equity_log FROM curve WHERE scoring = 'S1'")
 def _(t):
     return B.equity(B.portfolio_returns(B.grid_weights(t.signals).filter("scoring = 'S1'")), capital=1000.0)
@@ -820,6 +865,16 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query("src12_report_by_runs", "scoring allocation date freq ~strategy ~excess", f"SELECT *, strategy - rf AS excess, 'daily' AS freq FROM ({_REPORT})")
+def _(t):
+    """Runs of some pairs at a time leave the others' rows, and a repeated run changes nothing."""
+    rows = T.stored(B.report(B.portfolio_returns(B.grid_weights(t.signals)), t.factors.select("date", (0.01 * F.col("f2")).alias("mktrf"), (0.001 * F.col("f1")).alias("rf")), days=t.bars))
+    path = T.scratch(t.spark)
+    for part in ("scoring = 'S1'", "scoring <> 'S1' AND allocation = 'A1'", "scoring <> 'S1'", "allocation = 'A3'"):
+        T.write_report(rows.filter(part), path)
+    return t.spark.read.parquet(path)
+
+
 _TRADES = "SELECT permno, prob_up, expected_return, w AS weight, abs(score) AS conviction, CASE WHEN w > 0 THEN 'BUY' ELSE 'SELL-SHORT' END AS action FROM weights WHERE scoring = 'S1' AND allocation = 'A1' AND date = (SELECT max(date) FROM bars) AND w <> 0"
 
 

@@ -103,8 +103,12 @@ def widened(long: DataFrame, series: Sequence[str], values: Mapping[str, Column]
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Report rows by scoring, allocation and frequency."""
-    df.write.mode("overwrite").partitionBy("scoring", "allocation", "freq").parquet(path)
+    """Report rows by scoring, allocation and frequency. Those of the combinations that `df` has replace what was there, others stay.
+
+    Files are staged and moved into place when the job commits, so a run that breaks leaves the report as it was, and one that is
+    repeated changes nothing.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scoring", "allocation", "freq").parquet(path)
 
 
 def write_macro(df: DataFrame, folder: str, name: str = "common_features") -> str:

@@ -12,7 +12,9 @@ from quantloom.operators import augment as G
 from quantloom.operators import backtest as B
 from quantloom.operators import models as M
 from quantloom.operators import panel as P
+from quantloom.operators import quantiles as Q
 from quantloom.operators import recursive as R
+from quantloom.operators import running as U
 from quantloom.operators import summaries as S
 from quantloom.operators.signals import signals
 from quantloom.sources import tables as T
@@ -202,6 +204,62 @@ def test_densify_on_a_calendar_of_ones_own(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(8)
+    columns = {"even": rng.normal(size=4000), "ties": np.repeat([1.0, 2.0, 2.0, 7.0], 1000), "wide": np.exp(rng.normal(size=4000) * 40) * rng.choice([-1, 1], 4000), "gaps": np.where(rng.random(4000) < 0.5, np.nan, rng.random(4000)), "none": np.full(4000, np.nan)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns.values())], ", ".join(f"{c} double" for c in columns)).repartition(5)
+    asked = [0.0, 0.05, 0.25, 0.5, 0.75, 0.999, 1.0]
+    for most, accuracy in ((20_000, 10_000), (200, 200), (1, 500)):
+        got = Q.quantiles(df, {c: asked for c in columns}, most, accuracy)
+        for c, x in columns.items():
+            known = x[~np.isnan(x)]
+            want = np.quantile(known, asked).tolist() if len(known) else [None] * len(asked)
+            assert got[c] == (pytest.approx(want, rel=1e-12) if len(known) else want), (c, most)
+    assert Q.median(df.limit(0), ["even"]) == {"even": None} and Q.quantiles(df, {}) == {}
+    with pytest.raises(ValueError):
+        Q.quantiles(df, {"even": [1.5]})
+
+
+def test_running_blocks_equal_one_window(spark):
+    rng = np.random.default_rng(6)
+    rows = [(e, dt.date(2020, 1, 1) + dt.timedelta(days=int(i)), None if rng.random() < 0.3 else float(rng.normal())) for e, n in ((1, 300), (2, 1), (None, 40)) for i in sorted(rng.choice(900, n, replace=False))]
+    df = spark.createDataFrame(rows, "permno long, date date, x double")
+    kinds = {k: (k, F.col("x")) for k in U.KINDS}
+    w = P.until_now()
+    want = df.withColumns({k: KIND(F.col("x")).over(w) for k, (KIND, _) in U.KINDS.items()})
+    key = lambda out: sorted(((str(r.permno), r.date, *(None if r[k] is None else round(r[k], 9) for k in kinds)) for r in out.collect()), key=str)
+    for days in (1, 7, 1000):
+        assert key(U.running(df, kinds, block_days=days)) == key(want)
+    assert U.running(df.limit(0), kinds).count() == 0
+    with pytest.raises(ValueError):
+        U.running(df, {"y": ("mode", F.col("x"))})
+
+
+def test_user_weights_fail_by_date(spark):
+    rows = [(e, d, float(e), 0.01 * e) for d in D[:4] for e in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "permno long, date date, score double, target double")
+
+    def weigh(day):
+        k = day["date"].iloc[0].day
+        if k == 2:
+            raise KeyError("gone")
+        return [1.0] if k == 3 else [float("nan")] * 3 if k == 4 else day["score"] / day["score"].sum()
+
+    out = B.user_weights(df, weigh, by=("date",)).orderBy("date", "permno").collect()
+    assert [r.w for r in out] == [1 / 6, 2 / 6, 3 / 6] + [0.0] * 9
+    assert [r.error and r.error.split(":")[0] for r in out[::3]] == [None, "KeyError", "ValueError", "ValueError"]
+
+
+def test_report_runs_of_different_pairs_leave_each_other(spark, tmp_path):
+    row = lambda s, a, x: (s, a, "daily", D[0], x)
+    put = lambda rows: T.write_report(spark.createDataFrame(rows, "scoring string, allocation string, freq string, date date, strategy double"), f"{tmp_path}/r")
+    put([row("S1", "A1", 1.0), row("S1", "A2", 2.0)])
+    for _ in range(2):
+        put([row("S2", "A1", 3.0), row("S1", "A1", 4.0)])
+    got = {(r.scoring, r.allocation): r.strategy for r in spark.read.parquet(f"{tmp_path}/r").collect()}
+    assert got == {("S1", "A1"): 4.0, ("S1", "A2"): 2.0, ("S2", "A1"): 3.0} and spark.read.parquet(f"{tmp_path}/r").count() == 3
+
+
 def test_folds_and_split(spark):
     df = spark.createDataFrame([(d,) for d in D], "date date")
     g = M.fold_geometry(30, 4)
