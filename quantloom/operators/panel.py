@@ -113,20 +113,40 @@ def model_columns(columns: Sequence[str], lists: Sequence[str] = (), index: str
 # Joins
 
 
-def interval_join(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Rows with the intervals of equal key that hold their date: [start, end], a NULL end open. The key is hashed, the range a residual."""
-    cond = F.lit(True)
-    for a, b in on.items():
-        cond = cond & (df[a] == spans[b])
-    return df.join(spans, cond & (df[at] >= spans[start]) & (df[at] <= F.coalesce(spans[end], F.lit(FOREVER).cast("date"))), how)
-
-
-def as_of_interval(df: DataFrame, spans: DataFrame, on: Mapping[str, str], row: Sequence[str], at: str, start: str, end: str, ties: Sequence[str] = (), drop_uncovered: bool = False) -> DataFrame:
+def _bucketed(df: DataFrame, spans: DataFrame, at: str, start: str, end: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """`df` with the bucket of days of each row, `_in`; `spans` once for each bucket that an interval touches, `_bucket`, within those of `df`."""
+    number = lambda c: F.floor(F.unix_date(F.to_date(c)) / days).cast("int")
+    first, last = df.agg(F.min(number(F.col(at))), F.max(number(F.col(at)))).first()
+    first, last = (0, -1) if first is None else (first, last)  # no dates, no buckets
+    low = F.greatest(number(F.col(start)), F.lit(first).cast("int"))
+    high = F.least(number(F.coalesce(F.col(end), F.lit(FOREVER).cast("date"))), F.lit(last).cast("int"))
+    cut = spans.withColumns({"_low": low, "_high": high}).filter(F.col(start).isNotNull() & (F.col("_high") >= F.col("_low")))
+    return df.withColumn("_in", number(F.col(at))), cut.withColumn("_bucket", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+
+
+def interval_join(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, how: str = "inner", bucket_days: int | None = None) -> DataFrame:
+    """Rows with the intervals of equal key that hold their date: [start, end], a NULL end open. The key is hashed, the range a residual.
+
+    bucket_days: intervals are cut at the borders of buckets of so many days, and key and bucket are hashed: a row meets the intervals
+    of its bucket alone, and a key with most of all rows is as many groups as there are buckets. One job finds the range of dates.
+    """
+    if bucket_days:
+        df, spans = _bucketed(df, spans, at, start, end, bucket_days)
+    left, right = df.alias("_left"), spans.alias("_right")
+    of = lambda side, c: F.col(f"{side}.`{c}`")
+    cond = (of("_left", at) >= of("_right", start)) & (of("_left", at) <= F.coalesce(of("_right", end), F.lit(FOREVER).cast("date")))
+    for a, b in {**on, **({"_in": "_bucket"} if bucket_days else {})}.items():
+        cond = cond & (of("_left", a) == of("_right", b))
+    out = left.join(right, cond, how)
+    return out.drop("_in", "_bucket") if bucket_days else out
+
+
+def as_of_interval(df: DataFrame, spans: DataFrame, on: Mapping[str, str], row: Sequence[str], at: str, start: str, end: str, ties: Sequence[str] = (), drop_uncovered: bool = False, bucket_days: int | None = None) -> DataFrame:
     """Every row of `df` once, with the interval that holds its date and starts last; rows without one keep NULLs, or go if drop_uncovered.
 
-    row: columns that tell rows of `df` apart. ties: further columns of `spans`, ascending, between equal starts.
+    row: columns that tell rows of `df` apart. ties: further columns of `spans`, ascending, between equal starts. bucket_days: as in interval_join.
     """
-    joined = interval_join(df, spans, on, at, start, end, "inner" if drop_uncovered else "left")
+    joined = interval_join(df, spans, on, at, start, end, "inner" if drop_uncovered else "left", bucket_days)
     order = Window.partitionBy(*row).orderBy(F.col(start).desc_nulls_last(), *ties)
     return joined.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 

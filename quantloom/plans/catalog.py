@@ -16,6 +16,7 @@ from ..operators import models as M
 from ..operators import panel as P
 from ..operators import quantiles as Q
 from ..operators import running as U
+from ..operators import strategy as Y
 from ..operators import summaries as S
 from ..operators.recursive import recursive_indicators, scanned_indicators
 from ..sources import tables as T
@@ -174,12 +175,17 @@ def _(t):
     return P.interval_join(t.shipped, t.intervals, {"cust": "custkey"}, "date", "namedt", "nameenddt")
 
 
+@query("j1_interval_join_buckets", "#l_orderkey #line #partkey label namedt date", "SELECT * FROM shipped JOIN intervals ON custkey = cust AND date >= namedt AND date <= coalesce(nameenddt, DATE '9999-12-31')")
+def _(t):
+    return P.interval_join(t.shipped, t.intervals, {"cust": "custkey"}, "date", "namedt", "nameenddt", bucket_days=31)
+
+
 _ROW = ("l_orderkey", "line", "partkey", "suppkey", "price", "quantity")
-for _name, _drop in (("j2_as_of_interval", False), ("q1_as_of_interval_inner", True)):
+for _name, _drop, _days in (("j2_as_of_interval", False, None), ("q1_as_of_interval_inner", True, None), ("j2_as_of_interval_buckets", False, 31)):
 
     @query(_name, "#l_orderkey #line #partkey label namedt", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_ROW)} ORDER BY namedt DESC NULLS LAST, orderkey) AS rn FROM shipped {'' if _drop else 'LEFT '}JOIN intervals ON custkey = cust AND date >= namedt AND date <= coalesce(nameenddt, DATE '9999-12-31')) WHERE rn = 1")
-    def _(t, drop=_drop):
-        return P.as_of_interval(t.shipped, t.intervals, {"cust": "custkey"}, _ROW, "date", "namedt", "nameenddt", ["orderkey"], drop)
+    def _(t, drop=_drop, days=_days):
+        return P.as_of_interval(t.shipped, t.intervals, {"cust": "custkey"}, _ROW, "date", "namedt", "nameenddt", ["orderkey"], drop, days)
 
 
 @query("j3_factors_by_date", "permno date ~close ~f1 ~f2", "SELECT permno, date, close, f1, f2 FROM bars LEFT JOIN factors USING (date)")
@@ -712,6 +718,29 @@ def _(t):
     return t.spark.createDataFrame(found, "model string, l1_ratio double, setting double, error double, combo_order int")
 
 
+@query("m8_m9_ag18_refit", "model ~l1_ratio ~setting ~error chosen ~refit_error")
+def _(t):
+    """The least error of each l1_ratio over the whole grids, the setting chosen of all, and the refitted model's error out of sample."""
+    rows, names = _features(t)
+    rows = T.stored(rows)
+    out = []
+    for model, grid, logistic in (("logistic", Y.LOGISTIC, True), ("linear", Y.LINEAR, False)):
+        found = Y.tuned(rows.filter("in_sample"), names, "ret_lead1", grid, logistic)
+        tried = found.model.scored(rows.filter("NOT in_sample AND ret_lead1 IS NOT NULL"), "called").dropna(subset=["called"])
+        wrong = F.avg(((F.col("called") > 0.5) != (F.col("ret_lead1") > 0)).cast("double")) if logistic else F.sqrt(F.avg((F.col("called") - F.col("ret_lead1")) ** 2))
+        error = tried.agg(wrong).first()[0]
+        out += [(model, x["l1_ratio"], x["C" if logistic else "alpha"], x["error"], x == found.best, error if x == found.best else None) for x in found.per_ratio()]
+    return t.spark.createDataFrame(out, "model string, l1_ratio double, setting double, error double, chosen boolean, refit_error double")
+
+
+@query("r11_fit_to_trades", "permno ~prob_up ~expected_return ~weight ~conviction action scoring allocation")
+def _(t):
+    """From features to trades in one run: both grids, refit, scores, the whole backtest, the best pair, the next day."""
+    rows, names = _features(t)
+    run = Y.fit_to_trades(rows.drop("in_sample"), names, "ret", "ret_lead1")
+    return run.trades.withColumns({"scoring": F.lit(run.scoring), "allocation": F.lit(run.allocation)})
+
+
 @query("m13_top_predictors", "feature ~coefficient")
 def _(t):
     rows, names = _features(t)

@@ -58,6 +58,58 @@ def test_intervals(spark):
     assert found == {"start_after_end": 0, "overlap": 1}
 
 
+def test_bucketed_intervals(spark):
+    rng = np.random.default_rng(5)
+    day = lambda i: dt.date(2019, 1, 1) + dt.timedelta(days=int(i))
+    rows = spark.createDataFrame([(i, int(rng.integers(0, 3)), None if i % 50 == 0 else day(rng.integers(0, 800))) for i in range(500)], "id long, k long, at date")
+    spans = [(int(rng.integers(0, 3)), a, a + int(rng.integers(-3, 90))) for a in rng.integers(-500, 1500, 150).tolist()]
+    spans = spark.createDataFrame([(k, None if i == 3 else day(a), None if i % 9 == 0 else day(b), i) for i, (k, a, b) in enumerate(spans)], "k long, a date, b date, n long")
+    key = lambda out: sorted(map(str, out.collect()))
+    for how in ("inner", "left"):
+        want = key(P.interval_join(rows, spans, {"k": "k"}, "at", "a", "b", how))
+        assert len(want) > 500
+        for days in (1, 7, 365, 100_000):
+            assert key(P.interval_join(rows, spans, {"k": "k"}, "at", "a", "b", how, days)) == want
+    empty = rows.limit(0)
+    assert P.interval_join(empty, spans, {"k": "k"}, "at", "a", "b", "left", 7).count() == 0
+    assert P.interval_join(rows, spans.limit(0), {"k": "k"}, "at", "a", "b", "left", 7).count() == 500
+    same = rows.select("id", "k", F.col("at").alias("a"))  # both sides from one table
+    assert P.interval_join(same, same.withColumn("b", F.col("a")), {"id": "id"}, "a", "a", "b").count() == 490
+
+
+def test_one_key_with_all_intervals(spark):
+    import time
+
+    days = F.date_add(F.lit(dt.date(1990, 1, 1)), (F.col("id") % 12_000).cast("int"))
+    rows = spark.range(100_000).select("id", F.lit(1).alias("k"), days.alias("at"))
+    spans = spark.range(100_000).select(F.lit(1).alias("k"), days.alias("a"), F.date_add(days, 1).alias("b"), F.col("id").alias("n"))
+    began = time.time()
+    out = P.as_of_interval(rows, spans, {"k": "k"}, ["id"], "at", "a", "b", ["n"], bucket_days=2)
+    assert out.select("id", "n").filter("n % 12000 = id % 12000").count() == 100_000 and time.time() - began < 120
+
+
+def test_tuning_and_the_run_to_trades(spark):
+    from quantloom.operators import strategy as Y
+    from quantloom.plans.catalog import _features
+    from quantloom.plans.fixtures import Fixtures
+
+    rows, names = _features(Fixtures(spark, "/root/testdata/sf0.001"))
+    rows = T.stored(rows)
+    grids = {"C": (0.1, 1.0), "l1_ratio": (0.8, 0.9)}, {"alpha": (1e-3, 1e-4), "l1_ratio": (0.4, 0.6)}
+    run = Y.fit_to_trades(rows.drop("in_sample"), names, "ret", "ret_lead1", *grids, folds=3)
+    inside = rows.filter("in_sample")
+    assert len(run.up.found) == len(run.mean.found) == 4 and run.up.best == M.best_setting(run.up.found)
+    assert [x["l1_ratio"] for x in run.up.per_ratio()] == [0.8, 0.9] and min(x["error"] for x in run.up.per_ratio()) == run.up.best["error"]
+    want = M.fit_linear(inside, names, "ret_lead1", run.mean.best["alpha"], run.mean.best["l1_ratio"])
+    assert np.allclose(run.mean.model.coefficients, want.coefficients) and np.isclose(run.mean.model.intercept, want.intercept)
+    best = max((r for r in run.metrics.filter("in_sample").collect()), key=lambda r: r.sharpe)
+    assert np.isclose(best.sharpe, run.metrics.filter((F.col("scoring") == run.scoring) & (F.col("allocation") == run.allocation) & F.col("in_sample")).first().sharpe)
+    assert run.metrics.count() == 30 and run.classification.count() == 2 and run.regression.first().rmse > 0
+    last = rows.agg(F.max("date")).first()[0]
+    trades = run.trades.collect()
+    assert {r.permno for r in trades} <= {r.permno for r in rows.filter(F.col("date") == last).collect()} and all(r.weight for r in trades)
+
+
 def test_cleaning_thresholds_are_strict(spark):
     rows = [(1, float(i), 1.0) for i in range(1, 100)] + [(1, -5.0, 1.0)] + [(2, float(i), 1.0) for i in range(1, 99)] + [(2, -1.0, 1.0), (2, -2.0, 1.0)] + [(3, 1.0, 0.0), (3, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "permno long, prc double, cfacpr double")
