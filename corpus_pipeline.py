@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import byte_bpe, decontaminate, quality_gam, secrets, simhash
-from quantloom.llm.common import stored
+from quantloom.llm.common import discard, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's table is deleted once the next one's stands: the one that the result is read from stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        now: list[str] = []
+        docs = stored(stage(spark, docs, sf_dir), now)
+        discard(before)
+        before = now
     return STAGES[-1][1](spark, docs, sf_dir)
