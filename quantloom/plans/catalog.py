@@ -11,6 +11,7 @@ from ..functions.numeric import log1p, ratio
 from ..operators import allocate as A
 from ..operators import augment as G
 from ..operators import backtest as B
+from ..operators import build as N
 from ..operators import features as X
 from ..operators import models as M
 from ..operators import panel as P
@@ -670,6 +671,20 @@ def _(t):
     return _plain(G.model_matrix(_priced(t), macro, _COLS))
 
 
+_D1_FILLED = {c: f"CASE WHEN count({c}) OVER (PARTITION BY permno) = 0 THEN -9999 ELSE {_FF.format(c)} END" for c in ("f1", "n", "p1_avg")}
+
+
+@query("x0_joined_panel", "permno date ticker ~prc ~f1 ~n ~p1_avg", f"SELECT * FROM (SELECT *, max(CAST(f1 IS NOT NULL AND n IS NOT NULL AND p1_avg IS NOT NULL AS INT)) OVER (PARTITION BY permno ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM (SELECT permno, date, ticker, prc, " + ", ".join(f"{x} AS {c}" for c, x in _D1_FILLED.items()) + f" FROM (SELECT b.permno, b.date, 'T' || b.permno AS ticker, close AS prc, f1, d.n, p1_avg FROM bars b LEFT JOIN factors f ON f.date = b.date LEFT JOIN (SELECT key, date, CASE WHEN key % 4 = 0 THEN NULL ELSE CAST(n AS DOUBLE) END AS n FROM ({_D1})) d ON d.key = b.permno AND d.date = b.date LEFT JOIN macro m ON m.date = b.date WHERE b.permno % 6 <> 1))) WHERE o = 1")
+def _(t):
+    """Built, checked and published in one pass, then read back."""
+    name = lambda c: F.concat(F.lit("T"), F.col(c).cast("string"))
+    prices = t.bars.select("permno", "date", name("permno").alias("ticker"), F.col("close").alias("prc"), F.lit(1.0).alias("cfacpr"), F.lit(1.0).alias("cfacshr"))
+    consensus = _consensus(t).select(name("key").alias("name"), "date", F.when(F.col("key") % 4 != 0, F.col("n").cast("double")).alias("n"))
+    sides = [N.Side(t.factors, {"date": "date"}, ["f1"]), N.Side(consensus, {"ticker": "name", "date": "date"}, ["n"]), N.Side(t.macro, {"date": "date"}, ["p1_avg"])]
+    N.build(prices, sides, path := T.scratch(t.spark), [f"T{i}" for i in range(25) if i % 6 != 1])
+    return t.spark.read.parquet(path)
+
+
 # Splits and models
 
 

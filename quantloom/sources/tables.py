@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -115,3 +115,33 @@ def write_macro(df: DataFrame, folder: str, name: str = "common_features") -> st
     """The table of macro series, a row a date, as a named artifact of a snapshot folder; its path."""
     df.write.mode("overwrite").parquet(path := f"{folder}/{name}.parquet")
     return path
+
+
+def publish(df: DataFrame, path: str, rules: Mapping[str, tuple[str, Column]], drop: Sequence[str] = ()) -> list[tuple[str, str, int]]:
+    """Write, audit, publish: (rule, severity, rows that break it) of a table that is written once, and seen in the same pass.
+
+    rules: of each name, its severity and the condition of rows that break it; `drop` names columns that conditions need and the
+    table doesn't keep. The table is staged beside `path`. If a rule of severity
+    error has rows, the staged files go and ValueError names the rules: what was published before stays as it was. Else the staged
+    folder takes the place of the old one, by renames. A table without rows breaks no rule.
+    """
+    spark, seen = df.sparkSession, Observation()
+    counts = [F.count_if(F.coalesce(bad, F.lit(False))).alias(rule) for rule, (_, bad) in rules.items()]
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("_rows"), *counts).drop(*drop).write.parquet(staged)
+    found = [(rule, severity, int(seen.get[rule])) for rule, (severity, _) in rules.items()]
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if bad := [f"{rule}: {n} rows" for rule, severity, n in found if severity == "error" and n]:
+        fs.delete(at(staged), True)
+        raise ValueError(f"not published: {', '.join(bad)}")
+    old = f"{staged}.old"
+    if was := fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(staged), at(path)):
+        if was:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{staged} could not be renamed to {path}")
+    if was:
+        fs.delete(at(old), True)
+    return found

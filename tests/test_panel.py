@@ -110,6 +110,26 @@ def test_tuning_and_the_run_to_trades(spark):
     assert {r.permno for r in trades} <= {r.permno for r in rows.filter(F.col("date") == last).collect()} and all(r.weight for r in trades)
 
 
+def test_a_panel_that_fails_its_checks_is_not_published(spark, tmp_path):
+    from quantloom.operators import build as N
+
+    prices = spark.createDataFrame([(e, f"T{e}", d, 10.0 * e, 1.0, 1.0) for e in (1, 2, 3) for d in D[:4]], "permno long, ticker string, date date, prc double, cfacpr double, cfacshr double")
+    side = lambda rows: N.Side(spark.createDataFrame(rows, "name string, day date, x double"), {"ticker": "name", "date": "day"}, ["x"])
+    path, good = f"{tmp_path}/panel", [("T1", D[1], 5.0), ("T2", D[0], 7.0), ("T9", D[0], 1.0), ("T9", D[0], 2.0)]
+    found = N.build(prices, [side(good)], path, ["T1", "T2"])
+    assert ("repeated_side_key", "error", 0) in found
+    rows = lambda: sorted((r.permno, r.date.day, r.x) for r in spark.read.parquet(path).collect())
+    want = [(1, 2, 5.0), (1, 3, 5.0), (1, 4, 5.0)] + [(2, d, 7.0) for d in (1, 2, 3, 4)]
+    assert rows() == want and "_copies" not in spark.read.parquet(path).columns
+    with pytest.raises(ValueError, match="repeated_side_key: 1 rows"):
+        N.build(prices, [side([*good, ("T1", D[2], 6.0), ("T1", D[2], 6.5)])], path, ["T1", "T2"])
+    with pytest.raises(ValueError, match="odd: 1 rows"):
+        N.build(prices, [side(good)], path, ["T1"], {"odd": ("error", F.col("date") == D[2])})
+    assert rows() == want and {f.name for f in tmp_path.iterdir()} == {"panel"}  # nothing staged is left
+    assert ("odd", "warn", 2) in N.build(prices, [side(good)], path, ["T1", "T2"], {"odd": ("warn", F.col("date") == D[2])})
+    assert rows() == want
+
+
 def test_cleaning_thresholds_are_strict(spark):
     rows = [(1, float(i), 1.0) for i in range(1, 100)] + [(1, -5.0, 1.0)] + [(2, float(i), 1.0) for i in range(1, 99)] + [(2, -1.0, 1.0), (2, -2.0, 1.0)] + [(3, 1.0, 0.0), (3, 2.0, 1.0)]
     df = spark.createDataFrame(rows, "permno long, prc double, cfacpr double")
