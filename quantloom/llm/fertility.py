@@ -7,7 +7,8 @@ keyboard noise fall apart into many short tokens, and boiler-plate loops into fe
 
 Bands are per language (the lang column; the script where it is null or absent) and octave of the word count, as entropy depends
 on length: the quartiles of the documents that pass the base rules, widened by `width` interquartile ranges, and by a floor. They
-are computed over all documents in one aggregation with bounded sketches per group (percentile_approx). There is no group too
+are functions of the corpus alone, however its rows are dealt: measures are compared as whole numbers of 1 / `GRID`, trends come
+from exact sums of these, and quartiles from counts of each value per group. There is no group too
 small for a band, and no size at which a rule sets in: the edges of each group are drawn towards those of the group around it,
 n to `strength` for a group of n documents. A language at an octave lies in its language, that in its script, and that in the
 fixed bands of `PRIOR`. Entropy is compared less the corpus's own trend over octaves, which is drawn towards none likewise.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, stored
@@ -36,6 +37,8 @@ WIDTH, STRENGTH = 3.5, 100
 FLOORS = {"chars_per_token": 0.08, "fallback": 0.02, "entropy": 0.06}
 #: Bands where nothing is known yet, by script (any other as the last one).
 PRIOR = {"latin": {"chars_per_token": (1.2, 8.0), "fallback": (0.0, 0.1), "entropy": (0.4, 1.0)}, "": {"chars_per_token": (0.2, 8.0), "fallback": (0.0, 1.0), "entropy": (0.3, 1.0)}}
+#: Measures are told apart to this part, so that a group has a bounded number of values.
+GRID = 100_000
 #: Which edges reject: a low and a high one.
 SIDES = {"chars_per_token": (True, True), "fallback": (False, True), "entropy": (True, False)}
 #: Bands are broadcast up to this many rows (a few hundred bytes each), and dealt to salts beyond.
@@ -251,15 +254,35 @@ def bands(measured: DataFrame, width: float = WIDTH, strength: int = STRENGTH, l
     """(script, tongue, octave, trend and middle of each entropy, and per measure _lo and _hi): a row for each group of documents that pass the base rules."""
     good = _groups(measured.filter(~failed()), lang)
     entropies = [m for m in MEASURES if kind(m) == "entropy"]
-    # The slope of entropy over octaves, as if `strength` documents more had none.
-    slope = lambda m: F.covar_pop(m, "at") * F.count(m) / (F.var_pop("at") * F.count(m) + strength)
-    told = lambda x: F.coalesce(F.round(x, 9), F.lit(0.0))  # noqa: E731  (sums of doubles differ in their last places by how rows are dealt)
-    trend = good.agg(*[told(slope(m)).alias(f"{m}_trend") for m in entropies], told(F.avg("at")).alias("middle"))
+    # The slope of entropy over octaves, as if `strength` documents more had none. Sums of whole numbers don't depend on their order.
+    whole = lambda x: F.round(x * GRID).cast("long")
+    total = lambda x: F.sum(x.cast("decimal(20,0)")).cast("double")
+    a = whole(F.col("at"))
+    sums = {"n": F.count("at").cast("double"), "x": total(a), "xx": total(a * a)}
+    for m in entropies:
+        sums |= {f"{m}_n": F.count(m).cast("double"), f"{m}_y": total(whole(F.col(m))), f"{m}_x": total(F.when(F.col(m).isNotNull(), a)), f"{m}_xy": total(a * whole(F.col(m)))}
+    row = good.agg(*[x.alias(n) for n, x in sums.items()])
+
+    def slope(m: str) -> Column:
+        n, c = F.col(f"{m}_n"), float(GRID) ** 2
+        covariance = F.try_divide(F.col(f"{m}_xy"), n) - F.try_divide(F.col(f"{m}_x"), n) * F.try_divide(F.col(f"{m}_y"), n)
+        variance = F.try_divide(F.col("xx"), F.col("n")) - F.try_divide(F.col("x"), F.col("n")) * F.try_divide(F.col("x"), F.col("n"))
+        return covariance / c * n / (variance / c * n + strength)
+
+    told = lambda x: F.coalesce(F.round(x, 9), F.lit(0.0))
+    trend = row.select(*[told(slope(m)).alias(f"{m}_trend") for m in entropies], told(F.try_divide(F.col("x"), F.col("n")) / GRID).alias("middle"))
     level = good.crossJoin(F.broadcast(trend)).withColumns({m: F.col(m) - F.col(f"{m}_trend") * (F.col("at") - F.col("middle")) for m in entropies})
-    depth = F.explode(F.array(*map(F.lit, range(3)))).alias("depth")
-    own = level.select("script", "tongue", "octave", depth, *MEASURES).withColumns({"tongue": F.when(F.col("depth") > 0, F.col("tongue")), "octave": F.when(F.col("depth") > 1, F.col("octave"))})
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MEASURES]
-    groups = own.groupBy("depth", "script", "tongue", "octave").agg(F.count("*").alias("n"), *quartiles)
+    # How often each value of each measure (-1: any row) occurs in a group, first of the smallest groups, then of those around them.
+    values = F.array(F.struct(F.lit(-1).alias("m"), F.lit(0).cast("long").alias("v")), *[F.struct(F.lit(i).alias("m"), whole(F.col(m)).alias("v")) for i, m in enumerate(MEASURES)])
+    names = ["script", "tongue", "octave"]
+    fine = level.select(*names, F.explode(values).alias("z")).select(*names, "z.m", "z.v").filter("v IS NOT NULL").groupBy(*names, "m", "v").agg(F.count("*").alias("c"))
+    spread = fine.select(*names, "m", "v", "c", F.explode(F.array(*map(F.lit, range(3)))).alias("depth")).withColumns({"tongue": F.when(F.col("depth") > 0, F.col("tongue")), "octave": F.when(F.col("depth") > 1, F.col("octave"))})
+    counts = spread.groupBy("depth", *names, "m", "v").agg(F.sum("c").alias("c"))
+    of = Window.partitionBy("depth", *names, "m")  # at most as many rows as a measure has values
+    run = counts.withColumns({"run": F.sum("c").over(of.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("c").over(of)})
+    at = lambda q: F.min(F.when(4 * F.col("run") >= q * F.col("all"), F.col("v"))) / GRID
+    found = run.groupBy("depth", *names, "m").agg(F.max("all").alias("all"), F.array(at(1), at(3)).alias("q"))
+    groups = found.groupBy("depth", *names).agg(F.max(F.when(F.col("m") == -1, F.col("all"))).alias("n"), *[F.max(F.when(F.col("m") == i, F.col("q"))).alias(m) for i, m in enumerate(MEASURES)])
 
     def edges(m: str) -> list[Column]:
         q = F.col(m)

@@ -326,6 +326,12 @@ def test_bands_against_brute_force(spark):
     assert not any(got[r["doc_id"]].kept for r in rows if r not in good)
 
 
+def test_bands_do_not_depend_on_how_rows_are_dealt(spark):
+    measured = stored(fertility.measures(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), *VOCABULARIES))
+    tables = [sorted(map(str, fertility.bands(x).collect())) for x in (measured.coalesce(1), measured.repartition(5), measured.repartition(3, "n_words"))]
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) > 10
+
+
 def test_a_text_is_judged_alike_in_small_and_large_groups(spark):
     # Garbage in a language of few, in a long octave, and of a script of its own: as rejected as in a large group.
     good = (100, 500, 0, 0, 0, "latin", 4.0, 0.0, 0.9, 4.0, 0.0, 0.9)
