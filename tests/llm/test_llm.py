@@ -805,7 +805,8 @@ def test_stages_of_odd_and_empty_tables(spark, odd, tmp_path):
             else:
                 assert len(rows) == len(ODD) and {"lang", "fp", "_row", "ids", "round_trip"} <= set(out.columns)
     odd.limit(0).select("doc_id", "text", "lang").write.parquet(f"{folder}/documents.parquet")
-    spark.read.parquet(f"{SF}/pages.parquet").limit(0).write.parquet(f"{folder}/pages.parquet")
+    for name in ("pages", "embeddings"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
     for f in QUERIES.values():
         assert f(spark, folder).count() == 0
@@ -819,8 +820,17 @@ def test_queries_of_odd_tables(spark, odd, tmp_path):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
     pages = spark.createDataFrame([(i, None if i is None else f"http://h/{i}", t, "x") for i, t in ODD], "page_id long, url string, html string, text string")
     pages.write.parquet(f"{folder}/pages.parquet")
+    vectors = [(50, [0.5] * 8, 1), (50, [0.5] * 8, 1), (None, [0.25] * 8, None), (100, None, 2), (3, [1.0, None], 2), (4, [float("nan")] * 8, 2), (150, [], 3), (6, [0.0] * 8, 3)]
+    whole = Counter(i for i, v, _ in vectors if v is not None and all(x is not None and x == x for x in v))
+    spark.createDataFrame([(*r, "x", 1) for r in vectors], "vec_id long, embedding array<float>, label int, code string, shard int").write.parquet(f"{folder}/embeddings.parquet")
     for name, f in QUERIES.items():
         rows = f(spark, folder).collect()
+        if name.startswith("op13_"):
+            assert Counter(r.vec_id for r in rows) == whole
+            continue
+        if name.startswith("op11_"):  # each query row against all whole rows but itself
+            assert Counter(r.query_id for r in rows) == {50: 8, 150: 4}
+            continue
         key = "page_id" if name.startswith(("op8_", "op9_")) else "doc_id"
         assert Counter(r[key] for r in rows) == Counter(i for i, _ in ODD), name
 
