@@ -3,9 +3,11 @@
 Words: A-Z in lower case, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. A window is `size` consecutive words of an item; an
 item of fewer words, but not none, is one window of its own length. A document word inside any occurrence is hit.
 
-The benchmark's windows are broadcast only up to `max_windows` of them (a documented bound, see WindowSet); a larger benchmark
-goes through the same scan in slices, one pass over the documents for each, whose hits are joined by document. A slice's texts
-reach the driver, which hashes them: one slice at a time. Every document is scanned whole: a polynomial
+Windows are cut and made different from each other in Spark, each with a name of its set of owners, so that rows and passages which
+repeat count once. They are broadcast only up to `max_windows` of them (a documented bound, see WindowSet); a larger benchmark
+goes through the same scan in slices by a hash of the window, one pass over the documents for each, whose hits are joined by
+document. One slice at a time reaches the driver, which makes its hash table. Items of occurring windows are named behind the scan:
+by a table that goes along while it has the same bound, or by a join. Every document is scanned whole: a polynomial
 hash of each token window is looked up in a bit table first, survivors in the sorted hashes, and then verified word by word.
 """
 
@@ -13,59 +15,75 @@ from __future__ import annotations
 
 import itertools
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, edited, stored
+from .common import bounded, discard, edited, stored
 
 SIZE = 10
 #: A-Z to lower case; the separators to blanks; 0-9, a-z and every byte from 0x80 on stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
+_SALTS = 16
 
 
 def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def item_windows(text: str, size: int = SIZE) -> Iterator[bytes]:
+    """An item's windows as words joined by blanks, in order, repeats included; of few words, all of them are one window."""
+    w = words(text)
+    n = min(size, len(w))
+    return (b" ".join(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0))
+
+
 class WindowSet:
-    """Windows by length: for each length the sorted hashes, where each window's words are among all items' and whose it is, and a bit table.
+    """Different windows by length: for each length the sorted hashes, where each window's words are, a number of its set of owners, and a bit table.
 
-    A window takes some 20 bytes, and a word of the items 4: 2 million windows are held in 60 MB and made in some 300.
+    `names` holds what is reported of each set of owners, once a set: its items, or a name of the set itself. A window of ten words
+    takes some 52 bytes: a million windows are held in 60 MB and made in some 300.
     """
 
-    def __init__(self, items: Iterable[tuple[str | None, str]], size: int = SIZE):
-        self.ids: dict[bytes, int] = {}
-        flat, bounds, self.names = array("I"), array("q", [0]), []
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int = SIZE):
+        owners: dict[bytes, set] = {}
         for item, text in items:
-            flat.extend([self.ids.setdefault(x, len(self.ids) + 1) for x in words(text or "")])
-            bounds.append(len(flat))
-            self.names.append(item)
-        self.flat, bounds = np.frombuffer(flat, "u4").copy() if flat else np.empty(0, "u4"), np.array(bounds, "i8")
-        sizes = np.diff(bounds)
+            for w in item_windows(text or "", size):
+                owners.setdefault(w, set()).add(item)
+        of = {}
+        sets = [of.setdefault(frozenset(x), len(of)) for x in owners.values()]
+        self._index(list(owners), np.array(sets, "i4"), [sorted(x for x in s if x is not None) for s in of])
+
+    @classmethod
+    def of_windows(cls, windows: Sequence[bytes], sets: np.ndarray, names: Sequence[Sequence[str]]) -> WindowSet:
+        """From different windows, the number of each one's set of owners, and the names of each set."""
+        self = cls.__new__(cls)
+        self._index(windows, sets, names)
+        return self
+
+    def _index(self, windows: Sequence[bytes], sets: np.ndarray, names: Sequence[Sequence[str]]) -> None:
+        self.ids: dict[bytes, int] = {}
+        self.names = names
+        flat, sizes = array("I"), np.empty(len(windows), "i8")
+        for i, w in enumerate(windows):
+            known = [self.ids.setdefault(x, len(self.ids) + 1) for x in w.split()]
+            flat.extend(known)
+            sizes[i] = len(known)
+        self.flat = np.array(flat, "u4")
+        starts = np.cumsum(sizes) - sizes
         self.by: dict[int, tuple] = {}
-        for n in np.unique(np.minimum(sizes[sizes > 0], size)).tolist():
-            own = np.flatnonzero(np.minimum(sizes, size) == n)
-            counts = sizes[own] - n + 1
-            owner = np.repeat(own, counts).astype("i4")
-            start = np.repeat(bounds[own] - np.cumsum(counts) + counts, counts) + np.arange(len(owner))
-            h = self._hash(self.flat, start, n)
-            order = np.lexsort((owner, h))
-            h, owner, start = h[order], owner[order], start[order]
-            again = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1])) + 1  # an item's window, once more
-            equal = np.ones(len(again), bool)
-            for i in range(n):
-                equal &= self.flat[start[again] + i] == self.flat[start[again - 1] + i]
-            keep = np.ones(len(h), bool)
-            keep[again[equal]] = False
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            h = self._hash(self.flat, starts[own], n)
+            order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << _BITS, bool)
             bits[h >> np.uint64(64 - _BITS)] = True
-            self.by[n] = (h[keep], start[keep], owner[keep], bits)
+            self.by[n] = (h[order], starts[own][order], sets[own][order], bits)
 
     @staticmethod
     def _hash(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
@@ -76,11 +94,11 @@ class WindowSet:
         return out * _MULT
 
     def scan(self, text: str) -> tuple[int, np.ndarray, set]:
-        """Word count, which words are hit, and the items with occurring windows."""
+        """Word count, which words are hit, and the names of the owners of occurring windows."""
         w = words(text)
         get = self.ids.get
         ids = np.fromiter((get(x, 0) for x in w), "u4", len(w))
-        hit, items = np.zeros(len(w) + 1, "i4"), set()
+        hit, found = np.zeros(len(w) + 1, "i4"), set()
         total = np.concatenate(([0], np.cumsum(ids != 0)))
         for n, (hashes, places, owners, bits) in self.by.items():
             if len(w) < n:
@@ -99,18 +117,48 @@ class WindowSet:
                     if (self.flat[places[k] : places[k] + n] == ids[s : s + n]).all():  # verified: not the hash alone
                         hit[s] += 1
                         hit[s + n] -= 1
-                        items.add(self.names[owners[k]])
-        return len(w), np.cumsum(hit[:-1]) > 0, items
+                        found.add(int(owners[k]))
+        return len(w), np.cumsum(hit[:-1]) > 0, {x for k in found for x in self.names[k]}
+
+
+def _owned(benchmark: DataFrame, size: int) -> DataFrame:
+    """(window, item), each pair once, of all items of the benchmark; equal rows are merged before they are cut."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).filter(F.col("text").isNotNull()).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                left = item_windows(text, size)
+                while part := list(itertools.islice(left, 20_000)):  # of an item of any length
+                    part = list(dict.fromkeys(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], names=["window", "item"])
 
+    return items.mapInArrow(run, "window binary, item string").distinct()
 
-def _slices(benchmark: DataFrame, max_windows: int) -> Iterator[tuple[int, list[tuple]]]:
-    """The benchmark's (item, text) rows in slices of about max_windows windows at most, by a hash of the row; one is fetched at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    most = items.agg(F.sum(F.char_length("text") / 2)).first()[0] or 0  # a word and what parts it from the next are two characters
-    n = max(1, -(-int(most) // max_windows))
-    for k in range(n):
-        rows = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield n, [(r.item, r.text) for r in rows.collect()]
+
+def _fits(df: DataFrame, column: str, max_windows: int) -> int:
+    """How many slices the rows of `df` take of about max_windows rows, and 100 bytes a row, at most."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    return max(1, -(-n // max_windows), -(-size // (100 * max_windows)))
+
+
+def _slices(windows: DataFrame, max_windows: int) -> tuple[int, Iterator[tuple[list[bytes], list[str]]]]:
+    """How many slices different (window, owners) rows make, by a hash of the window, and the slices; one is fetched at a time."""
+    n = _fits(windows, "window", max_windows)
+
+    def parts() -> Iterator[tuple[list[bytes], list[str]]]:
+        for k in range(n):
+            rows = (windows if n == 1 else windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k)).toArrow()
+            yield rows.column("window").to_pylist(), rows.column("owners").to_pylist()
+
+    return n, parts()
+
+
+def _set(part: tuple[list[bytes], list[str]], names: Mapping[str, Sequence[str]] | None = None) -> WindowSet:
+    """The windows of a slice; of their sets of owners, `names` or the sets' own names are reported."""
+    of: dict[str, int] = {}
+    numbers = np.array([of.setdefault(x, len(of)) for x in part[1]], "i4")
+    return WindowSet.of_windows(part[0], numbers, [[x] if names is None else names.get(x, []) for x in of])
 
 
 def scan(docs: DataFrame, windows: WindowSet, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,26 +183,41 @@ def scan(docs: DataFrame, windows: WindowSet, key: str = "doc_id", text: str = "
     return plain.mapInArrow(run, f"{key} {kind}, n_words long, hits array<struct<start:int,end:int>>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows: int = 1_000_000) -> DataFrame:
     """A row per document: doc_id, n_words, hits (word ranges, merged and in order), items (ids, sorted as strings).
 
     Null and empty texts have no words. Items of null text have no windows; an item of null id makes hits but isn't listed;
     items of equal id count as one. Rows of equal doc_id and text keep a row each and have equal results. An empty benchmark hits nothing.
     """
-    parts = _slices(benchmark, max_windows)
-    n, part = next(parts)
-    if n == 1:
-        return scan(docs, WindowSet(part, size))
+    made: list[str] = []
+    owned = stored(_owned(benchmark, size), made)
+    # A set of owners is named by its size and two sums that don't depend on order: no list of owners is ever gathered.
+    name = F.md5(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64("item").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("set"), "item"))).cast("binary"))
+    windows = stored(owned.groupBy("window").agg(name.alias("owners")), made)
+    one = windows.groupBy("owners").agg(F.min("window").alias("window"))
+    members = stored(one.join(owned, "window").filter("item is not null").select("owners", "item"), made)
+    n, parts = _slices(windows, max_windows)
+    if n == 1 and _fits(members, "item", max_windows) == 1:
+        names: dict[str, list[str]] = {}
+        for r in members.toLocalIterator():
+            names.setdefault(r.owners, []).append(r.item)
+        found = _set(next(parts), names)
+        discard(made)
+        return scan(docs, found)
     keyed = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-    merged = _merged(keyed, itertools.chain([(n, part)], parts), size)
-    return keyed.select("row", "doc_id").join(merged, "row").drop("row")
+    merged = _merged(keyed, parts)
+    sets = merged.select("row", F.explode("items").alias("owners"), F.pmod(F.xxhash64("row"), F.lit(_SALTS)).alias("salt"))
+    spread = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    named = sets.join(spread, ["owners", "salt"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))  # a document's own list
+    out = keyed.select("row", "doc_id").join(merged.drop("items"), "row").join(named, "row", "left")
+    return out.select("doc_id", "n_words", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _merged(keyed: DataFrame, parts: Iterable[tuple[int, list[tuple]]], size: int) -> DataFrame:
+def _merged(keyed: DataFrame, parts: Iterable[tuple[list[bytes], list[str]]]) -> DataFrame:
     """(row, n_words, hits, items) of the stored (row, text): one pass a slice over the whole texts, then the union of what the slices found."""
     found = None
-    for _, part in parts:
-        one = stored(scan(keyed, WindowSet(part, size), key="row"))
+    for part in parts:
+        one = stored(scan(keyed, _set(part), key="row"))
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("row").agg(
         F.max("n_words").alias("n_words"),
@@ -172,17 +235,19 @@ def _merged(keyed: DataFrame, parts: Iterable[tuple[int, list[tuple]]], size: in
     return merged.withColumn("hits", union)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, size: int = SIZE, max_windows: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, size: int = SIZE, max_windows: int = 1_000_000) -> DataFrame:
     """The documents with hit spans cut out of their texts; one of whose words drop_share or more are hit goes.
 
     A span runs from its first word's first character to its last word's end. Other columns stay as they are; null texts stay null.
     The hits of all slices of a larger benchmark are found on the texts as they came, and cut at once. Repeated rows meet the same
     fate, each by itself. An empty table gives no rows, an empty benchmark cuts nothing.
     """
-    parts = _slices(benchmark, max_windows)
-    n, part = next(parts)
+    made: list[str] = []
+    windows = stored(_owned(benchmark, size).select("window", F.lit("").alias("owners")).distinct(), made)
+    n, parts = _slices(windows, max_windows)
     if n == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(WindowSet(part, size))
+        shared = docs.sparkSession.sparkContext.broadcast(_set(next(parts)))
+        discard(made)
 
         def edit(texts: list[str | None]) -> tuple[list, list]:
             out, keep = [], []
@@ -197,7 +262,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5
     names, renamed = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     at = names.index("text")
     rows = stored(docs.toDF(*renamed).withColumn("row", F.monotonically_increasing_id()))
-    found = _merged(rows.select("row", F.col(renamed[at]).alias("text")), itertools.chain([(n, part)], parts), size)
+    found = _merged(rows.select("row", F.col(renamed[at]).alias("text")), parts)
+    discard(made)
     joined = rows.join(found.filter("size(hits) > 0").select("row", "n_words", "hits"), "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,24 @@ def test_contamination_edges_and_slices(spark, odd):
     assert decontaminate.cut("A Bc, d e.", np.array([False, True, True, False])) == "A  e."
 
 
+def test_repeated_benchmark_rows_are_one_set_of_windows(spark):
+    w = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [("a", w("p", 30))] * 3000 + [(f"i{i}", w("q", 12)) for i in range(2000)] + [("long", w("r", 45_000)), ("a", w("q", 12)), (None, w("r", 11))]
+    bench = spark.createDataFrame(rows, "item_id string, text string").repartition(4)
+    owned = decontaminate._owned(bench, 10)
+    assert owned.filter("item = 'a'").count() == 21 + 3 and owned.filter("item = 'long'").count() == 45_000 - 9
+    texts = [(i, f"x {w('q', 12)} " * 20 + w("p", 10 + i)) for i in range(3)] + [(9, w("r", 11)), (10, "z " * 50), (11, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = None
+    for bound in (100_000, 30_000, 1_500):  # names go along, are joined (bytes of members), windows come in slices
+        got = {r.doc_id: (r.n_words, [tuple(x) for x in r.hits], r.items) for r in decontaminate.contamination(docs, bench, max_windows=bound).collect()}
+        want = want or got
+        assert got == want
+    owners = sorted(["a", *[f"i{i}" for i in range(2000)]])
+    assert [want[i][2] for i in range(3)] == [owners] * 3 and want[9] == (11, [(0, 11)], ["long"]) and want[10][1:] == want[11][1:] == ([], [])
+    assert want[2][1] == [(13 * k + 1, 13 * k + 13) for k in range(19)] + [(13 * 19 + 1, 13 * 20 + 12)]
+
+
 def test_slices_cut_what_one_slice_cuts(spark):
     w = lambda c, a, b: " ".join(f"{c}{i}" for i in range(a, b))
     items = [("a", w("a", 0, 30)), ("b", w("b", 0, 30)), ("x", w("o", 0, 12)), ("y", w("o", 8, 20)), ("z", w("j", 0, 10))]
