@@ -113,29 +113,83 @@ def long_weights(df: DataFrame, names: Sequence[str] = DEFAULT) -> DataFrame:
 # Maximum Sharpe
 
 
+def _with_history(returns: DataFrame, asked: DataFrame, lookback: int, ridge: float, made: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """`made` of each date's rows of `asked` (date, permno, ...) and the covariances of its names, ascending, over the `lookback`
+    calendar dates before it: NaN for names that no date has both of, or where the calendar lacks the date.
+
+    A return goes to its block of `lookback` dates and to the next one, where the histories of all dates of a block are slices of one
+    matrix of 2 lookback x names; neither a date's history nor its pairs of names ever are rows.
+    """
+    days = returns.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # thousands of dates
+    block = lambda t: F.floor(F.col(t) / lookback).cast("long")
+    # All columns get names of their own: both tables may come of one.
+    x = returns.join(F.broadcast(days), "date").select(F.col("permno").alias("of"), F.col("t").alias("t"), F.coalesce("ret", F.lit(0.0)).alias("r"), F.explode(F.array(block("t"), block("t") + 1)).alias("block"))
+    rows = asked.join(F.broadcast(days.withColumnRenamed("t", "at")), "date", "left").withColumn("block", F.coalesce(block("at"), F.lit(-1)))
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+    def run(past: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return made(rows, np.empty((0, 0)))
+        who = np.unique(rows["permno"].to_numpy())
+        past = past[past["of"].isin(who)]
+        first = (int(rows["block"].iloc[0]) - 1) * lookback
+        i, j = np.searchsorted(who, past["of"].to_numpy()), past["t"].to_numpy() - first
+        r, known = np.zeros((2 * lookback, len(who))), np.zeros((2 * lookback, len(who)))
+        r[j, i], known[j, i] = past["r"].to_numpy(), 1.0
+        out = []
+        for _, g in rows.groupby("date"):
+            own = np.searchsorted(who, np.unique(g["permno"].to_numpy()))
+            at = g["at"].iloc[0] - first
+            when = slice(0, 0) if np.isnan(at) else slice(int(at) - lookback, int(at))
+            a, k = r[when, own], known[when, own]
+            n, sums = k.T @ k, a.T @ k  # dates that both have, and the sum of the first over them
+            with np.errstate(all="ignore"):
+                cov = np.where(n > 1, (a.T @ a - sums * sums.T / n) / (n - 1), 0.0) + ridge * np.eye(len(own))
+            out.append(made(g, np.where(n > 0, cov, np.nan)))
+        return pd.concat(out)
+
+    return x.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(run, schema)
+
+
 def covariances(returns: DataFrame, names: DataFrame, lookback: int = 252, ridge: float = 1e-4) -> DataFrame:
     """(date, a, b, cov): per date the covariances of its agreed names over the `lookback` calendar dates before it, unknown returns as 0.
 
-    returns: permno, date, ret. names: date, permno. A date's history, `lookback` rows of each of its names, is one matrix in a
-    grouped map, from which sums of products come; rows never meet in pairs. Of two names the dates that both have count.
+    returns: permno, date, ret. names: date, permno. Of two names the dates that both have count. For A6 itself see
+    `max_sharpe_from_returns`, which makes no rows of pairs.
     """
-    days = returns.select("date").distinct().withColumn("t", F.row_number().over(Window.orderBy("date")))  # thousands of dates
-    x = returns.join(F.broadcast(days), "date").select("permno", "t", F.coalesce("ret", F.lit(0.0)).alias("r"))
-    asked = names.join(F.broadcast(days), "date").select("date", F.col("t").alias("at"), "permno")
-    past = asked.join(x, "permno").filter((F.col("t") < F.col("at")) & (F.col("t") >= F.col("at") - lookback)).select("date", "permno", "t", "r")
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        who, i = np.unique(g["permno"].to_numpy(), return_inverse=True)
-        when, j = np.unique(g["t"].to_numpy(), return_inverse=True)
-        r, known = np.zeros((len(when), len(who))), np.zeros((len(when), len(who)))
-        r[j, i], known[j, i] = g["r"].to_numpy(), 1.0
-        n, sums = known.T @ known, r.T @ known  # dates that both have, and the sum of the first over them
-        with np.errstate(all="ignore"):
-            cov = np.where(n > 1, (r.T @ r - sums * sums.T / n) / (n - 1), 0.0) + ridge * np.eye(len(who))
-        a, b = np.nonzero(n)
-        return pd.DataFrame({"date": g["date"].iloc[0], "a": who[a], "b": who[b], "cov": cov[a, b]})
+    def pairs(g: pd.DataFrame, cov: np.ndarray) -> pd.DataFrame:
+        who = np.unique(g["permno"].to_numpy())
+        a, b = np.nonzero(~np.isnan(cov))
+        return pd.DataFrame({"date": g["date"].iloc[:1].repeat(len(a)).to_numpy(), "a": who[a], "b": who[b], "cov": cov[a, b]})
+
+    return _with_history(returns, names.select("date", "permno"), lookback, ridge, pairs, "date date, a long, b long, cov double")
+
 
-    return past.groupBy("date").applyInPandas(pairs, "date date, a long, b long, cov double")
+def _sharpe_weights(mu: np.ndarray, side: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """In proportion to inv(s) (mu - lambda), lambda such that they sum to zero; without a solution equal weights of either side."""
+    w = None
+    if len(mu) >= 2 and np.isfinite(s).all() and np.isfinite(mu).all() and np.linalg.cond(s) < 1e12:
+        inverse = np.linalg.inv(s)
+        one = np.ones(len(mu))
+        w = inverse @ (mu - (one @ inverse @ mu) / (one @ inverse @ one))
+    return side / np.array([(side == x).sum() for x in side]) if w is None or not np.abs(w).sum() > 1e-12 else w
+
+
+def _agreed(df: DataFrame) -> DataFrame:
+    return df.filter(F.col(LONG) | F.col(SHORT)).select("date", "permno", F.col("expected_return").alias("mu"), F.when(F.col(LONG), 0.5).otherwise(-0.5).alias("side"))
+
+
+def max_sharpe_from_returns(df: DataFrame, returns: DataFrame, most: float = 0.10, lookback: int = 252, ridge: float = 1e-4) -> DataFrame:
+    """(permno, date, A6) as `max_sharpe` gives them by `covariances(returns, ...)`, solved where a date's covariances are made."""
+
+    def solve(g: pd.DataFrame, cov: np.ndarray) -> pd.DataFrame:
+        g = g.drop_duplicates("permno").sort_values("permno")
+        w = _sharpe_weights(g["mu"].to_numpy(), g["side"].to_numpy(), cov)
+        return pd.DataFrame({"permno": g["permno"].to_numpy(), "date": g["date"].to_numpy(), "A6": w})
+
+    solved = _with_history(returns, _agreed(df), lookback, ridge, solve, "permno long, date date, A6 double")
+    return capped(solved.withColumn("A6", normalised(F.col("A6"))), "A6", most)
 
 
 def max_sharpe(df: DataFrame, cov: DataFrame, most: float = 0.10) -> DataFrame:
@@ -143,19 +197,12 @@ def max_sharpe(df: DataFrame, cov: DataFrame, most: float = 0.10) -> DataFrame:
 
     One small matrix a date in a grouped map. With fewer than two names, or a singular matrix, equal weights of either side.
     """
-    agreed = df.filter(F.col(LONG) | F.col(SHORT)).select("date", F.col("permno").alias("a"), F.col("expected_return").alias("mu"), F.when(F.col(LONG), 0.5).otherwise(-0.5).alias("side"))
-    rows = agreed.join(cov, ["date", "a"], "left")
+    rows = _agreed(df).withColumnRenamed("permno", "a").join(cov, ["date", "a"], "left")
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         names = g.drop_duplicates("a").sort_values("a")
         s = g.pivot_table(index="a", columns="b", values="cov").reindex(index=names["a"], columns=names["a"]).to_numpy()
-        mu, side, w = names["mu"].to_numpy(), names["side"].to_numpy(), None
-        if len(names) >= 2 and np.isfinite(s).all() and np.isfinite(mu).all() and np.linalg.cond(s) < 1e12:
-            inverse = np.linalg.inv(s)
-            one = np.ones(len(mu))
-            w = inverse @ (mu - (one @ inverse @ mu) / (one @ inverse @ one))
-        if w is None or not np.abs(w).sum() > 1e-12:
-            w = side / np.array([(side == x).sum() for x in side])
+        w = _sharpe_weights(names["mu"].to_numpy(), names["side"].to_numpy(), s)
         return pd.DataFrame({"permno": names["a"].to_numpy(), "date": names["date"].to_numpy(), "A6": w})
 
     solved = rows.groupBy("date").applyInPandas(solve, "permno long, date date, A6 double")

@@ -20,6 +20,7 @@ from ..operators import running as U
 from ..operators import strategy as Y
 from ..operators import summaries as S
 from ..operators.recursive import recursive_indicators, scanned_indicators
+from ..sources import snapshots as H
 from ..sources import tables as T
 from .fixtures import NAMES, SERIES, Fixtures, shown, sql
 
@@ -53,6 +54,27 @@ def _(t):
     return both["nation"].join(both["region"], F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("region_name")).agg(F.count("*").alias("n"))
 
 
+@query("src2_src3_src5_snapshot", "#o_orderkey #o_custkey ~o_totalprice date #part", "SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS date, CAST(o_orderdate >= TIMESTAMP '1996-01-01' AS INT) AS part FROM orders")
+def _(t):
+    # A first run while the table ends with 1995, one over all of it that takes what is new, and one that takes what is there.
+    rows = t.spark.read.parquet(f"{t.folder}/orders.parquet").withColumn("date", F.to_date("o_orderdate"))
+    folder, whole = T.scratch(t.spark), H.table("orders", rows)
+    H.snapshot(t.spark, H.table("orders", rows.filter("date < DATE '1996-01-01'")), folder, "orders", "date")
+    parts = H.snapshot(t.spark, whole, folder, "orders", "date", "extend")
+    assert H.snapshot(t.spark, whole, folder, "orders", "date") == parts
+    return H.read(t.spark, parts, "part")
+
+
+@query("src5_reuse_or_extract", "segment #customers #orders ~total", "SELECT c_mktsegment AS segment, count(DISTINCT c_custkey) AS customers, count(*) AS orders, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def _(t):
+    folder, tables = T.scratch(t.spark), T.load(t.spark, t.folder, ["orders", "customer"])
+    sources = {n: (H.table(n, tables[n]), k) for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"))}
+    H.reuse_or_extract(t.spark, sources, folder)
+    found = H.reuse_or_extract(t.spark, sources, folder)  # a second run, which extracts nothing
+    rows = found["orders"].join(found["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count_distinct("c_custkey").alias("customers"), F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
+
+
 _DSF = "SELECT cust AS permno, date, label AS ticker, price AS prc, -price / 3 AS bidlo, quantity AS cfacpr0, CASE WHEN quantity = 7 THEN 0 ELSE quantity / 10 END AS cfacpr, 2.0 AS cfacshr, quantity AS vol, 1000.0 AS shrout FROM shipped JOIN intervals ON custkey = cust AND date >= namedt AND date <= coalesce(nameenddt, DATE '9999-12-31') WHERE date >= DATE '1999-01-01' AND date < DATE '2000-01-01' AND label IN ('1-URGENT', '5-LOW')"
 
 
@@ -818,8 +840,7 @@ def _(t):
 
 @query("k9_a6_max_sharpe", "permno date ~A6")
 def _(t):
-    cov = A.covariances(t.returns, t.signals.filter("agreed_any").select("date", "permno"))
-    return A.max_sharpe(t.signals, cov)
+    return A.max_sharpe_from_returns(t.signals, t.returns)
 
 
 # Backtest and reports

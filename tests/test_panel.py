@@ -17,6 +17,7 @@ from quantloom.operators import recursive as R
 from quantloom.operators import running as U
 from quantloom.operators import summaries as S
 from quantloom.operators.signals import signals
+from quantloom.sources import snapshots as H
 from quantloom.sources import tables as T
 
 D = [dt.date(2020, 1, d) for d in range(1, 31)]
@@ -157,6 +158,61 @@ def test_guards_raise(spark):
         A.allocate(df, ["A99"])
 
 
+def test_snapshots_are_published_reused_and_extended(spark, tmp_path):
+    folder = f"file://{tmp_path}/snapshots"
+    now = lambda rows: H.table("t", spark.createDataFrame(rows, "k date, x long"))
+    first, later = [(D[0], 1), (D[1], 2), (D[1], 2), (None, 3)], [(D[0], 9), (D[2], 4), (D[5], 5)]
+    rows = lambda parts, *c: sorted(map(tuple, H.read(spark, parts, "part").select("x", *c).collect()))
+    a = H.snapshot(spark, now(first), folder, "t", "k", partitions=3)
+    assert [(p.number, p.rows, p.low, p.high) for p in a] == [(0, 4, "'2020-01-01'", "'2020-01-02'")]
+    assert H.snapshot(spark, now(first + later), folder, "t", "k") == a  # as it is
+    b = H.snapshot(spark, now(first + later), folder, "t", "k", "extend", partitions=3)
+    assert rows(b, "part") == [(1, 0), (2, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
+    assert H.snapshot(spark, now(first + later), folder, "t", "k", "extend") == b  # nothing new
+    # A run that broke before its rename, a part without a manifest, and one whose file is cut are not read.
+    base = tmp_path / "snapshots" / "t" / now([]).digest
+    (base / "_staged-x").mkdir()
+    (base / "g000000-000002").mkdir()
+    assert H.published(spark, now([]), folder, "t") == b
+    cut = next((base / "g000000-000001").glob("*.parquet"))
+    cut.write_bytes(cut.read_bytes()[:-1])
+    assert H.published(spark, now([]), folder, "t") == a
+    assert H.snapshot(spark, now(first + later), folder, "t", "k", "extend", partitions=2)[1:] == b[1:] and len(H.published(spark, now([]), folder, "t")) == 2
+    H.snapshot(spark, now([*first, *later, (D[7], 6)]), folder, "t", "k", "extend")
+    cut = next((base / "g000000-000001").glob("*.parquet"))
+    cut.write_bytes(cut.read_bytes()[:-1])  # what is behind a damaged part isn't read, and comes again with it
+    d = H.snapshot(spark, now([*first, *later, (D[7], 6)]), folder, "t", "k", "extend")
+    assert [p.rows for p in d] == [4, 3] and not (base / "g000000-000002").exists() and H.published(spark, now([]), folder, "t") == d
+    c = H.snapshot(spark, now(first + later), folder, "t", "k", "replace", partitions=3)
+    assert [p.generation for p in c] == [1] and rows(c) == [(x,) for x in (1, 2, 2, 3, 4, 5, 9)] and not (base / "g000000-000000").exists()
+    assert H.published(spark, H.table("u", spark.range(1)), folder, "t") == []  # another query
+    bad = spark.createDataFrame([(1,)], "k long").withColumn("x", F.assert_true(F.lit(False)))
+    with pytest.raises(Exception):
+        H.snapshot(spark, H.table("bad", bad), folder, "t", "k")
+    assert H.published(spark, H.table("bad", bad), folder, "t") == []
+    empty = H.table("empty", spark.range(0).select(F.col("id").alias("k")))
+    nulls = [H.table("nulls", spark.createDataFrame(x, "k long")) for x in ([(None,)], [(None,), (1,)])]  # no mark to extend from
+    assert [p.rows for s in nulls for p in H.snapshot(spark, s, folder, "n", "k", "extend")] == [1, 2]
+    assert [p.rows for p in H.snapshot(spark, empty, folder, "t", "k")] == [0] and H.read(spark, H.snapshot(spark, empty, folder, "t", "k", "extend")).count() == 0
+
+
+def test_even_partitions_of_a_skewed_database_key(spark, tmp_path):
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    keys = [i**3 for i in range(2000)] + [None] * 5  # uniform strides would put most rows into the first range
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, x long")
+    df.write.jdbc(url, "skewed", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    source = H.jdbc(spark, url, 'SELECT "k", "x" FROM skewed', driver="org.apache.derby.jdbc.EmbeddedDriver")
+    quote = lambda c: f'"{c}"'
+    where = H.even_ranges(source, "k", None, 8, quote)
+    sizes = [len(p) for p in source.rows(where).rdd.glom().collect()]
+    assert len(sizes) == 8 and sum(sizes) == len(keys) and max(sizes) < 270
+    parts = H.snapshot(spark, source, f"file://{tmp_path}/s", "skewed", "k", partitions=8, quote=quote)
+    assert sorted(r.x for r in H.read(spark, parts).collect()) == list(range(len(keys)))
+    spark.createDataFrame([(10**11 + i, -i) for i in range(10)], "k long, x long").write.mode("append").jdbc(url, "skewed", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    parts = H.snapshot(spark, source, f"file://{tmp_path}/s", "skewed", "k", "extend", partitions=4, quote=quote)
+    assert [p.rows for p in parts] == [len(keys), 10] and H.read(spark, parts).count() == len(keys) + 10
+
+
 def test_jdbc_extraction(spark, tmp_path):
     url = "jdbc:derby:memory:panel;create=true"
     rows = spark.createDataFrame([(i, float(i) / 2) for i in range(100)], "id long, x double")
@@ -383,12 +439,27 @@ def test_max_sharpe_looks_back_a_year(spark, monkeypatch):
     want = np.cov(ret[1][-253:-1], ret[2][-253:-1])[0, 1]
     assert abs(cov.filter("a = 1 AND b = 2").first()["cov"] - want) < 1e-12
     seen = []
-    monkeypatch.setattr(catalog.A, "covariances", lambda r, n, lookback=252, **k: seen.append(lookback) or cov)
-    monkeypatch.setattr(catalog.A, "max_sharpe", lambda rows, cov: rows.selectExpr("permno", "date", "0D AS A6"))
+    whole = allocate._with_history
+    monkeypatch.setattr(allocate, "_with_history", lambda r, n, lookback, *a: seen.append(lookback) or whole(r, n, lookback, *a))
     catalog.QUERIES["k9_a6_max_sharpe"](spark, "/root/testdata/sf0.001")
     assert seen == [252]
 
 
+@pytest.mark.parametrize("lookback", [7, 252])
+def test_max_sharpe_in_one_map(spark, lookback):
+    rng = np.random.default_rng(11)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(40)]
+    returns = spark.createDataFrame([(p, d, float(rng.normal(0, 0.01))) for p in range(6) for d in days if rng.random() < 0.9], "permno long, date date, ret double")
+    rows = [(d, p, float(rng.normal(0, 0.01)), bool(s > 0), bool(s < 0)) for d in [*days, dt.date(2021, 1, 1)] for p in range(7) for s in [rng.integers(-1, 2)]]
+    df = spark.createDataFrame(rows, "date date, permno long, expected_return double, agreed_long boolean, agreed_short boolean")
+    cov = A.covariances(returns, df.filter("agreed_long OR agreed_short").select("date", "permno"), lookback)
+    want = {(r.date, r.permno): r.A6 for r in A.max_sharpe(df, cov).collect()}
+    got = {(r.date, r.permno): r.A6 for r in A.max_sharpe_from_returns(df, returns, lookback=lookback).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len({d for d, _ in got}) == 41  # the calendar lacks the last one: equal weights
+    assert A.max_sharpe_from_returns(df, returns.limit(0)).count() == len(got) and A.max_sharpe_from_returns(df.limit(0), returns).count() == 0
+
+
 def test_covariances_of_names_with_gaps(spark):
     rng = np.random.default_rng(3)
     rows = [(p, D[i], None if rng.random() < 0.1 else float(rng.normal(0, 0.01))) for p in range(5) for i in range(30) if rng.random() < 0.8]
