@@ -108,6 +108,22 @@ class History:
         self.n, self.last = self.n + len(h), (h[-1], l[-1], c[-1])
         return out
 
+    def packed(self) -> list[float]:
+        """The state as numbers, NaN where there is none yet."""
+        r = self.reversal
+        return [float(x) for x in (self.n, *self.last, *[self.at.get(n, np.nan) for n in (*ALPHAS, "adx")], r.rising, r.sar, r.extreme, r.factor)]
+
+    @classmethod
+    def of(cls, packed: list[float] | None) -> History:
+        """The state that `packed` gave; of None, that of no rows."""
+        self = cls()
+        if packed is not None:
+            self.n, self.last = int(packed[0]), tuple(packed[1:4])
+            self.at = dict(zip((*ALPHAS, "adx"), packed[4:-4]))
+            r = self.reversal
+            r.rising, r.sar, r.extreme, r.factor = bool(packed[-4]), *packed[-3:]
+        return self
+
 
 def rsi(c: np.ndarray) -> np.ndarray:
     return History()(c, c, c)["rsi_14"]
@@ -159,6 +175,34 @@ def recursive_indicators(df: DataFrame, high: str = "askhi", low: str = "bidlo",
     return df.repartition(entity).sortWithinPartitions(entity, date).mapInArrow(run, schema)
 
 
+def entity_states(df: DataFrame, high: str = "askhi", low: str = "bidlo", close: str = "adj_prc", entity: str = "permno", date: str = "date") -> DataFrame:
+    """(entity, history): the state of each entity behind all its rows, which stream by as in `recursive_indicators`."""
+    rows = df.select(entity, date, high, low, close)
+    schema = StructType([df.schema[entity], StructField("history", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, state, kind = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            code = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), batch.num_rows]
+            h, l, c = (_numbers(batch.column(i)) for i in (2, 3, 4))
+            ended = []
+            for a, b in zip(cuts, cuts[1:]):
+                one = (batch.column(0)[a].as_py(),)
+                if one != who:
+                    ended += [] if who is None else [(who[0], state.packed())]
+                    who, state = one, History()
+                state(h[a:b], l[a:b], c[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in ended], kind), pa.array([x for _, x in ended], pa.list_(pa.float64()))], names=schema.names)
+        if who is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([who[0]], kind), pa.array([state.packed()], pa.list_(pa.float64()))], names=schema.names)
+
+    return rows.repartition(entity).sortWithinPartitions(entity, date).mapInArrow(run, schema)
+
+
 def affine(x: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, u) of each row: the smoothed value is a s + b from a state s before the first row, and u from none."""
     a, b = np.empty(len(x)), np.empty(len(x))

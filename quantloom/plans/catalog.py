@@ -12,6 +12,7 @@ from ..operators import allocate as A
 from ..operators import augment as G
 from ..operators import backtest as B
 from ..operators import build as N
+from ..operators import daily as E
 from ..operators import features as X
 from ..operators import models as M
 from ..operators import panel as P
@@ -623,6 +624,17 @@ def _(t):
     return recursive_indicators(t.bars, "high", "low", "close")
 
 
+@query("r11_daily_state", "permno date " + " ".join(f"~ti_{n}" for n in ("rsi_14", "atr_14", "atr_7", "macd_12_26", "adx_14", "psar_af")) + " ~ti_bbp_20", f"SELECT i.*, b.ti_bbp_20 FROM ({_RECURSIVE}) i JOIN (SELECT permno, date, CASE WHEN n >= 20 THEN (close - (avg(close) OVER v - 2 * stddev_pop(close) OVER v)) / nullif(4 * stddev_pop(close) OVER v, 0) END AS ti_bbp_20 FROM (SELECT *, {_N} FROM bars) WINDOW {frame(20)}) b USING (permno, date) WHERE date >= DATE '1997-01-01'")
+def _(t):
+    # Whole histories up to 1996 once; each year since then from the state that the one before left.
+    bars, folder = T.stored(t.bars), T.scratch(t.spark)
+    E.begin(bars.filter("date < DATE '1997-01-01'"), folder, high="high", low="low", close="close")
+    features = lambda df: X.windowed_indicators(df, "open", "high", "low", "close", "vol")
+    years = [T.half_open(bars, a, b) for a, b in (("1997-01-01", "1998-01-01"), ("1998-01-01", None))]
+    runs = [E.run_days(y, folder, features, high="high", low="low", close="close") for y in years if not y.isEmpty()]
+    return runs[0].unionByName(runs[1]) if len(runs) > 1 else runs[0]
+
+
 for _days in (7, 366):
 
     @query(f"t1_t2_t3_t6_scan_{_days}", "permno date " + " ".join(f"~ti_{n}" for n in ("rsi_14", "atr_14", "atr_7", "macd_12_26", "adx_14")), _RECURSIVE)

@@ -10,6 +10,8 @@ from quantloom.functions.numeric import log1p, log_ratio, ratio
 from quantloom.operators import allocate as A
 from quantloom.operators import augment as G
 from quantloom.operators import backtest as B
+from quantloom.operators import daily as E
+from quantloom.operators import features as X
 from quantloom.operators import models as M
 from quantloom.operators import panel as P
 from quantloom.operators import quantiles as Q
@@ -196,6 +198,27 @@ def test_snapshots_are_published_reused_and_extended(spark, tmp_path):
     assert [p.rows for p in H.snapshot(spark, empty, folder, "t", "k")] == [0] and H.read(spark, H.snapshot(spark, empty, folder, "t", "k", "extend")).count() == 0
 
 
+def test_days_from_kept_state_are_those_of_whole_histories(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(60)]
+    rows = [(p, d, float(x), float(x + 1), float(x - 1), float(x + rng.normal() / 2), None if rng.random() < 0.05 else 100.0) for p in range(4) for d in days[(0, 0, 58, 3)[p] :] if (p, d.day) != (1, 28) for x in [50 + rng.normal()]]
+    df = spark.createDataFrame(rows, "permno long, date date, open double, high double, low double, close double, vol double")
+    names = dict(high="high", low="low", close="close")
+    features = lambda x: X.windowed_indicators(x, "open", "high", "low", "close", "vol")
+    whole = features(R.recursive_indicators(df, **names))
+    folder = f"file://{tmp_path}/daily"
+    part = lambda a, b: df.filter((F.col("date") >= days[a]) & (F.col("date") < days[b - 1] + dt.timedelta(1)))
+    assert E.begin(df.limit(0), folder, **names) is None and E.begin(part(0, 50), folder, rows=30, **names) == str(days[49])
+    got = [r for a, b in ((50, 51), (51, 52), (51, 52), (52, 60)) for r in E.run_days(part(a, b), folder, features, rows=30, **names).select(whole.columns).collect()]
+    want = {(r.permno, r.date): r for r in whole.collect()}
+    assert {(r.permno, r.date) for r in got} == {k for k in want if k[1] >= days[50]}
+    for r in got:  # the second day twice, equally
+        assert all(x == y or (x is not None and y is not None and abs(x - y) < 1e-9 * max(1, abs(y))) for x, y in zip(r[2:], want[r.permno, r.date][2:]))
+    assert E.states(spark, folder) == [str(days[i]) for i in (49, 50, 51, 59)]
+    with pytest.raises(ValueError):
+        E.run_days(part(10, 20), folder, **names)
+
+
 def test_even_partitions_of_a_skewed_database_key(spark, tmp_path):
     url = f"jdbc:derby:memory:{tmp_path.name};create=true"
     keys = [i**3 for i in range(2000)] + [None] * 5  # uniform strides would put most rows into the first range
