@@ -154,7 +154,8 @@ def _added(rows: DataFrame, of) -> dict[str, np.ndarray]:
 
             for key, value in of(part):
                 total[key] = total.get(key, 0.0) + value
-        yield pd.DataFrame({"key": list(total), "shape": [list(v.shape) for v in total.values()], "v": [v.ravel() for v in total.values()]})
+        if total:  # a part without rows has no sums, and Arrow no type for a column of no lists
+            yield pd.DataFrame({"key": list(total), "shape": [list(v.shape) for v in total.values()], "v": [v.ravel() for v in total.values()]})
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": g["key"].iloc[:1], "shape": g["shape"].iloc[:1], "v": [np.sum(np.stack(g["v"].to_list()), axis=0)]})

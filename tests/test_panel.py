@@ -450,6 +450,17 @@ def test_grid_search_is_registered_whole(spark, monkeypatch):
     assert [{k: sorted(v) for k, v in grid.items()} for _, grid, _ in seen] == [{"C": [0.1, 0.5, 1.0], "l1_ratio": [0.8, 0.9]}, {"alpha": [1e-6, 5e-6, 1e-5, 5e-5, 1e-4, 5e-4], "l1_ratio": [0.4, 0.5, 0.6]}]
 
 
+def test_grid_search_over_parts_without_rows(spark):
+    rng = np.random.default_rng(11)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(i) for i in range(40)]
+    rows = spark.createDataFrame([(d, *map(float, rng.normal(size=3))) for d in days], "date date, a double, b double, y double")
+    folds = M.fold_dates(rows, M.fold_geometry(40))
+    for grid, logistic in (({"C": (0.1, 1.0), "l1_ratio": (0.9,)}, True), ({"alpha": (1e-3, 1e-1), "l1_ratio": (0.5,)}, False)):
+        one = M.grid_search(rows.coalesce(1), folds, ["a", "b"], "y", grid, logistic)
+        many = M.grid_search(rows.repartition(48, "date"), folds, ["a", "b"], "y", grid, logistic)
+        assert len(one) == 2 and np.allclose([x["error"] for x in one], [x["error"] for x in many], atol=1e-12)
+
+
 def test_max_sharpe_looks_back_a_year(spark, monkeypatch):
     from quantloom.operators import allocate
     from quantloom.plans import catalog
