@@ -113,42 +113,76 @@ def model_columns(columns: Sequence[str], lists: Sequence[str] = (), index: str
 # Joins
 
 
-def _bucketed(df: DataFrame, spans: DataFrame, at: str, start: str, end: str, days: int) -> tuple[DataFrame, DataFrame]:
-    """`df` with the bucket of days of each row, `_in`; `spans` once for each bucket that an interval touches, `_bucket`, within those of `df`."""
+#: A key with at least this share of a table's rows is cut into buckets.
+HOT_SHARE = 0.001
+
+
+def _often(keys: Sequence[str]) -> tuple[Column, Column]:
+    """Aggregates: counts of the hashes of keys that a sketch of bounded size finds most, and of all rows."""
+    return F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {int(2 / HOT_SHARE)}, {int(10 / HOT_SHARE)})").alias("often"), F.count("*").alias("n")
+
+
+def _hot(found) -> set[int]:
+    return {x["item"] for x in found["often"] or () if x["item"] is not None and x["count"] >= HOT_SHARE * found["n"]}
+
+
+def _bucketed(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, days: int) -> tuple[DataFrame, DataFrame, bool]:
+    """`df` with the bucket of days of each row, `_in`; `spans` once for each bucket that an interval touches, `_bucket`, within those of `df`.
+
+    Only keys with many rows or intervals have buckets, all others one, so that an interval is one row but for these keys. Says if there
+    are such. A key that the sketches miss costs balance, never rows: both sides go by one list of at most 2 / HOT_SHARE hashes.
+    """
     number = lambda c: F.floor(F.unix_date(F.to_date(c)) / days).cast("int")
-    first, last = df.agg(F.min(number(F.col(at))), F.max(number(F.col(at)))).first()
-    first, last = (0, -1) if first is None else (first, last)  # no dates, no buckets
+    found = df.agg(F.min(number(F.col(at))).alias("first"), F.max(number(F.col(at))).alias("last"), *_often(list(on))).first()
+    first, last = (0, -1) if found["first"] is None else (found["first"], found["last"])  # no dates, no buckets
+    hot = sorted(_hot(found) | _hot(spans.agg(*_often(list(on.values()))).first()))
+    cut = lambda keys: F.xxhash64(*[F.col(k) for k in keys]).isin(hot) if hot else F.lit(False)
     low = F.greatest(number(F.col(start)), F.lit(first).cast("int"))
     high = F.least(number(F.coalesce(F.col(end), F.lit(FOREVER).cast("date"))), F.lit(last).cast("int"))
-    cut = spans.withColumns({"_low": low, "_high": high}).filter(F.col(start).isNotNull() & (F.col("_high") >= F.col("_low")))
-    return df.withColumn("_in", number(F.col(at))), cut.withColumn("_bucket", F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-
+    near = spans.withColumns({"_low": low, "_high": high}).filter(F.col(start).isNotNull() & (F.col("_high") >= F.col("_low")))
+    if hot:
+        near = near.withColumn("_bucket", F.explode(F.when(cut(on.values()), F.sequence("_low", "_high")).otherwise(F.array(F.lit(0)))))
+    else:
+        near = near.withColumn("_bucket", F.lit(0))
+    return df.withColumn("_in", F.when(cut(on), number(F.col(at))).otherwise(0)), near.drop("_low", "_high"), bool(hot)
 
-def interval_join(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, how: str = "inner", bucket_days: int | None = None) -> DataFrame:
-    """Rows with the intervals of equal key that hold their date: [start, end], a NULL end open. The key is hashed, the range a residual.
 
-    bucket_days: intervals are cut at the borders of buckets of so many days, and key and bucket are hashed: a row meets the intervals
-    of its bucket alone, and a key with most of all rows is as many groups as there are buckets. One job finds the range of dates.
-    """
-    if bucket_days:
-        df, spans = _bucketed(df, spans, at, start, end, bucket_days)
+def _matched(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, how: str) -> DataFrame:
     left, right = df.alias("_left"), spans.alias("_right")
     of = lambda side, c: F.col(f"{side}.`{c}`")
     cond = (of("_left", at) >= of("_right", start)) & (of("_left", at) <= F.coalesce(of("_right", end), F.lit(FOREVER).cast("date")))
-    for a, b in {**on, **({"_in": "_bucket"} if bucket_days else {})}.items():
+    for a, b in on.items():
         cond = cond & (of("_left", a) == of("_right", b))
-    out = left.join(right, cond, how)
-    return out.drop("_in", "_bucket") if bucket_days else out
+    return left.join(right, cond, how)
+
 
+def interval_join(df: DataFrame, spans: DataFrame, on: Mapping[str, str], at: str, start: str, end: str, how: str = "inner", bucket_days: int | None = None) -> DataFrame:
+    """Rows with the intervals of equal key that hold their date: [start, end], a NULL end open. The key is hashed, the range a residual.
 
-def as_of_interval(df: DataFrame, spans: DataFrame, on: Mapping[str, str], row: Sequence[str], at: str, start: str, end: str, ties: Sequence[str] = (), drop_uncovered: bool = False, bucket_days: int | None = None) -> DataFrame:
+    bucket_days: intervals of keys with many rows or intervals are cut at the borders of buckets of so many days, and key and bucket are
+    hashed: such a row meets the intervals of its bucket alone, and a key with most of all rows is as many groups as there are buckets.
+    Two jobs find the range of dates and these keys.
+    """
+    if not bucket_days:
+        return _matched(df, spans, on, at, start, end, how)
+    df, spans, hot = _bucketed(df, spans, on, at, start, end, bucket_days)
+    return _matched(df, spans, {**on, "_in": "_bucket"} if hot else on, at, start, end, how).drop("_in", "_bucket")
+
+
+def as_of_interval(df: DataFrame, spans: DataFrame, on: Mapping[str, str], row: Sequence[str], at: str, start: str, end: str, ties: Sequence[str] = (), drop_uncovered: bool = False, bucket_days: int | None = None, one_key: bool = False) -> DataFrame:
     """Every row of `df` once, with the interval that holds its date and starts last; rows without one keep NULLs, or go if drop_uncovered.
 
-    row: columns that tell rows of `df` apart. ties: further columns of `spans`, ascending, between equal starts. bucket_days: as in interval_join.
+    row: columns that tell rows of `df` apart. ties: further columns of `spans`, ascending, between equal starts. bucket_days: as in
+    interval_join. one_key: rows that are equal in `row` are known to have one key; they are told apart where the join has put them,
+    without another exchange, unless keys are cut into buckets.
     """
-    joined = interval_join(df, spans, on, at, start, end, "inner" if drop_uncovered else "left", bucket_days)
-    order = Window.partitionBy(*row).orderBy(F.col(start).desc_nulls_last(), *ties)
-    return joined.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    how, hot = "inner" if drop_uncovered else "left", False
+    if bucket_days:
+        df, spans, hot = _bucketed(df, spans, on, at, start, end, bucket_days)
+    both = _matched(df, spans, {**on, "_in": "_bucket"} if hot else on, at, start, end, how)
+    own = [F.col(f"_left.`{c}`") for c in on] if one_key and not hot else []
+    order = Window.partitionBy(*own, *row).orderBy(F.col(start).desc_nulls_last(), *ties)
+    return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", *(["_in", "_bucket"] if bucket_days else []))
 
 
 def by_key(df: DataFrame, side: DataFrame, on: Mapping[str, str]) -> DataFrame:
@@ -161,6 +195,12 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def determined(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> bool:
+    """Whether rows of equal keys are equal in `columns`: one job over these columns alone."""
+    one = F.struct(*columns)
+    return not df.groupBy(*keys).agg(F.min(one).alias("_least"), F.max(one).alias("_most")).filter("NOT _least <=> _most").take(1)
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`df`, if its keys are unique: then a left join to it adds no rows. One job that stops at the first offender."""
     if found := duplicate_keys(df, keys).take(1):

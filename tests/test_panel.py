@@ -80,6 +80,28 @@ def test_bucketed_intervals(spark):
     assert P.interval_join(same, same.withColumn("b", F.col("a")), {"id": "id"}, "a", "a", "b").count() == 490
 
 
+def _intervals_of_many_keys(spark):
+    day = lambda c: F.date_add(F.lit(dt.date(2019, 1, 1)), c.cast("int"))
+    rows = spark.range(8000).select("id", (F.col("id") % 2000).alias("k"), day(F.col("id") % 701).alias("at"))
+    spans = spark.range(4000).select((F.col("id") % 2000).alias("key"), day(F.col("id") % 350).alias("a"), F.when(F.col("id") % 2 == 0, day(F.col("id") % 350 + 200)).alias("b"), F.col("id").alias("n"))
+    return rows, spans
+
+
+def test_only_hot_keys_are_cut_into_buckets(spark):
+    rows, spans = _intervals_of_many_keys(spark)
+    ids = lambda out: sorted((r.id, r.n) for r in out.select("id", "n").collect())
+    join = lambda x, y, *more: P.interval_join(x, y, {"k": "key"}, "at", "a", "b", "left", *more)
+    assert "Generate" not in join(rows, spans, 7)._jdf.queryExecution().executedPlan().toString()  # intervals stay one row
+    assert ids(join(rows, spans, 7)) == ids(join(rows, spans))
+    # One key has a fourth of all rows and only two intervals, another one half of all intervals.
+    rows = rows.withColumn("k", F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("k")))
+    spans = spans.withColumn("key", F.when((F.col("n") % 2 == 0) & (F.col("n") > 99), 11).otherwise(F.col("key")))
+    assert "Generate" in join(rows, spans, 7)._jdf.queryExecution().executedPlan().toString()
+    assert ids(join(rows, spans, 7)) == ids(join(rows, spans))
+    _, cut, hot = P._bucketed(rows, spans, {"k": "key"}, "at", "a", "b", 7)
+    assert hot and {r.key for r in cut.filter("_bucket > 0").select("key").distinct().collect()} == {7, 11}
+
+
 def test_one_key_with_all_intervals(spark):
     import time
 
