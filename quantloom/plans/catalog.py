@@ -209,7 +209,8 @@ for _name, _drop, _days in (("j2_as_of_interval", False, None), ("q1_as_of_inter
 
     @query(_name, "#l_orderkey #line #partkey label namedt", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_ROW)} ORDER BY namedt DESC NULLS LAST, orderkey) AS rn FROM shipped {'' if _drop else 'LEFT '}JOIN intervals ON custkey = cust AND date >= namedt AND date <= coalesce(nameenddt, DATE '9999-12-31')) WHERE rn = 1")
     def _(t, drop=_drop, days=_days):
-        return P.as_of_interval(t.shipped, t.intervals, {"cust": "custkey"}, _ROW, "date", "namedt", "nameenddt", ["orderkey"], drop, days)
+        one_key = P.determined(t.orders, ["o_orderkey"], ["o_custkey"])  # so a line's order tells its customer
+        return P.as_of_interval(t.shipped, t.intervals, {"cust": "custkey"}, _ROW, "date", "namedt", "nameenddt", ["orderkey"], drop, days, one_key)
 
 
 @query("j3_factors_by_date", "permno date ~close ~f1 ~f2", "SELECT permno, date, close, f1, f2 FROM bars LEFT JOIN factors USING (date)")

@@ -102,6 +102,28 @@ def test_only_hot_keys_are_cut_into_buckets(spark):
     assert hot and {r.key for r in cut.filter("_bucket > 0").select("key").distinct().collect()} == {7, 11}
 
 
+def test_as_of_tells_rows_apart_where_the_join_put_them(spark):
+    rows, spans = _intervals_of_many_keys(spark)
+    rows = rows.unionByName(rows.filter("id < 50")).unionByName(rows.filter("id < 50").withColumn("at", F.date_add("at", 40)))  # rows come twice, and on two dates
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for drop in (False, True):
+            exchanges, found = [], []
+            for one_key in (False, True):
+                for days in (None, 31):
+                    out = P.as_of_interval(rows, spans, {"k": "key"}, ["id"], "at", "a", "b", ["n"], drop, days, one_key)
+                    found.append(sorted((r.id, str(r.a), r.n) for r in out.select("id", "a", "n").collect()))
+                    exchanges.append(out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hash"))
+            assert all(f == found[0] for f in found) and len({f[0] for f in found[0]}) == len(found[0])
+            assert exchanges == [3, 3, 2, 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    orders = spark.createDataFrame([(1, 5), (1, 5), (2, None), (2, None), (None, 3)], "o long, c long")
+    assert P.determined(orders, ["o"], ["c"])
+    assert not P.determined(orders.union(spark.createDataFrame([(2, 6)], "o long, c long")), ["o"], ["c"])
+    assert not P.determined(orders.union(spark.createDataFrame([(None, 6)], "o long, c long")), ["o"], ["c"])
+
+
 def test_one_key_with_all_intervals(spark):
     import time
 
